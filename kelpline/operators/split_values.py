@@ -153,8 +153,12 @@ def split_block(col: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     np.cumsum(size, out=offs[1:])
     take = np.repeat(lo - offs[:-1], size) + np.arange(offs[-1])
     out = cp[take]
-    twin = np.concatenate([[False], (out[1:] == 34) & (out[:-1] == 34) & (np.diff(take) == 1)]) if len(out) else np.zeros(0, bool)
-    twin &= _running(twin, offs) % 2 == 1 if twin.any() else twin
+    mark = out == 34
+    head = np.zeros(len(out), bool)
+    head[offs[:-1]] = True
+    at = np.arange(len(out))
+    run = at - np.maximum.accumulate(np.where(~mark, at, np.where(head, at - 1, -1)))
+    twin = mark & (run % 2 == 0) & (run > 0)
     upto = np.zeros(len(out) + 1, np.int64)
     np.cumsum(~twin, out=upto[1:])
     return parent, pos.astype(np.int32), to_strings(out[~twin], upto[offs])
