@@ -125,7 +125,7 @@ def encoded(df: DataFrame, key: str = "doc_id", text: str = "text", path: str |
             flat = np.fromiter((i for x in ids for i in x), np.int32, offs[-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))], names=[key, "ids"])
 
-    kind = dict(df.dtypes)[key]
+    kind = df.schema[key].dataType.simpleString()
     return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
@@ -139,7 +139,7 @@ def token_sizes(df: DataFrame, key: str = "doc_id", text: str = "text", path: st
             n = [len(e.encode(t, leaf)) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=[key, "n_tokens"])
 
-    kind = dict(df.dtypes)[key]
+    kind = df.schema[key].dataType.simpleString()
     return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint")
 
 

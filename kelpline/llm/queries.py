@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import encode, formatting_copies, term_counts, unify
+from . import encode, formatting_copies, mixture, stuffed_pages, term_counts, unify
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,7 +53,27 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encoded(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_plain, p3_found, p3_counts, p5_found, p5_collapsed, p8_ids)}
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Every record of the mixture and how often it is used."""
+    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are mostly repeated keywords, links or tags."""
+    return stuffed_pages.stuffed_pages(table(spark, d, "documents")).select("doc_id")
+
+
+def p10_measures(spark: SparkSession, d: str) -> DataFrame:
+    """The measures of those documents and which were too high."""
+    return stuffed_pages.stuffed_pages(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_plain, p3_found, p3_counts, p5_found, p5_collapsed, p8_ids, p9_mixture, p9_report, p10_found, p10_measures)}
 
 _P3 = """
 WITH miss AS (SELECT rec_id, unnest(miss) AS term FROM scan_log),
