@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import encode, formatting_copies, mixture, stuffed_pages, term_counts, unify
+from . import encode, formatting_copies, mixture, reference_map, stuffed_pages, term_counts, unify
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +48,23 @@ def p5_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return _both(spark, d, lambda t, key: formatting_copies.copies(t, key).filter("keep_no = copy_no")).select("src_table", "keep_no", F.col("copies").alias("n_copies"))
 
 
+def _entered(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "findings")
+    parts = [f.select(F.lit(f"findings.{c}").alias("field"), F.col("finding_id").alias("row_id"), F.lit(0).alias("pos"), F.col(c).alias("val")) for c in ("raw", "matched_term")]
+    names = table(spark, d, "ingredient_entries").select(F.lit("ingredient_entries.names").alias("field"), F.col("entry_no").alias("row_id"), F.posexplode("names").alias("pos", "val"))
+    return parts[0].unionAll(parts[1]).unionAll(names).filter("val is not null")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Values that mean a term of the list without being one of its spellings."""
+    return reference_map.spelled_otherwise(_entered(spark, d), table(spark, d, "reference_terms"))
+
+
+def p6_map(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct value, its rows, and its term; unmatched values have none."""
+    return reference_map.mapped_values(_entered(spark, d), table(spark, d, "reference_terms")).withColumn("status", F.when(F.col("term_id").isNull(), "unmatched").otherwise("matched"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return encode.encoded(table(spark, d, "documents"))
@@ -73,7 +90,7 @@ def p10_measures(spark: SparkSession, d: str) -> DataFrame:
     return stuffed_pages.stuffed_pages(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_plain, p3_found, p3_counts, p5_found, p5_collapsed, p8_ids, p9_mixture, p9_report, p10_found, p10_measures)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_plain, p3_found, p3_counts, p5_found, p5_collapsed, p6_found, p6_map, p8_ids, p9_mixture, p9_report, p10_found, p10_measures)}
 
 _P3 = """
 WITH miss AS (SELECT rec_id, unnest(miss) AS term FROM scan_log),
