@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import encode, formatting_copies, mixture, reference_map, stuffed_pages, term_counts, unify
+from . import encode, entity_match, formatting_copies, mixture, reference_map, stuffed_pages, term_counts, unify
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +65,16 @@ def p6_map(spark: SparkSession, d: str) -> DataFrame:
     return reference_map.mapped_values(_entered(spark, d), table(spark, d, "reference_terms")).withColumn("status", F.when(F.col("term_id").isNull(), "unmatched").otherwise("matched"))
 
 
+def p7_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Each pair of rows for the same ingredient, with the confidence of the match."""
+    return entity_match.matches(table(spark, d, "ingredient_entries"), table(spark, d, "catalog_entries"), "entry_no", "cat_no")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each pair of rows for the same ingredient."""
+    return p7_matches(spark, d).select("entry_no", "cat_no")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return encode.encoded(table(spark, d, "documents"))
@@ -90,7 +100,7 @@ def p10_measures(spark: SparkSession, d: str) -> DataFrame:
     return stuffed_pages.stuffed_pages(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_plain, p3_found, p3_counts, p5_found, p5_collapsed, p6_found, p6_map, p8_ids, p9_mixture, p9_report, p10_found, p10_measures)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_plain, p3_found, p3_counts, p5_found, p5_collapsed, p6_found, p6_map, p7_found, p7_matches, p8_ids, p9_mixture, p9_report, p10_found, p10_measures)}
 
 _P3 = """
 WITH miss AS (SELECT rec_id, unnest(miss) AS term FROM scan_log),
