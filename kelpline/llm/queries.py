@@ -8,11 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import encode, entity_match, formatting_copies, mixture, reference_map, stuffed_pages, term_counts, unify
+from . import encode, entity_match, formatting_copies, mixture, reference_map, scan_repair, stuffed_pages, term_counts, unify
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _scan_model(spark: SparkSession, d: str) -> scan_repair.Model:
+    """The models, trained on the bounded clean sample of the documents."""
+    return scan_repair.fit(scan_repair.clean_sample(table(spark, d, "documents")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with scan noise and the kind of noise."""
+    return scan_repair.noisy_lines(scan_repair.page_texts(table(spark, d, "scan_log"), table(spark, d, "last_scans")), _scan_model(spark, d))
+
+
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Every page text in continuous paragraphs."""
+    return scan_repair.repaired_texts(scan_repair.page_texts(table(spark, d, "scan_log"), table(spark, d, "last_scans")), _scan_model(spark, d))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Values with characters their plain spelling doesn't have."""
     return unify.mixed_values(unify.name_values(table(spark, d, "findings"), table(spark, d, "ingredient_entries"), table(spark, d, "catalog_entries")))
@@ -100,7 +115,7 @@ def p10_measures(spark: SparkSession, d: str) -> DataFrame:
     return stuffed_pages.stuffed_pages(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_plain, p3_found, p3_counts, p5_found, p5_collapsed, p6_found, p6_map, p7_found, p7_matches, p8_ids, p9_mixture, p9_report, p10_found, p10_measures)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_plain, p3_found, p3_counts, p5_found, p5_collapsed, p6_found, p6_map, p7_found, p7_matches, p8_ids, p9_mixture, p9_report, p10_found, p10_measures)}
 
 _P3 = """
 WITH miss AS (SELECT rec_id, unnest(miss) AS term FROM scan_log),
