@@ -26,6 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 SEGMENT = 1 << 16
 _JUNK = r"[\s\p{Z}\p{P}\x00-\x1f]+"
@@ -105,7 +106,7 @@ def copies(df: DataFrame, key: str, skip: tuple[str, ...] = ("id",), max_bits: i
         bits *= 2
     shared = df.sparkSession.sparkContext.broadcast(repeat_filter(rows, bits))
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(BooleanType())
     def maybe(h: pd.Series) -> pd.Series:
         f = np.frombuffer(shared.value, np.uint8)
         p = _bits(h.to_numpy(), bits)
