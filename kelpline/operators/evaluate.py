@@ -101,7 +101,7 @@ def record_quality(gt: DataFrame, key: str, file: str, items: str, allowed: tupl
     one = gt.select(F.col(key).alias("k"), F.col(file).alias("f"), F.col(items).alias("i"))
     expected = F.transform("i", lambda x: F.lower(F.trim(x["expected"])))
     rows = one.agg(
-        F.count_if("f is null or f = ''").alias("missing_file"), F.count_if("i is null or size(i) = 0").alias("no_items"),
+        F.count_if(F.expr("f is null or f = ''")).alias("missing_file"), F.count_if(F.expr("i is null or size(i) = 0")).alias("no_items"),
         F.coalesce(F.sum(F.size(F.filter("i", lambda x: F.coalesce(x["raw"], F.lit("")) == ""))), F.lit(0)).alias("empty_item"),
         F.coalesce(F.sum(F.size(F.filter(expected, lambda x: ~F.coalesce(x, F.lit("")).isin(*allowed)))), F.lit(0)).alias("invalid_expected"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import spread  # noqa: F401
+from ..functions.text import WS
 
 
 def entries(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -74,7 +74,7 @@ def code_table(lines: DataFrame) -> DataFrame:
     """(code, name, status) of a text table of codes; an asterisk makes it doubtful; of each code the first row counts."""
     pattern = r"^\s*(\d{3,4}[a-zA-Z]?)\s+(\S.*)$"
     rows = lines.filter(F.col("line").rlike(pattern)).select("line_no", F.upper(F.regexp_extract("line", pattern, 1)).alias("code"), F.regexp_extract("line", pattern, 2).alias("rest"))
-    name = F.trim(F.replace(F.split("rest", r"\s{2,}")[0], F.lit("*"), F.lit("")))
+    name = F.regexp_replace(F.replace(F.split("rest", r"\s{2,}")[0], F.lit("*"), F.lit("")), f"^{WS}+|{WS}+\\z", "")
     status = F.when(F.contains("rest", F.lit("*")), "doubtful").otherwise("listed")
     return rows.groupBy("code").agg(F.min_by(F.struct(name.alias("name"), status.alias("status")), "line_no").alias("v")).select(F.concat(F.lit("E"), "code").alias("code"), "v.name", "v.status")
 
