@@ -12,8 +12,9 @@ from pyspark.sql.types import StructType
 
 
 def log_stream(spark: SparkSession, path: str, schema: StructType, per_batch: int = 16) -> DataFrame:
-    """New parquet files of a folder as a stream of log rows."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+    """New parquet files of a folder as a stream of log rows, the time of arrival with a zone as watermarks need it."""
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+    return s.withColumn("received_at", F.col("received_at").cast("timestamp"))
 
 
 def delivered_once(stream: DataFrame, late: str = "7 days") -> DataFrame:
