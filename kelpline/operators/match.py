@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.distance import weighted_similarity
 from ..functions.noise import is_short_ascii
 from ..functions.tokens import SINGLES
+from ..session import checkpointed
 from .pass_join import near_pairs
 
 #: Statuses from the strictest on. A duplicate term keeps the strictest one.
@@ -54,20 +55,21 @@ def fuzzy_match(tokens: DataFrame, terms: DataFrame, least: float = FUZZY, weigh
     reached. Up to three characters the score must be high unless letters were only added or lost. The
     highest score wins, then the first entry.
     """
-    pool = terms.filter(~F.col("term").rlike(r"^[Ee]\d{3,4}[a-z]*\z")).select(F.col("term").alias("near"), "id", "status", "ord", "alias_no")
+    refused = F.coalesce(F.col("status"), F.lit("")) == denied
+    entry = F.struct("id", "status", "ord", "alias_no")
+    pool = terms.filter(~F.col("term").rlike(r"^[Ee]\d{3,4}[a-z]*\z")).groupBy(F.col("term").alias("near")).agg(F.bool_or(refused).alias("refused"), F.min_by(F.when(~refused, entry), F.when(~refused, F.struct("ord", "alias_no"))).alias("e"))
     asked = tokens.select("term").distinct().filter(~is_short_ascii(F.col("term")))
-    pairs = near_pairs(asked, pool, "term", "near")
-    shadow = pairs.join(pool.filter(F.col("status") == denied).select("near").distinct(), "near", "left_semi").select("term").distinct()
-    free = pairs.join(shadow, "term", "left_anti")
+    pairs = near_pairs(asked, pool, "term", "near").join(pool, "near")
+    # the near terms of one token are few; its refused ones shadow all others
+    free = pairs.withColumn("_shadow", F.max("refused").over(Window.partitionBy("term"))).filter("not _shadow")
     n = F.greatest(F.length("term"), F.length("near"))
     score = weighted_similarity(F.col("term"), F.col("near")) if weighted else 1 - F.col("edits") / n
     scored = free.withColumn("score", score)
     short = F.least(F.length("term"), F.length("near")) <= 3
     indel = (F.col("edits") == F.abs(F.length("term") - F.length("near"))) & (n >= 4)
     scored = scored.filter((F.col("score") >= least) & (~short | (F.col("score") >= FUZZY_SHORT) | indel))
-    best = scored.join(pool.filter(F.coalesce(F.col("status"), F.lit("")) != denied), "near")
-    pick = F.min_by(F.struct("id", "status", F.col("near").alias("matched_term"), "score"), F.struct(-F.col("score"), F.col("ord"), F.col("alias_no")))
-    return best.groupBy("term").agg(pick.alias("m")).select("term", "m.*")
+    pick = F.min_by(F.struct("e.id", "e.status", F.col("near").alias("matched_term"), "score"), F.struct(-F.col("score"), F.col("e.ord"), F.col("e.alias_no")))
+    return scored.groupBy("term").agg(pick.alias("m")).select("term", "m.*")
 
 
 def first_rule(term: Column, rules: list[dict]) -> Column:
@@ -87,29 +89,24 @@ def layered_match(tokens: DataFrame, curated: DataFrame, catalog: DataFrame, rul
     the catalogue, nothing. Each later step sees only the terms that the earlier ones left.
     """
     asked = tokens.select("term").distinct()
-    null = F.lit(None).cast("string")
-
-    def exact(terms: DataFrame, index: DataFrame, layer: str) -> tuple[DataFrame, DataFrame]:
-        m = exact_match(terms, index)
-        hit = m.filter("entry is not null").select("term", F.lit(layer).alias("layer"), F.lit("exact").alias("kind"), "entry.id", "entry.status", F.col("term").alias("matched_term"), F.lit(1.0).alias("score"))
-        return hit, m.filter("entry is null").select("term")
-
-    def near(terms: DataFrame, pool: DataFrame, layer: str, least: float) -> tuple[DataFrame, DataFrame]:
-        hit = fuzzy_match(terms, pool, least, weighted).select("term", F.lit(layer).alias("layer"), F.lit("fuzzy").alias("kind"), "id", "status", "matched_term", "score")
-        return hit, terms.join(hit.select("term"), "term", "left_anti")
-
     keep = tuple(c for c in ("reviewed",) if c in curated.columns)
-    a, left = exact(asked, exact_index(curated, keep), "curated")
-    ruled = left.withColumn("rule", first_rule(F.col("term"), rules))
-    b = ruled.filter("rule is not null").select("term", F.lit("rule").alias("layer"), F.lit("exact").alias("kind"), "rule.id", "rule.status", F.col("term").alias("matched_term"), F.lit(1.0).alias("score"))
-    c, left = near(ruled.filter("rule is null").select("term"), curated, "curated", FUZZY)
-    d, left = exact(left, exact_index(catalog), "catalog")
-    e, left = near(left, catalog, "catalog", FUZZY_CATALOG)
-    none = left.select("term", null.alias("layer"), null.alias("kind"), null.alias("id"), null.alias("status"), null.alias("matched_term"), F.lit(None).cast("double").alias("score"))
-    out = a
-    for x in (b, c, d, e, none):
-        out = out.unionByName(x)
-    return out
+
+    def exact(terms: DataFrame, index: DataFrame, layer: str) -> DataFrame:
+        hit = F.struct(F.lit(layer).alias("layer"), F.lit("exact").alias("kind"), F.col("entry.id").alias("id"), F.col("entry.status").alias("status"), F.col("term").alias("matched_term"), F.lit(1.0).alias("score"))
+        return exact_match(terms, index).withColumn("m", F.coalesce("m", F.when(F.col("entry").isNotNull(), hit))).drop("entry")
+
+    def near(terms: DataFrame, pool: DataFrame, layer: str, least: float) -> DataFrame:
+        found = fuzzy_match(terms.filter("m is null"), pool, least, weighted)
+        hit = found.select("term", F.struct(F.lit(layer).alias("layer"), F.lit("fuzzy").alias("kind"), "id", "status", "matched_term", "score").alias("f"))
+        return terms.join(hit, "term", "left").withColumn("m", F.coalesce("m", "f")).drop("f")
+
+    rule = F.col("rule")
+    ruled = F.when(rule.isNotNull(), F.struct(F.lit("rule").alias("layer"), F.lit("exact").alias("kind"), rule["id"].alias("id"), rule["status"].alias("status"), F.col("term").alias("matched_term"), F.lit(1.0).alias("score")))
+    shape = "struct<layer:string,kind:string,id:string,status:string,matched_term:string,score:double>"
+    t = exact(asked.withColumn("m", F.lit(None).cast(shape)), exact_index(curated, keep), "curated")
+    t = checkpointed(t.withColumn("rule", first_rule(F.col("term"), rules)).withColumn("m", F.coalesce("m", ruled)).drop("rule"))
+    t = checkpointed(exact(near(t, curated, "curated", FUZZY), exact_index(catalog), "catalog"))
+    return near(t, catalog, "catalog", FUZZY_CATALOG).select("term", "m.*")
 
 
 def collapsed(findings: DataFrame, label: str, least: float = 0.4, least_short: float = 0.5, weighted: bool = False) -> DataFrame:

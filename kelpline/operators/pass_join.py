@@ -3,8 +3,9 @@
 A term with allowance k is cut into k + 1 even segments. A string within k edits of it holds at least one of
 them unchanged, moved by at most k places. So the terms are exploded to (length, segment number,
 segment), the strings to the substrings that could be one of these for every length within the allowance,
-and the two meet in an equi join; survivors are verified with the built-in bounded distance. This is
-complete: no pair within the allowance is lost (segment filter of Li et al., PVLDB 2011).
+and the two meet in an equi join of hashes; survivors are verified with the built-in bounded distance. Only places
+are tried that edits left and right of a segment can explain. This is complete: no pair within the allowance
+is lost (segment filter with multi-match-aware selection of Li et al., PVLDB 2011).
 """
 
 from __future__ import annotations
@@ -41,13 +42,22 @@ def near_pairs(strings: DataFrame, terms: DataFrame, string: str, term: str, on:
     """
     keys = [F.col(c) for c in on]
     kt, ks = allowance(F.col("_tl")), allowance(F.col("_sl"))
+    code = F.xxhash64(*keys, "_tl", "_i", "_part")
     t = terms.select(*keys, F.col(term).alias(term)).filter(F.length(term) > 0).distinct().withColumn("_tl", F.length(term)).withColumn("_k", kt)
-    t = t.withColumn("_seg", F.explode(F.expr(_segments("_tl", "_k")))).select(*keys, term, "_tl", "_k", F.col("_seg.i").alias("_i"), F.substring(F.col(term), F.col("_seg.s"), F.col("_seg.n")).alias("_part"))
+    t = t.withColumn("_seg", F.explode(F.expr(_segments("_tl", "_k")))).select(*keys, term, "_tl", F.col("_seg.i").alias("_i"), F.substring(F.col(term), F.col("_seg.s"), F.col("_seg.n")).alias("_part"))
+    t = t.select(*[k.alias(f"_t_{c}") for k, c in zip(keys, on, strict=True)], term, code.alias("_code"))
     s = strings.select(*keys, F.col(string).alias(string)).filter(F.length(string) > 0).distinct().withColumn("_sl", F.length(string)).withColumn("_a", ks)
-    s = s.withColumn("_tl", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_sl") - F.col("_a")), F.col("_sl") + F.col("_a")))).withColumn("_k", kt).withColumn("_m", F.least("_a", "_k")).filter(F.abs(F.col("_tl") - F.col("_sl")) <= F.col("_m"))
+    s = s.withColumn("_tl", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_sl") - F.col("_a")), F.col("_sl") + F.col("_a")))).withColumn("_k", kt).filter(F.abs(F.col("_tl") - F.col("_sl")) <= F.least("_a", "_k"))
     s = s.withColumn("_seg", F.explode(F.expr(_segments("_tl", "_k"))))
-    s = s.withColumn("_at", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_seg.s") - F.col("_m")), F.greatest(F.lit(1), F.least(F.col("_sl") - F.col("_seg.n") + 1, F.col("_seg.s") + F.col("_m"))))))
-    s = s.select(*keys, string, "_sl", "_m", "_tl", F.col("_seg.i").alias("_i"), F.substring(F.col(string), F.col("_at"), F.col("_seg.n")).alias("_part")).distinct()
-    met = s.join(t.drop("_k"), [*on, "_tl", "_i", "_part"]).select(*keys, string, term, "_m").distinct()
+    # where an unchanged segment can be: at most as many places off as edits can stand to its left, and to its right
+    i, d = F.col("_seg.i"), F.col("_sl") - F.col("_tl")
+    lo = F.greatest(F.lit(1), F.col("_seg.s") - i, F.col("_seg.s") + d - (F.col("_k") - i))
+    hi = F.least(F.col("_sl") - F.col("_seg.n") + 1, F.col("_seg.s") + i, F.col("_seg.s") + d + (F.col("_k") - i))
+    s = s.withColumn("_at", F.explode(F.when(lo <= hi, F.sequence(lo, hi)))).withColumn("_i", i)
+    s = s.withColumn("_part", F.substring(F.col(string), F.col("_at"), F.col("_seg.n"))).select(*keys, string, code.alias("_code"))
+    met = s.join(t, "_code")
+    for c in on:
+        met = met.filter(F.col(c) == F.col(f"_t_{c}"))
+    met = met.select(*keys, string, term).distinct().withColumn("_m", F.least(allowance(F.length(string)), allowance(F.length(term))))
     near = met.withColumn("edits", F.expr(f"case when _m = 0 then if({string} = {term}, 0, -1) when _m = 1 then levenshtein({string}, {term}, 1) when _m = 2 then levenshtein({string}, {term}, 2) else levenshtein({string}, {term}, 3) end"))
     return near.filter("edits >= 0").select(*keys, string, term, "edits")

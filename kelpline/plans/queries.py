@@ -12,6 +12,7 @@ from ..functions import distance, geometry, noise, section, text, tokens
 from ..operators import corpus, etl, evaluate, match, pass_join, search
 from ..operators.split_values import split_values
 from ..sources import files
+from ..session import spread
 from ..sources.tables import table
 from . import sql
 
@@ -55,13 +56,18 @@ def p4_values(spark: SparkSession, d: str) -> DataFrame:
     return split_values(packed_fields(spark, d))
 
 
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    """The documents, spread over the cores where the file is too small to be split."""
+    return spread(table(spark, d, "documents"))
+
+
 # --- normalisation ------------------------------------------------------------------------------------
 
 
 @query(f"SELECT doc_id, {sql.normalized('text')} AS key FROM documents")
 def normalize_text(spark: SparkSession, d: str) -> DataFrame:
     """The normal form of whole texts, without NFKC."""
-    return table(spark, d, "documents").select("doc_id", text.normalized(F.col("text"), compat=False).alias("key"))
+    return _docs(spark, d).select("doc_id", text.normalized(F.col("text"), compat=False).alias("key"))
 
 
 @query()
@@ -148,7 +154,7 @@ SELECT doc_id, regexp_replace(head, {sql.q('^.*?' + _M.start)}, '') || coalesce(
 )
 def section_after_header(spark: SparkSession, d: str) -> DataFrame:
     """What stands between the header of the list and the next part of the label."""
-    docs = table(spark, d, "documents").filter("text is not null")
+    docs = _docs(spark, d).filter("text is not null")
     cut = docs.select("doc_id", section.lines_of(F.col("text")).alias("ls")).withColumn("k", section.first_index(F.col("ls"), _M.start)).filter("k > 0")
     return cut.select("doc_id", section.listed_after(F.col("ls"), F.col("k")).alias("listed"))
 
@@ -156,7 +162,7 @@ def section_after_header(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def section_extract(spark: SparkSession, d: str) -> DataFrame:
     """The ingredient list of every label text, with what stands before the header and repaired first items."""
-    return section.sections(table(spark, d, "documents").select("doc_id", "text").filter("text is not null"), "text").drop("text")
+    return section.sections(_docs(spark, d).select("doc_id", "text").filter("text is not null"), "text").drop("text")
 
 
 @query(
@@ -165,14 +171,14 @@ SELECT doc_id, count(*) AS lines, count_if(regexp_matches(line, {sql.q(_M.start)
 )
 def boundary_flags(spark: SparkSession, d: str) -> DataFrame:
     """Header and boundary lines of every text."""
-    lines = table(spark, d, "documents").filter("text is not null").select("doc_id", F.explode(section.lines_of(F.col("text"))).alias("line"))
+    lines = _docs(spark, d).filter("text is not null").select("doc_id", F.explode(section.lines_of(F.col("text"))).alias("line"))
     return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(section.is_header(F.col("line"))).alias("headers"), F.count_if(section.is_boundary(F.col("line"))).alias("boundaries"))
 
 
 @query()
 def crop_rects(spark: SparkSession, d: str) -> DataFrame:
     """The crop round the list, from text lines laid out as frames 20 high and 10 wide a character."""
-    docs = table(spark, d, "documents").filter("text is not null")
+    docs = _docs(spark, d).filter("text is not null")
     frames = F.transform(section.lines_of(F.col("text")), lambda x, i: F.struct(x.alias("text"), (i * 20).alias("top"), F.lit(0).alias("left"), (F.length(x) * 10).alias("width"), F.lit(20).alias("height")))
     f = docs.select("doc_id", frames.alias("f"))
     width, height = F.array_max(F.transform("f", lambda x: x["width"])), F.size("f") * 20
@@ -227,7 +233,7 @@ _TOK = f"SELECT doc_id, unnest(t) AS raw, generate_subscripts(t, 1) AS i FROM (S
 
 
 def _corpus(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").select("doc_id", "lang", "source", F.posexplode(tokens.corpus_tokens(F.col("text"))).alias("i", "raw"))
+    t = _docs(spark, d).select("doc_id", "lang", "source", F.posexplode(tokens.corpus_tokens(F.col("text"))).alias("i", "raw"))
     return t.withColumn("term", text.normalized(F.col("raw"), folds=False, compat=False)).withColumn("at", F.col("doc_id") * 1000000 + F.col("i") + 1)
 
 
