@@ -30,8 +30,9 @@ from ..session import checkpointed, spread
 from .reference_map import osa
 from .unify import unify_column
 
-#: A word is a part's name if it was seen this often, in this share of cases.
-SEEN, SHARE = 3, 0.6
+#: A word is a part's name if it was seen this often, in this share of cases, and is no rarer than this share of the
+#: common ones.
+SEEN, SHARE, RARE = 3, 0.6, 0.05
 #: Log odds of a pair: all parts agree, one part differs, and for a shared code.
 AGREE, DIFFER, CODE = 5.0, -5.0, 1.0
 PARTS = ("o", "t", "b", "f")
@@ -156,9 +157,17 @@ def _top(counts: DataFrame) -> dict[tuple[str, str, str], str]:
     out: dict[tuple[str, str, str], str] = {}
     rows = total.collect()
     cases = {(r.script[1:], r.part, r.word): r.n for r in rows if r.script[0] == "n"}
+    # words far rarer than the usual ones of their part are slips and abbreviations, not names
+    sizes: dict[tuple[str, str], list[int]] = {}
+    for r in rows:
+        if r.script[0] in "np":
+            sizes.setdefault((r.script, r.part), []).append(r.n)
+    least = {k: RARE * sorted(v)[int(0.9 * (len(v) - 1))] for k, v in sizes.items()}
     best: dict[tuple[str, str, str], tuple[int, int]] = {}
     for r in rows:
         k = (r.script, r.part, r.word)
+        if (r.n if r.script == "p" else cases.get(k, 0)) < least.get((r.script if r.script == "p" else "n" + r.script, r.part), 0):
+            continue
         if r.script == "p":
             out[k] = str(r.n)
         elif r.script in "cw" and k in cases and r.n >= SHARE * cases[k]:
@@ -265,12 +274,28 @@ class Reader:
             if options and min(options.values()) == 0:
                 break
         if not options:
-            return self._rare(form, text, s)
+            return (self._lone(form) if s == "w" and len(form) >= 4 else None) or self._rare(form, text, s)
         order = sorted(options.items(), key=lambda x: x[1])
         if len(order) > 1 and order[1][1] == order[0][1]:
             return None
         return order[0][1], order[0][0]
 
+    def _lone(self, form: tuple[str, ...]) -> tuple[int, tuple[str, str, str, str]] | None:
+        """A name of words all but one of which are exact; that one may have two or three slips."""
+        found = set()
+        for tw in (1, 2):
+            whole = [form[0], "".join(form[1 : 1 + tw]), "".join(form[1 + tw : -1]), form[-1]]
+            got = [self.vocab[p + "w"].get(w) for p, w in zip(PARTS, whole, strict=True)]
+            if all(whole) and got.count(None) == 1:
+                i = got.index(None)
+                most = 3 if len(whole[i]) >= 10 else 2 if len(whole[i]) >= 6 else 1
+                near = sorted((d, c) for y, c in self.vocab[PARTS[i] + "w"].items() if (d := osa(whole[i], y, most)) <= most)
+                best = {c for d, c in near if d == near[0][0]}
+                if len(best) == 1:
+                    got[i] = best.pop()
+                    found.add((near[0][0], tuple(got)))
+        return min(found) if found and (len(found) == 1 or len({d for d, _ in found}) > 1) else None
+
     def _rare(self, form: tuple[str, ...], text: str, s: str) -> tuple[int, tuple[str, str, str, str]] | None:
         """A name whose origin was seen too seldom to be learnt; its other parts must be exact."""
         found = set()
