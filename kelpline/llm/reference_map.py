@@ -108,6 +108,7 @@ class Index:
             if all(t[1:]):
                 by_form[_ending(t[1], ends)].append(t)
         keys: dict[str, int] = {}
+        tight: set[str] = set()
         parts: dict[int, tuple] = {}
         forms: dict[str, tuple] = {}
         for form, group in by_form.items():
@@ -125,12 +126,13 @@ class Index:
         mains = {p[0]: p for p in parts.values()}
         for t in terms:
             if t[0] in parts:
-                self._spell(keys, parts[t[0]], forms[_ending(t[1], ends)], t[0])
+                self._spell(keys, tight, parts[t[0]], forms[_ending(t[1], ends)], t[0])
         for b, p in mains.items():
             for f, tails in forms.items():
                 if (b, f) not in listed:
-                    self._spell(keys, p, tails, -1)
+                    self._spell(keys, tight, p, tails, -1)
         self.keys = list(keys)
+        self.most = [1 if k in tight else 9 for k in self.keys]
         self.term = np.array([keys[k] for k in self.keys], np.int64)
         self.at = {k: i for i, k in enumerate(self.keys)}
         posts: dict[str, list[int]] = defaultdict(list)
@@ -144,9 +146,11 @@ class Index:
         self.rare = float(np.log(1 + n))
 
     @staticmethod
-    def _spell(keys: dict[str, int], p: tuple, f: tuple, term: int) -> None:
+    def _spell(keys: dict[str, int], tight: set[str], p: tuple, f: tuple, term: int) -> None:
         forms = [p[0] + f[0], p[1] + f[1], p[2] + f[2], p[3] + f[3], p[1] + f[2], p[2] + f[1], p[1] + "の" + f[1], p[2] + "の" + f[1]]
         if term >= 0:
+            # shortened forms leave little room for slips: they are noted in ``tight``
+            tight |= {_NONWORD.sub("", stripped(x)) for a in SHORT.get(f[0], ()) for x in (p[0] + a, a + p[0], a + "of" + p[0], a + "from" + p[0])}
             forms += [x for a in SHORT.get(f[0], ()) for x in (p[0] + a, a + p[0], a + "of" + p[0], a + "from" + p[0])]
         forms += [f[0] + p[0], f[0] + "of" + p[0], f[0] + "from" + p[0], f[3] + p[3]]
         for s in forms:
@@ -180,8 +184,9 @@ class Index:
             for i in top[np.argsort(-score[top])]:
                 if score[i] < THRESHOLD:
                     break
-                d = osa(k, self.keys[i], most)
-                if d <= most:
+                near = min(most, self.most[i])
+                d = osa(k, self.keys[i], near)
+                if d <= near:
                     t = int(self.term[i])
                     got = (d, -float(score[i]))
                     if t not in best or got < best[t]:
