@@ -92,11 +92,18 @@ def _tally(pairs: DataFrame, see) -> dict[tuple[str, str, str], tuple[str, int]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+
+        def emit() -> pa.RecordBatch:
+            cols = list(zip(*((*k, n) for k, n in seen.items()), strict=True)) or [[]] * 5
+            seen.clear()
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:4]), pa.array(cols[4], pa.int64())], names=["script", "part", "word", "surface", "n"])
+
         for batch in batches:
             for p, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 see(seen, p.split("\x02"), y.split("\x02"), "c" if _CJK.search(y[0]) else "w")
-        cols = list(zip(*((*k, n) for k, n in seen.items()), strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:4]), pa.array(cols[4], pa.int64())], names=["script", "part", "word", "surface", "n"])
+            if len(seen) > 500_000:  # counts are summed later, so memory stays bounded
+                yield emit()
+        yield emit()
 
     return _top(pairs.mapInArrow(run, "script string, part string, word string, surface string, n bigint"))
 
@@ -152,29 +159,28 @@ def learn(names: DataFrame) -> dict[str, dict[str, str]]:
 
 
 def _top(counts: DataFrame) -> dict[tuple[str, str, str], str]:
-    """The longest surface that SHARE of a word's cases have. Its size is that of the vocabulary."""
+    """The longest surface that SHARE of a word's cases have; for pivots (script p) how often they were seen.
+
+    Words far rarer than the usual ones of their part are slips and abbreviations, not names. What is collected has
+    the size of the vocabulary.
+    """
     total = counts.groupBy("script", "part", "word", "surface").agg(F.sum("n").alias("n")).filter(F.col("n") >= SEEN)
+    kinds = F.substring("script", 1, 1)
+    words = total.filter(kinds.isin("n", "p")).select("script", "part", "word", F.col("n").alias("cases"))
+    usual = words.groupBy("script", "part").agg(F.percentile_approx("cases", 0.9, 1000).alias("p90"))
+    words = words.join(usual, ["script", "part"]).filter(F.col("cases") >= RARE * F.col("p90")).drop("p90")
+    surfaces = total.filter(kinds.isin("c", "w")).withColumn("_s", F.concat(F.lit("n"), "script"))
+    kept = surfaces.join(words.withColumnRenamed("script", "_s"), ["_s", "part", "word"]).filter(F.col("n") >= SHARE * F.col("cases"))
     out: dict[tuple[str, str, str], str] = {}
-    rows = total.collect()
-    cases = {(r.script[1:], r.part, r.word): r.n for r in rows if r.script[0] == "n"}
-    # words far rarer than the usual ones of their part are slips and abbreviations, not names
-    sizes: dict[tuple[str, str], list[int]] = {}
-    for r in rows:
-        if r.script[0] in "np":
-            sizes.setdefault((r.script, r.part), []).append(r.n)
-    least = {k: RARE * sorted(v)[int(0.9 * (len(v) - 1))] for k, v in sizes.items()}
     best: dict[tuple[str, str, str], tuple[int, int]] = {}
-    for r in rows:
+    for r in kept.select("script", "part", "word", "surface", "n").collect():
         k = (r.script, r.part, r.word)
-        if (r.n if r.script == "p" else cases.get(k, 0)) < least.get((r.script if r.script == "p" else "n" + r.script, r.part), 0):
-            continue
-        if r.script == "p":
-            out[k] = str(r.n)
-        elif r.script in "cw" and k in cases and r.n >= SHARE * cases[k]:
-            size = (r.surface.count("\x02"), r.n)
-            if k not in best or size > best[k]:
-                best[k] = size
-                out[k] = r.surface
+        size = (r.surface.count("\x02"), r.n)
+        if k not in best or size > best[k]:
+            best[k] = size
+            out[k] = r.surface
+    for r in words.filter("script = 'p'").collect():
+        out["p", r.part, r.word] = str(r.cases)
     return out
 
 

@@ -28,6 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from ..operators.hot_join import hot_join
+from ..session import checkpointed
+
 SEGMENT = 1 << 16
 _JUNK = r"[\s\p{Z}\p{P}\x00-\x1f]+"
 
@@ -114,15 +117,11 @@ def copies(df: DataFrame, key: str, skip: tuple[str, ...] = ("id",), max_bits: i
 
     flagged = rows.withColumn("maybe", maybe("h"))
     alone = flagged.filter("not maybe").select(F.col("copy_no").alias("keep_no"), "copy_no", F.lit(1).cast("bigint").alias("copies"))
-    some = flagged.filter("maybe").select("copy_no", F.unhex(F.sha2("form", 256)).alias("form"))
+    # keys and digests of the possible repeats are written once, as three branches read them
+    some = checkpointed(flagged.filter("maybe").select("copy_no", F.unhex(F.sha2("form", 256)).alias("form")))
     groups = some.groupBy("form").agg(F.min("copy_no").alias("keep_no"), F.count("*").alias("copies"))
-    limit = max(1, total // 1000)
-    hot, rest = groups.filter(F.col("copies") > limit), groups.filter(F.col("copies") <= limit)
     cols = ["keep_no", "copy_no", "copies"]
-    # fewer than 1000 rows can have more than a thousandth of all
-    many = some.join(F.broadcast(hot), "form").select(cols)
-    few = some.join(F.broadcast(hot.select("form")), "form", "left_anti").join(rest.hint("shuffle_hash"), "form").select(cols)
-    return alone.unionAll(many).unionAll(few)
+    return alone.unionAll(hot_join(some, groups, "form", "copies", total).select(cols))
 
 
 def collapsed(df: DataFrame, key: str, skip: tuple[str, ...] = ("id",)) -> DataFrame:

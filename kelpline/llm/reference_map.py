@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.hot_join import hot_join
-from ..session import checkpointed, spread
+from ..session import checkpointed
 from .unify import unify_column
 
 MAX_TERMS = 100_000
@@ -246,7 +246,10 @@ def mapped_values(values: DataFrame, terms: DataFrame, column: str = "val") -> D
             term = pa.array([g[0] if g[0] >= 0 else None for g in got], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), term, pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.int32())], names=["val", "n", "term_id", "score", "edits"])
 
-    return spread(distinct).mapInArrow(run, "val string, n bigint, term_id int, score double, edits int")
+    # one round-robin shuffle of the distinct values, so that matching uses all cores
+    spark = values.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return distinct.repartition(parts).mapInArrow(run, "val string, n bigint, term_id int, score double, edits int")
 
 
 def mapped_rows(values: DataFrame, terms: DataFrame) -> DataFrame:
