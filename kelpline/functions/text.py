@@ -113,3 +113,8 @@ def finding_token(c: Column) -> Column:
 def percent(part: Column, whole: Column) -> Column:
     """A share in percent, rounded to one decimal; null if the whole is zero."""
     return F.when(whole != 0, F.floor(part / whole * 1000 + 0.5) / 10)
+
+
+def source_text(*parts: Column, sep: str = " ") -> Column:
+    """One text from the fields of a source given as a string or as a struct: blank and null ones left out."""
+    return F.concat_ws(sep, *[F.when(F.trim(p) != "", F.trim(p)) for p in parts])

@@ -55,6 +55,49 @@ def aligned(items: DataFrame, findings: DataFrame, least: float = 0.6) -> DataFr
     return got.join(i.select("gt_no", "file_name"), "gt_no").select("file_name", "gt_no", "finding_no", "score")
 
 
+def scored_pairs(items: DataFrame, findings: DataFrame, least: float = 0.6) -> DataFrame:
+    """(file_name, gt_no, finding_no, expected, status, score) of near items and findings of one image.
+
+    ``items`` has (file_name, gt_no, term, expected), ``findings`` (file_name, finding_no, term, status); of the repeats of a term in
+    an image the first finding stands for each status, so no list of repeats is multiplied out.
+    """
+    first = findings.groupBy("file_name", F.col("term").alias("near"), "status").agg(F.min("finding_no").alias("finding_no"))
+    pairs = near_pairs(items.select("file_name", "term"), first.select("file_name", "near"), "term", "near", ("file_name",))
+    n = F.greatest(F.length("term"), F.length("near"))
+    scored = pairs.withColumn("score", 1 - F.col("edits") / n).filter(F.col("score") >= least)
+    return scored.join(items, ["file_name", "term"]).join(first, ["file_name", "near"]).select("file_name", "gt_no", "finding_no", "expected", "status", "score")
+
+
+def preferred(items: DataFrame, findings: DataFrame, alignment: DataFrame, least: float = 0.6) -> DataFrame:
+    """The alignment after the repair pass: an item whose finding has another status than expected takes the best near finding of
+    the expected one, which several items may share; unaligned items take one as well.
+    """
+    status = findings.select("finding_no", "status")
+    now = items.join(alignment.select("gt_no", "finding_no", "score"), "gt_no", "left").join(status, "finding_no", "left")
+    fits = scored_pairs(items, findings, least).filter("status = expected")
+    best = fits.groupBy("gt_no").agg(F.min_by(F.struct("finding_no", "score"), F.struct(-F.col("score"), F.col("finding_no"))).alias("b"))
+    j = now.join(best, "gt_no", "left")
+    swap = F.col("b").isNotNull() & ~F.coalesce(F.col("status") == F.col("expected"), F.lit(False))
+    out = j.select("file_name", "gt_no", F.when(swap, F.col("b.finding_no")).otherwise(F.col("finding_no")).alias("finding_no"), F.when(swap, F.col("b.score")).otherwise(F.col("score")).alias("score"), swap.alias("repaired"))
+    return out.filter("finding_no is not null")
+
+
+def with_overrides(alignment: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Hand-made (gt_no, finding_no) pairs first, many to one if they say so; of the alignment what doesn't touch them."""
+    rest = alignment.join(overrides.select("gt_no"), "gt_no", "left_anti").join(overrides.select("finding_no"), "finding_no", "left_anti")
+    return overrides.select("gt_no", "finding_no", F.lit(1.0).alias("score")).unionByName(rest.select("gt_no", "finding_no", "score"))
+
+
+def zipped(a: DataFrame, b: DataFrame, by: str, left: str, right: str, order_left: str, order_right: str) -> DataFrame:
+    """(by, left, right): rows of two tables paired by position where a group has equally many in both."""
+
+    def placed(t: DataFrame, no: str, order: str) -> DataFrame:
+        w = Window.partitionBy(by)
+        return t.select(by, no, F.row_number().over(w.orderBy(order, no)).alias("_k"), F.count("*").over(w).alias("_n"))
+
+    return placed(a, left, order_left).join(placed(b, right, order_right), [by, "_k", "_n"]).select(by, left, right)
+
+
 def outcome(expected: Column, status: Column, matched: Column) -> Column:
     """What became of an item: correct, wrong, unknown, unmatched, unexpected or unjudged."""
     return (

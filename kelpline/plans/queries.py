@@ -809,6 +809,42 @@ def greedy_alignment(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.aligned(items, f).withColumn("score", F.round("score", 6))
 
 
+@query()
+def preferred_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """The alignment of items and findings after the repair pass for expected statuses."""
+    gt = evaluate.facts(table(spark, d, "gt_records"), "gt_id", "file_name", "ingredients")
+    items = gt.select("file_name", (F.col("gt_id") * 1000 + F.col("gi")).alias("gt_no"), text.normalized(F.col("raw"), compat=False).alias("term"), "expected").filter("term <> '' and file_name is not null")
+    f = table(spark, d, "findings").filter("raw is not null").select("file_name", F.col("finding_id").alias("finding_no"), text.normalized(F.col("raw"), compat=False).alias("term"), "status").filter("term <> ''")
+    return evaluate.preferred(items, f, evaluate.aligned(items.drop("expected"), f.drop("status"))).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT gt_id, concat_ws(' | ', nullif(trim(source), ''), nullif(trim(product_name), ''), nullif(trim(notes), '')) AS source_text FROM gt_records")
+def source_texts(spark: SparkSession, d: str) -> DataFrame:
+    """One text from the descriptive fields of each record."""
+    return table(spark, d, "gt_records").select("gt_id", text.source_text(F.col("source"), F.col("product_name"), F.col("notes"), sep=" | ").alias("source_text"))
+
+
+@query(
+    """WITH a AS (SELECT sid, row_id, row_number() OVER (PARTITION BY sid ORDER BY created_at, row_id) AS k, count(*) OVER (PARTITION BY sid) AS n FROM last_scans WHERE sid IS NOT NULL),
+b AS (SELECT sid, rec_id, row_number() OVER (PARTITION BY sid ORDER BY scanned_at, rec_id) AS k, count(*) OVER (PARTITION BY sid) AS n FROM scan_log WHERE sid IS NOT NULL)
+SELECT a.sid, row_id, rec_id FROM a JOIN b ON a.sid = b.sid AND a.k = b.k AND a.n = b.n"""
+)
+def device_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Saved scans and log records of one sid paired by position where there are equally many."""
+    a = table(spark, d, "last_scans").filter("sid is not null")
+    b = table(spark, d, "scan_log").filter("sid is not null")
+    return evaluate.zipped(a, b, "sid", "row_id", "rec_id", "created_at", "scanned_at")
+
+
+_MARKERS = ("natural", "powder")
+
+
+@query("SELECT token_id, regexp_matches(raw, '(?i)(wine|sake|pork)') AND NOT (contains(raw, 'natural') OR contains(raw, 'powder')) AS guarded FROM corpus_tokens WHERE raw IS NOT NULL")
+def marker_guard(spark: SparkSession, d: str) -> DataFrame:
+    """Harvested forms with a marker that no exception excuses."""
+    return table(spark, d, "corpus_tokens").filter("raw is not null").select("token_id", noise.guarded(F.col("raw"), "(?i)(wine|sake|pork)", _MARKERS).alias("guarded"))
+
+
 @query(
     """WITH i AS (SELECT gt_id, unnest(ingredients) AS i FROM gt_records)
 SELECT 'missing_file' AS problem, count(*) FILTER (WHERE file_name IS NULL OR file_name = '') AS n FROM gt_records UNION ALL SELECT 'no_items', count(*) FILTER (WHERE ingredients IS NULL OR len(ingredients) = 0) FROM gt_records

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from kelpline.functions.distance import costs, weighted_distance
 from kelpline.operators import etl, match
-from kelpline.operators.evaluate import aligned, greedy_alignment, metrics, outcome
+from kelpline.operators.evaluate import aligned, greedy_alignment, metrics, outcome, preferred, with_overrides, zipped
 from kelpline.operators.hot_join import hot_join
 from kelpline.operators.pass_join import near_pairs
 
@@ -141,3 +141,20 @@ def test_content_version_ignores_order(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "a int, b string")
     assert etl.content_version(a).first() == etl.content_version(a.orderBy(F.desc("a"))).first()
     assert etl.content_version(a).first() != etl.content_version(a.limit(1)).first()
+
+
+def test_repair_pass_prefers_the_expected_status(spark):
+    items = spark.createDataFrame([("f", 1, "carrots", "halal"), ("f", 2, "onions", "haram")], "file_name string, gt_no int, term string, expected string")
+    found = spark.createDataFrame([("f", 10, "carrots", "haram"), ("f", 11, "carrot", "halal"), ("f", 12, "onions", "haram")], "file_name string, finding_no int, term string, status string")
+    a = aligned(items.drop("expected"), found.drop("status"))
+    assert sorted((r.gt_no, r.finding_no) for r in a.collect()) == [(1, 10), (2, 12)]
+    got = {r.gt_no: (r.finding_no, r.repaired) for r in preferred(items, found, a).collect()}
+    assert got == {1: (11, True), 2: (12, False)}
+    o = spark.createDataFrame([(2, 10)], "gt_no int, finding_no int")
+    assert sorted((r.gt_no, r.finding_no) for r in with_overrides(a, o).collect()) == [(2, 10)]
+
+
+def test_zip_needs_equal_counts(spark):
+    a = spark.createDataFrame([("x", 1, 5), ("x", 2, 4), ("y", 3, 1)], "s string, a int, t int")
+    b = spark.createDataFrame([("x", 10, 1), ("x", 11, 2), ("y", 12, 1), ("y", 13, 2)], "s string, b int, u int")
+    assert sorted((r.a, r.b) for r in zipped(a, b, "s", "a", "b", "t", "u").collect()) == [(1, 11), (2, 10)]
