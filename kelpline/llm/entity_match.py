@@ -393,6 +393,7 @@ def matches(left: DataFrame, right: DataFrame, left_key: str, right_key: str, le
     sides = [r.withColumn("node", F.xxhash64(ident)) for r in rows]
     groups = [s.groupBy("node", *PARTS).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("code")).alias("codes")) for s in sides]
     ln, rn = (g.select(F.col("node").alias(side), *[F.col(p).alias(f"{side}_{p}") for p in PARTS], F.col("codes").alias(f"{side}_codes")) for g, side in zip(groups, ("l", "r"), strict=True))
+    sizes = [g.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n")) for g, side in zip(groups, ("l", "r"), strict=True)]
     pairs = None
     for skip in PARTS:
         on = [F.col(f"l_{p}") == F.col(f"r_{p}") for p in PARTS if p != skip]
@@ -404,6 +405,23 @@ def matches(left: DataFrame, right: DataFrame, left_key: str, right_key: str, le
         pairs = found if pairs is None else pairs.unionAll(found)
     w = F.when(F.col("same"), AGREE).otherwise(DIFFER) + F.when(F.col("code"), CODE).otherwise(0.0)
     sure = propagate(pairs.select("l", "r", w.alias("w"))).filter(F.col("p") >= least)
+    sure = checkpointed(sure.join(sizes[0], "l").join(sizes[1], "r"))
     lrow = sides[0].select(F.col("node").alias("l"), F.col("row").alias(left_key))
     rrow = sides[1].select(F.col("node").alias("r"), F.col("row").alias(right_key))
-    return sure.join(lrow, "l").join(rrow, "r").select(left_key, right_key, F.col("p").alias("confidence"))
+    return _rows(sure, lrow, rrow, left_key, right_key, [s.count() for s in sides])
+
+
+def _rows(sure: DataFrame, lrow: DataFrame, rrow: DataFrame, left_key: str, right_key: str, totals: list[int], salts: int = 16) -> DataFrame:
+    """All pairs of rows of the matched nodes.
+
+    Nodes with more than a thousandth of their table's rows are few: their pairs are broadcast to the left rows, and the
+    right rows are met in salted parts. The others are joined by hash, where no key is hot.
+    """
+    out = [left_key, right_key, F.col("p").alias("confidence")]
+    hot = (F.col("l_n") > max(1, totals[0] // 1000)) | (F.col("r_n") > max(1, totals[1] // 1000))
+    cool = sure.filter(~hot).join(lrow, "l").join(rrow, "r").select(*out)
+    pairs = sure.filter(hot).select("l", "r", "p")
+    salt = F.pmod(F.xxhash64(left_key), F.lit(salts)).cast("int").alias("salt")
+    left = lrow.join(F.broadcast(pairs), "l").select(left_key, "r", "p", salt)
+    right = rrow.join(F.broadcast(pairs.select("r").distinct()), "r", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return cool.unionAll(left.join(right, ["r", "salt"]).select(*out))

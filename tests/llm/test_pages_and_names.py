@@ -131,6 +131,15 @@ def test_matches(spark, world):
     assert em.matches(ls.limit(0), rs.limit(0), "entry_no", "cat_no").count() == 0
 
 
+def test_hot_ingredient(spark, world):
+    hot = world[0][1]
+    left = [(no, names[:1], None) for no, names in world] + [(5000 + i, hot[:1], None) for i in range(60)]
+    right = [(10_000 + no, names, None) for no, names in world] + [(20_000 + i, hot[1:2], None) for i in range(50)]
+    schema = "{} long, names array<string>, e_number string"
+    got = em.matches(spark.createDataFrame(left, schema.format("a")), spark.createDataFrame(right, schema.format("b")), "a", "b")
+    assert got.count() == len(world) - 1 + 61 * 51 == got.select("a", "b").distinct().count()
+
+
 def test_slips_are_read(spark, world):
     vocab = em.learn(spark.createDataFrame([(n,) for _, n in world], "names array<string>"))
     r = em.Reader(vocab)
