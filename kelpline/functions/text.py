@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -118,3 +118,12 @@ def percent(part: Column, whole: Column) -> Column:
 def source_text(*parts: Column, sep: str = " ") -> Column:
     """One text from the fields of a source given as a string or as a struct: blank and null ones left out."""
     return F.concat_ws(sep, *[F.when(F.trim(p) != "", F.trim(p)) for p in parts])
+
+
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a costly column that later filters use as it is.
+
+    A filter on a plain column is pushed below it, with its expression written out at every place it is used; it can't
+    be pushed below a generator.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import WS, normalized
+from .text import WS, computed_once, normalized
 
 BORDERS = r"[│┃|｜┌┐└┘├┤┬┴┼─━═║]"
 #: Conjunctions that part two items.
@@ -35,7 +35,7 @@ def candidates(text: Column) -> Column:
 
 def candidate_rows(df: DataFrame, key: str, text: str, compat: bool = True) -> DataFrame:
     """(key, ord, raw, term): the candidates of each text, the first of each normal form."""
-    rows = df.select(key, F.posexplode(candidates(F.col(text))).alias("ord", "raw")).withColumn("term", normalized(F.col("raw"), compat=compat)).filter("term <> ''")
+    rows = computed_once(df.select(key, F.posexplode(candidates(F.col(text))).alias("ord", "raw")), "term", normalized(F.col("raw"), compat=compat)).filter("term <> ''")
     w = Window.partitionBy(key, "term").orderBy("ord")
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distance import weighted_similarity
 from ..functions.noise import is_short_ascii
+from ..functions.text import computed_once
 from ..functions.tokens import SINGLES
 from ..session import checkpointed
 from .pass_join import near_pairs
@@ -25,7 +26,7 @@ def strictness(status: Column, order: tuple[str, ...] = STRICTNESS) -> Column:
 def dictionary(entries: DataFrame, key: str, term: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """(term, ord, alias_no, key, status, ...) of all names of all entries; ``ord`` is the order of entries."""
     rows = entries.select(F.col(key).alias("ord"), "id", "status", *keep, F.posexplode("names").alias("alias_no", "alias"))
-    return rows.withColumn("term", term).filter("term <> ''")
+    return computed_once(rows, "term", term).filter("term <> ''")
 
 
 def exact_index(terms: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

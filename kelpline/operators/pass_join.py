@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread_small
+
 #: (largest length, allowance) steps, and the allowance beyond them.
 STEPS, BEYOND = ((2, 0), (4, 1), (7, 2)), 3
 
@@ -46,7 +48,7 @@ def near_pairs(strings: DataFrame, terms: DataFrame, string: str, term: str, on:
     t = terms.select(*keys, F.col(term).alias(term)).filter(F.length(term) > 0).distinct().withColumn("_tl", F.length(term)).withColumn("_k", kt)
     t = t.withColumn("_seg", F.explode(F.expr(_segments("_tl", "_k")))).select(*keys, term, "_tl", F.col("_seg.i").alias("_i"), F.substring(F.col(term), F.col("_seg.s"), F.col("_seg.n")).alias("_part"))
     t = t.select(*[k.alias(f"_t_{c}") for k, c in zip(keys, on, strict=True)], term, code.alias("_code"))
-    s = strings.select(*keys, F.col(string).alias(string)).filter(F.length(string) > 0).distinct().withColumn("_sl", F.length(string)).withColumn("_a", ks)
+    s = spread_small(strings.select(*keys, F.col(string).alias(string)).filter(F.length(string) > 0).distinct()).withColumn("_sl", F.length(string)).withColumn("_a", ks)
     s = s.withColumn("_tl", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_sl") - F.col("_a")), F.col("_sl") + F.col("_a")))).withColumn("_k", kt).filter(F.abs(F.col("_tl") - F.col("_sl")) <= F.least("_a", "_k"))
     s = s.withColumn("_seg", F.explode(F.expr(_segments("_tl", "_k"))))
     # where an unchanged segment can be: at most as many places off as edits can stand to its left, and to its right

@@ -12,7 +12,7 @@ from ..functions import distance, geometry, noise, section, text, tokens
 from ..operators import corpus, etl, evaluate, match, pass_join, search
 from ..operators.split_values import split_values
 from ..sources import files
-from ..session import spread
+from ..session import spread, spread_small
 from ..sources.tables import table
 from . import sql
 
@@ -56,9 +56,14 @@ def p4_values(spark: SparkSession, d: str) -> DataFrame:
     return split_values(packed_fields(spark, d))
 
 
+def _wide(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table for costly expressions, spread over the cores where its file is too small to be split."""
+    return spread(table(spark, d, name))
+
+
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    """The documents, spread over the cores where the file is too small to be split."""
-    return spread(table(spark, d, "documents"))
+    """The documents, for costly expressions."""
+    return _wide(spark, d, "documents")
 
 
 # --- normalisation ------------------------------------------------------------------------------------
@@ -81,7 +86,7 @@ def normalize_names(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT finding_id, {sql.folded('raw')} AS folded, {sql.normalized('raw', False)} AS build_key FROM findings")
 def phrase_and_char_folds(spark: SparkSession, d: str) -> DataFrame:
     """Folded tokens, and the form dictionaries are built with."""
-    return table(spark, d, "findings").select("finding_id", text.folded(F.col("raw")).alias("folded"), text.normalized(F.col("raw"), folds=False, compat=False).alias("build_key"))
+    return _wide(spark, d, "findings").select("finding_id", text.folded(F.col("raw")).alias("folded"), text.normalized(F.col("raw"), folds=False, compat=False).alias("build_key"))
 
 
 _GT = "(SELECT gt_id, file_name, unnest(ingredients) AS i, generate_subscripts(ingredients, 1) - 1 AS gi FROM gt_records)"
@@ -207,7 +212,7 @@ SELECT rec_id, string_agg(v, chr(10) ORDER BY i) AS merged, CAST(sum(length(k))
 def merged_passes(spark: SparkSession, d: str) -> DataFrame:
     """Lines of all passes of a scan once each, and whether they cover too little."""
     texts = F.filter("raw.text", lambda x: x.isNotNull())
-    m = table(spark, d, "scan_log").select("rec_id", section.merged_lines(texts).alias("merged")).filter("merged is not null and merged <> ''")
+    m = _wide(spark, d, "scan_log").select("rec_id", section.merged_lines(texts).alias("merged")).filter("merged is not null and merged <> ''")
     cover = F.length(F.regexp_replace("merged", r"[\s　]", "")).cast("bigint")
     return m.select("rec_id", "merged", cover.alias("coverage"), (cover < 180).alias("low_quality"))
 
@@ -220,7 +225,7 @@ _CAND = f"SELECT row_id, unnest(c) AS raw, generate_subscripts(c, 1) - 1 AS ord
 @query(_CAND)
 def candidate_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Candidate terms of every section, repeats included."""
-    return table(spark, d, "last_scans").select("row_id", F.posexplode(tokens.candidates(F.col("section"))).alias("ord", "raw")).withColumn("ord", F.col("ord").cast("bigint"))
+    return _wide(spark, d, "last_scans").select("row_id", F.posexplode(tokens.candidates(F.col("section"))).alias("ord", "raw")).withColumn("ord", F.col("ord").cast("bigint"))
 
 
 @query(f"WITH c AS ({_CAND}), n AS (SELECT *, {sql.normalized('raw')} AS term FROM c) SELECT row_id, term, arg_min(raw, ord) AS raw, min(ord) AS ord FROM n WHERE term <> '' GROUP BY row_id, term")
@@ -316,7 +321,7 @@ _TERMS = f"(SELECT DISTINCT {sql.normalized('raw')} AS t FROM findings WHERE raw
 
 
 def _finding_terms(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "findings").filter("raw is not null").select(text.normalized(F.col("raw"), compat=False).alias("term"))
+    return _wide(spark, d, "findings").filter("raw is not null").select(text.normalized(F.col("raw"), compat=False).alias("term"))
 
 
 @query(f"SELECT t AS term, {_NOISE} AS noise, {_WORDS} AS word, {_SOUP} AS soup, {_NOTE} AS note, {_AMOUNT} AS amount, regexp_matches(t, '^[\\x20-\\x7e]{{1,5}}\\z') AS short FROM {_TERMS}")
@@ -329,7 +334,7 @@ def noise_flags(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT file_name, count(*) AS n, count_if({_NOISE}) AS noisy FROM (SELECT file_name, {sql.normalized('raw')} AS t FROM findings WHERE raw IS NOT NULL) GROUP BY file_name")
 def noise_filter_counts(spark: SparkSession, d: str) -> DataFrame:
     """Tokens and boilerplate of every image."""
-    f = table(spark, d, "findings").filter("raw is not null").select("file_name", text.normalized(F.col("raw"), compat=False).alias("t"))
+    f = _wide(spark, d, "findings").filter("raw is not null").select("file_name", text.normalized(F.col("raw"), compat=False).alias("t"))
     return f.groupBy("file_name").agg(F.count("*").alias("n"), F.count_if(noise.is_noise(F.col("t"))).alias("noisy"))
 
 
@@ -461,7 +466,7 @@ def index_strictest_wins(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT f.finding_id, x.id AS dict_id, x.status AS dict_status FROM (SELECT finding_id, {sql.normalized('raw')} AS term FROM findings WHERE raw IS NOT NULL) f LEFT JOIN {_INDEX} x ON f.term = x.term AND (length(f.term) > 1 OR f.term IN ({', '.join(map(sql.q, tokens.SINGLES))}))")
 def exact_match(spark: SparkSession, d: str) -> DataFrame:
     """Every finding with the entry of its term."""
-    f = table(spark, d, "findings").filter("raw is not null").select("finding_id", text.normalized(F.col("raw"), compat=False).alias("term"))
+    f = _wide(spark, d, "findings").filter("raw is not null").select("finding_id", text.normalized(F.col("raw"), compat=False).alias("term"))
     return match.exact_match(f, match.exact_index(_dict(spark, d, False)[0])).select("finding_id", F.col("entry.id").alias("dict_id"), F.col("entry.status").alias("dict_status"))
 
 
@@ -472,8 +477,9 @@ def rule_first_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    raw = table(spark, d, "findings").select("raw").filter("raw is not null").distinct()
-    return raw.select(text.normalized(F.col("raw")).alias("term")).filter("term <> ''").distinct().filter(~noise.is_noise(F.col("term")))
+    raw = spread_small(table(spark, d, "findings").select("raw").filter("raw is not null").distinct())
+    terms = text.computed_once(raw, "term", text.normalized(F.col("raw"))).select("term")
+    return terms.filter("term <> ''").distinct().filter(~noise.is_noise(F.col("term")))
 
 
 @query()
@@ -503,7 +509,7 @@ def layered_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _found(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "findings").filter("raw is not null and file_name is not null")
+    f = _wide(spark, d, "findings").filter("raw is not null and file_name is not null")
     score = F.when(F.col("kind") == "exact", 1.0).when(F.col("kind") == "fuzzy", 0.8)
     status = F.when(F.col("status") == "unmatched", None).otherwise(F.col("status"))
     return f.select("file_name", F.col("finding_id").alias("ord"), text.normalized(F.col("raw"), compat=False).alias("term"), status.alias("status"), score.alias("score")).filter("term <> ''")
@@ -593,7 +599,7 @@ SELECT 'jp-' || CAST(row_number() OVER (ORDER BY k0) - 1 AS VARCHAR) AS id, term
 )
 def anti_join_new_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Harvested forms the catalogue doesn't know, numbered in order of first sight."""
-    t = table(spark, d, "corpus_tokens").select(text.normalized(F.col("raw"), folds=False, compat=False).alias("term"), "raw", "token_id").filter("term is not null")
+    t = _wide(spark, d, "corpus_tokens").select(text.normalized(F.col("raw"), folds=False, compat=False).alias("term"), "raw", "token_id").filter("term is not null")
     known = table(spark, d, "catalog_entries").select(F.explode("names").alias("n")).select(text.normalized(F.col("n"), folds=False, compat=False).alias("term"))
     return etl.new_tokens(t, known, "term", "token_id")
 
@@ -605,7 +611,7 @@ SELECT term AS term, CAST(n AS BIGINT) AS n, CASE WHEN term IN (SELECT term FROM
 )
 def unlabelled_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Harvested terms without a curated entry and without a rule, and whether the catalogue has them."""
-    c = table(spark, d, "corpus_tokens").filter("bucket is not null and raw is not null").groupBy(text.normalized(F.col("raw"), compat=False).alias("term")).agg(F.sum("n").alias("n"))
+    c = _wide(spark, d, "corpus_tokens").filter("bucket is not null and raw is not null").groupBy(text.normalized(F.col("raw"), compat=False).alias("term")).agg(F.sum("n").alias("n"))
     curated, catalog = _dict(spark, d, False)
     left = c.join(curated.select("term").distinct(), "term", "left_anti").filter(match.first_rule(F.col("term"), _PLAIN_RULES).isNull())
     tagged = left.join(catalog.select("term", F.lit("catalog").alias("tag")).distinct(), "term", "left")
@@ -647,7 +653,7 @@ SELECT ord, term, CASE WHEN skip IS NULL AND k > 1 THEN 'duplicate-id' ELSE skip
 )
 def label_proposals(spark: SparkSession, d: str) -> DataFrame:
     """Proposed labels with the first reason to skip each."""
-    items = table(spark, d, "corpus_tokens").filter("raw is not null").select(F.col("token_id").alias("ord"), text.normalized(F.col("raw"), compat=False).alias("term"))
+    items = _wide(spark, d, "corpus_tokens").filter("raw is not null").select(F.col("token_id").alias("ord"), text.normalized(F.col("raw"), compat=False).alias("term"))
     known = _dict(spark, d, False)[0].select("term", F.lit(True).alias("_known")).distinct()
     j = items.join(known, "term", "left")
     skips = {"fragment": F.length("term") < 3, "noise": noise.is_noise(F.col("term")), "covered": F.col("_known")}
@@ -708,7 +714,7 @@ SELECT kind, count(*) AS terms, CAST(sum(n) AS BIGINT) AS n, floor(sum(n) / (SEL
 )
 def weighted_coverage(spark: SparkSession, d: str) -> DataFrame:
     """How much of the harvest, by count, the dictionary covers."""
-    c = table(spark, d, "corpus_tokens").filter("bucket is not null and raw is not null").select(text.normalized(F.col("raw"), compat=False).alias("term"), "n")
+    c = _wide(spark, d, "corpus_tokens").filter("bucket is not null and raw is not null").select(text.normalized(F.col("raw"), compat=False).alias("term"), "n")
     known = _dict(spark, d, False)[0].select("term", F.lit(True).alias("_known")).distinct()
     j = c.join(known, "term", "left")
     return corpus.coverage(j, F.coalesce(F.col("_known"), F.lit(False)), noise.is_noise(F.col("term")))
@@ -754,7 +760,7 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     """Items with the finding of the same term in the same image, judged."""
     gt = table(spark, d, "gt_records")
     g = evaluate.facts(gt, "gt_id", "file_name", "ingredients").join(gt.select("gt_id", "category"), "gt_id").withColumn("term", text.normalized(F.col("raw"), compat=False))
-    f = table(spark, d, "findings").filter("raw is not null").select("file_name", "finding_id", F.when(F.col("status") != "unmatched", F.col("status")).alias("status"), text.normalized(F.col("raw"), compat=False).alias("term"))
+    f = _wide(spark, d, "findings").filter("raw is not null").select("file_name", "finding_id", F.when(F.col("status") != "unmatched", F.col("status")).alias("status"), text.normalized(F.col("raw"), compat=False).alias("term"))
     best = f.groupBy("file_name", "term").agg(F.min_by("status", F.when(F.col("status").isNotNull(), F.col("finding_id"))).alias("status"), F.lit(True).alias("_m"))
     j = g.join(best, ["file_name", "term"], "left").withColumn("matched", F.coalesce("_m", F.lit(False)))
     return j.withColumn("outcome", evaluate.outcome(F.col("expected"), F.col("status"), F.col("matched")))
@@ -795,7 +801,7 @@ def threshold_table(spark: SparkSession, d: str) -> DataFrame:
 def noise_leakage(spark: SparkSession, d: str) -> DataFrame:
     """Judged terms of each image that its record doesn't list."""
     gt = evaluate.facts(table(spark, d, "gt_records"), "gt_id", "file_name", "ingredients").select("file_name", text.normalized(F.col("raw"), compat=False).alias("term"))
-    f = table(spark, d, "findings").filter("raw is not null and status <> 'unmatched'").select("file_name", text.normalized(F.col("raw"), compat=False).alias("term")).distinct()
+    f = _wide(spark, d, "findings").filter("raw is not null and status <> 'unmatched'").select("file_name", text.normalized(F.col("raw"), compat=False).alias("term")).distinct()
     known = f.join(gt.select("file_name").distinct(), "file_name", "left_semi").join(gt.distinct().withColumn("hit", F.lit(True)), ["file_name", "term"], "left")
     return known.groupBy("file_name").agg(F.count("*").alias("verdicts"), F.count_if(F.col("hit").isNull()).alias("leaked"))
 
@@ -805,7 +811,7 @@ def greedy_alignment(spark: SparkSession, d: str) -> DataFrame:
     """Items and findings of each image aligned one to one by likeness."""
     gt = evaluate.facts(table(spark, d, "gt_records"), "gt_id", "file_name", "ingredients")
     items = gt.select("file_name", (F.col("gt_id") * 1000 + F.col("gi")).alias("gt_no"), text.normalized(F.col("raw"), compat=False).alias("term")).filter("term <> '' and file_name is not null")
-    f = table(spark, d, "findings").filter("raw is not null").select("file_name", F.col("finding_id").alias("finding_no"), text.normalized(F.col("raw"), compat=False).alias("term")).filter("term <> ''")
+    f = _wide(spark, d, "findings").filter("raw is not null").select("file_name", F.col("finding_id").alias("finding_no"), text.normalized(F.col("raw"), compat=False).alias("term")).filter("term <> ''")
     return evaluate.aligned(items, f).withColumn("score", F.round("score", 6))
 
 
@@ -814,7 +820,7 @@ def preferred_alignment(spark: SparkSession, d: str) -> DataFrame:
     """The alignment of items and findings after the repair pass for expected statuses."""
     gt = evaluate.facts(table(spark, d, "gt_records"), "gt_id", "file_name", "ingredients")
     items = gt.select("file_name", (F.col("gt_id") * 1000 + F.col("gi")).alias("gt_no"), text.normalized(F.col("raw"), compat=False).alias("term"), "expected").filter("term <> '' and file_name is not null")
-    f = table(spark, d, "findings").filter("raw is not null").select("file_name", F.col("finding_id").alias("finding_no"), text.normalized(F.col("raw"), compat=False).alias("term"), "status").filter("term <> ''")
+    f = _wide(spark, d, "findings").filter("raw is not null").select("file_name", F.col("finding_id").alias("finding_no"), text.normalized(F.col("raw"), compat=False).alias("term"), "status").filter("term <> ''")
     return evaluate.preferred(items, f, evaluate.aligned(items.drop("expected"), f.drop("status"))).withColumn("score", F.round("score", 6))
 
 

@@ -49,3 +49,13 @@ def spread(df: DataFrame) -> DataFrame:
     """
     want = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy work on a shuffled frame all cores, whatever its bytes.
+
+    Adaptive execution merges partitions that are small in bytes, although each row may cost much or explode; a
+    round-robin exchange with a fixed number of partitions is left alone.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
