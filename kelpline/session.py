@@ -45,8 +45,11 @@ def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy row-local work at least one partition per core.
 
     A scan that already has that many splits (any large input) is left alone, so this shuffles only
-    inputs too small to have been split by the file reader.
+    inputs too small to have been split by the file reader. A frame that holds exchanges is left alone too: asking for
+    its partitions would run them.
     """
+    if "Adaptive" in df._jdf.queryExecution().executedPlan().getClass().getSimpleName():
+        return df
     want = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
 
