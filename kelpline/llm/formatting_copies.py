@@ -13,8 +13,8 @@ they are shuffled. Copies learn their representative through a join in which the
 than a thousandth of all rows (so fewer than a thousand of them) are broadcast: no hot group is in one task.
 
 Defined results: null equals only null, not the empty string, array or value; empty elements of ``names``
-and ``sources`` count as elements; repeated names in one record count each; columns other than those
-compared are ignored.
+and ``sources`` count as elements; repeated names in one record count each. All columns but the key and
+those in ``skip`` are compared, whatever they are called; an empty table has no copies.
 """
 
 from __future__ import annotations

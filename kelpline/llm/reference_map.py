@@ -254,6 +254,7 @@ def mapped_values(values: DataFrame, terms: DataFrame, column: str = "val") -> D
 
 def mapped_rows(values: DataFrame, terms: DataFrame) -> DataFrame:
     """(field, row_id, pos, val, term_id, score) of every value that means a term."""
+    values = values.select("field", "row_id", "pos", "val")
     found = checkpointed(mapped_values(values, terms).filter("term_id is not null"))
     return hot_join(values, found.drop("edits"), "val", "n", values.count()).drop("n")
 

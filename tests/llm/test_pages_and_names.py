@@ -71,6 +71,8 @@ def test_mapping_frames(spark):
     v = spark.createDataFrame([("f", 1, 0, "carot powder"), ("f", 2, 0, "carrot powder"), ("f", 3, 0, None), ("f", 4, 0, "zzz"), ("f", 4, 1, "carot powder")], "field string, row_id long, pos int, val string")
     assert sorted(map(tuple, rm.spelled_otherwise(v.filter("val is not null"), terms).collect())) == [("f", 1, 0, 1), ("f", 4, 1, 1)]
     assert {r.val: r.term_id for r in rm.mapped_values(v, terms).collect()} == {"carot powder": 1, "carrot powder": 1, "zzz": None}
+    clash = v.withColumn("n", F.lit(1)).withColumn("term_id", F.lit(9)).withColumn("score", F.lit(0))
+    assert rm.mapped_rows(clash.filter("val is not null"), terms).count() == 3
     assert rm.mapped_values(v.limit(0), terms).count() == 0
     assert rm.mapped_values(v, terms.limit(0)).filter("term_id is not null").count() == 0
 
@@ -147,3 +149,23 @@ def test_slips_are_read(spark, world):
     for name in ("pebetamu twice milled lotus rot gel", "twice milled lotus root gel, pebetamu", "PEBETAMU NIDOBIKI RENKON GERU", "ペベタム二度挽き蓮根ゲル", "pebetamutwicemilledlotusrootgel", "pebetamu nido. renkon geru"):
         assert r.read(em.forms_of(name))[1] == want
     assert r.read(em.forms_of("walnut extract")) is None and r.read(()) is None
+
+
+def test_index_recall_against_brute_force():
+    rng = random.Random(8)
+    index = rm.Index(TERMS)
+    names = [(s, t[0]) for t in TERMS for s in t[1:]]
+    hits = total = 0
+    for _ in range(600):
+        s, t = rng.choice(names)
+        if len(s) < 6:
+            continue
+        i = rng.randrange(1, len(s) - 1)
+        s = rng.choice([s[:i] + s[i + 1 :], s[:i] + s[i] + s[i:], s[:i] + s[i + 1] + s[i] + s[i + 2 :]])
+        key = rm._NONWORD.sub("", rm.stripped(s))
+        dist = sorted((rm.osa(key, k, 2), int(index.term[j])) for j, k in enumerate(index.keys))
+        near = {x for d, x in dist if d == dist[0][0]}
+        if near == {t} and dist[0][0] <= rm.allowed(len(key), any(c > "㐀" for c in key)):
+            total += 1
+            hits += index.find(s)[0] == t
+    assert total > 200 and hits / total >= 0.97

@@ -54,3 +54,17 @@ def test_frame_keeps_other_columns(spark):
 
 def test_long(spark):
     assert both("ｘ" * 300_000) == ("x" * 300_000, True)
+
+
+WIDE = [chr(c) for c in range(0xFF01, 0xFF5F)] + [chr(c) for c in range(0xFF66, 0xFFA0)] + list("abガカ")
+
+
+@given(st.text(alphabet=WIDE, max_size=20))
+def test_width_forms_equal_compatibility_normal_form(s):
+    assert both(s)[0] == unicodedata.normalize("NFKC", s)
+
+
+@given(st.text(alphabet=list("aeiouAEçñcn") + ["̀", "́", "̂", "̃", "̧"], max_size=12))
+def test_single_marks_compose(s):
+    if not any(a in "̧̀́̂̃" and b in "̧̀́̂̃" for a, b in zip(s, s[1:], strict=False)):
+        assert both(s)[0] == unicodedata.normalize("NFC", s)
