@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +11,19 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from . import encode, entity_match, formatting_copies, mixture, reference_map, scan_repair, stuffed_pages, term_counts, unify
 
+_MODELS: dict[str, scan_repair.Model] = {}
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _scan_model(spark: SparkSession, d: str) -> scan_repair.Model:
-    """The models, trained on the bounded clean sample of the documents."""
-    return scan_repair.fit(scan_repair.clean_sample(table(spark, d, "documents")))
+    """The models, trained on the bounded clean sample of the documents; one for the same sample."""
+    texts = scan_repair.clean_sample(table(spark, d, "documents"))
+    key = hashlib.sha256("\0".join(texts).encode("utf-8", "replace")).hexdigest()
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = scan_repair.fit(texts)
+    return _MODELS[key]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
