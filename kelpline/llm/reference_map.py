@@ -3,7 +3,8 @@
 Values are deduplicated, brought to plain characters, and stripped of amounts, marks and remarks.
 Candidates come from an inverted index of character bigrams and trigrams over the list's spellings, scored
 by cosine with inverse-document-frequency weights. The best candidate is accepted above a threshold
-and with a margin over the best one of another term; an exact check by edit distance (with swaps) follows.
+and with a margin over the best one of another term; an exact check by edit distance (with swaps) follows, of every
+spelling that reaches the threshold: length, shared n-grams and character counts only rule out what can't pass it.
 
 The list is split into raw material and form, so that the index also holds mixed spellings, turned-round
 ones and combinations that are *not* in the list: a value nearer to one of those means no term.
@@ -32,7 +33,9 @@ from .unify import unify_column
 
 MAX_TERMS = 100_000
 #: Least cosine, and least lead in it over another term at the same edit distance.
-THRESHOLD, MARGIN, CANDIDATES = 0.25, 0.02, 24
+THRESHOLD, MARGIN = 0.25, 0.02
+#: Bigrams and trigrams of a key that one edit can touch (a swap touches three and four); buckets of counted characters.
+TOUCHED, BUCKETS = 7, 64
 # Remarks that may stand before or after a name.
 BEFORE = ("natural ", "organic ", "premium ", "有機", "国産", "特選")
 AFTER = ("加工品", "imported)")
@@ -94,6 +97,10 @@ def _grams(key: str) -> list[str]:
     return list({*(a + b for a, b in pairwise(s)), *(s[i : i + 3] for i in range(len(s) - 2))})
 
 
+def _bag(key: str) -> np.ndarray:
+    return np.bincount([ord(c) % BUCKETS for c in key], minlength=BUCKETS)
+
+
 class Index:
     """The inverted n-gram index over all spellings of (term_id, term, term_ja, reading, romaji) rows."""
 
@@ -132,7 +139,7 @@ class Index:
                 if (b, f) not in listed:
                     self._spell(keys, tight, p, tails, -1)
         self.keys = list(keys)
-        self.most = [1 if k in tight else 9 for k in self.keys]
+        self.most = np.array([1 if k in tight else 9 for k in self.keys], np.int32)
         self.term = np.array([keys[k] for k in self.keys], np.int64)
         self.at = {k: i for i, k in enumerate(self.keys)}
         posts: dict[str, list[int]] = defaultdict(list)
@@ -144,6 +151,9 @@ class Index:
         self.posts = {g: np.array(p, np.int32) for g, p in posts.items()}
         self.norm = np.array([np.sqrt(sum(self.idf[g] ** 2 for g in _grams(k))) for k in self.keys])
         self.rare = float(np.log(1 + n))
+        self.length = np.array([len(k) for k in self.keys], np.int32)
+        self.grams = np.array([len(_grams(k)) for k in self.keys], np.int32)
+        self.bags = np.array([_bag(k) for k in self.keys], np.int16).reshape(-1, BUCKETS)
 
     @staticmethod
     def _spell(keys: dict[str, int], tight: set[str], p: tuple, f: tuple, term: int) -> None:
@@ -156,6 +166,16 @@ class Index:
         for s in forms:
             keys.setdefault(_NONWORD.sub("", stripped(s)), term)
 
+    def _possible(self, key: str, grams: int, posts: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
+        """All spellings above the threshold, without those that can't be within their edit distance of a key."""
+        i = np.flatnonzero(score >= THRESHOLD)
+        near = np.minimum(most, self.most[i])
+        shared = np.bincount(posts, minlength=len(self.keys))[i]
+        ok = (np.abs(self.length[i] - len(key)) <= near) & (np.maximum(self.grams[i], grams) - shared <= TOUCHED * near)
+        i, near = i[ok], near[ok]
+        # a substitution changes two counts, a swap none
+        return i[np.abs(self.bags[i] - _bag(key)).sum(1) <= 2 * near]
+
     def find(self, value: str) -> tuple[int, float, int]:
         """(term or -1, cosine, edit distance) of one plain value."""
         v = stripped(value)
@@ -176,15 +196,13 @@ class Index:
                 continue
             w = np.array([self.idf[g] for g in known])
             size = np.array([len(self.posts[g]) for g in known])
-            score = np.bincount(np.concatenate([self.posts[g] for g in known]), np.repeat(w * w, size), len(self.keys))
+            posts = np.concatenate([self.posts[g] for g in known])
+            score = np.bincount(posts, np.repeat(w * w, size), len(self.keys))
             length = np.sqrt((w * w).sum() + (len(grams) - len(known)) * self.rare**2)
             score /= self.norm * length
-            top = np.argpartition(-score, min(CANDIDATES, len(score) - 1))[:CANDIDATES]
             most = allowed(len(k), not k.isascii() and any(c > "㐀" for c in k))
-            for i in top[np.argsort(-score[top])]:
-                if score[i] < THRESHOLD:
-                    break
-                near = min(most, self.most[i])
+            for i in self._possible(k, len(grams), posts, score, most):
+                near = min(most, int(self.most[i]))
                 d = osa(k, self.keys[i], near)
                 if d <= near:
                     t = int(self.term[i])

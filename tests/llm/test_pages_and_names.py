@@ -169,3 +169,25 @@ def test_index_recall_against_brute_force():
             total += 1
             hits += index.find(s)[0] == t
     assert total > 200 and hits / total >= 0.97
+
+
+def test_every_spelling_above_the_threshold_is_checked(data):
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table(f"{data}/reference_terms.parquet").to_pylist()
+    index = rm.Index([tuple(r[c] for c in ("term_id", "term", "term_ja", "reading", "romaji")) for r in rows])
+    grams = [{*rm._grams(k)} for k in index.keys]
+    for key in ("あつkのうしゅくぶつ", "きそあにだしじる", "kごぬでんぷん", "aこtちょうみりょう", "りくふんまつ", "きbpesuto"):
+        mine = rm._grams(key)
+        size = sum(index.idf.get(g, index.rare) ** 2 for g in mine) ** 0.5
+        want = {}
+        for j, k in enumerate(index.keys):
+            near = min(rm.allowed(len(key), False), int(index.most[j]))
+            cosine = sum(index.idf[g] ** 2 for g in grams[j] & {*mine}) / size / index.norm[j]
+            d = rm.osa(key, k, near)
+            if cosine >= rm.THRESHOLD and d <= near:
+                t = int(index.term[j])
+                want[t] = min(want.get(t, (9, 0)), (d, -cosine))
+        order = sorted(want.items(), key=lambda x: (x[1], x[0]))
+        tie = len(order) > 1 and order[1][1][0] == order[0][1][0] and order[1][1][1] - order[0][1][1] < rm.MARGIN
+        assert index.find(key)[0] == (-1 if tie or not order else order[0][0])
