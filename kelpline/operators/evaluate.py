@@ -16,26 +16,45 @@ def facts(gt: DataFrame, key: str, file: str, items: str) -> DataFrame:
     return gt.select(F.col(key).alias("gt_id"), F.col(file).alias("file_name"), F.posexplode(items).alias("gi", "_i")).select("gt_id", "file_name", "gi", "_i.raw", F.lower(F.trim("_i.expected")).alias("expected"), F.coalesce("_i.hazard", F.lit(False)).alias("hazard"))
 
 
-def greedy_alignment(pairs: DataFrame, left: str, right: str, score: str, rounds: int = 50) -> DataFrame:
+def greedy_alignment(pairs: DataFrame, left: str, right: str, score: str) -> DataFrame:
     """One-to-one pairs by descending score, then left, then right: what a sequential greedy pass gives.
 
-    In each round the pairs that are the best of both their ends are taken, all at once; since the order is total, the
-    result is the sequential one. Rounds end when no pair is left.
+    In each round the pairs that are the best of both their ends are taken, all at once, and blocks of ties by rank; since the
+    order is total, the result is the sequential one. Rounds end when no pair is left: each takes at least the first one.
     """
     order = F.struct(-F.col(score), F.col(left), F.col(right))
     open_ = checkpointed(pairs.select(left, right, score).withColumn("_o", order))
-    taken = None
-    for _ in range(rounds):
+    taken, rounds = None, 0
+    while not open_.isEmpty():
         a = open_.groupBy(left).agg(F.min("_o").alias("_l"))
         b = open_.groupBy(right).agg(F.min("_o").alias("_r"))
-        best = checkpointed(open_.join(a, left).join(b, right).filter("_o = _l and _o = _r").select(left, right, score))
-        if best.isEmpty():
-            break
-        taken = best if taken is None else taken.unionByName(best)
+        first = open_.join(a, left).join(b, right).filter("_o = _l and _o = _r").select(left, right, score)
+        best = checkpointed(first.unionByName(_tied(open_, left, right, score)).distinct())
+        taken, rounds = best if taken is None else taken.unionByName(best), rounds + 1
+        if rounds % 16 == 0:  # keeps the plan short
+            taken = checkpointed(taken)
         open_ = checkpointed(open_.join(best.select(left), left, "left_anti").join(best.select(right), right, "left_anti"))
     return taken if taken is not None else pairs.select(left, right, score).limit(0)
 
 
+def _tied(open_: DataFrame, left: str, right: str, score: str) -> DataFrame:
+    """Pairs by rank of blocks of ties: lefts and rights all of which have each other, and no one else, as their best.
+
+    The sequential pass gives the k-th left of a block its k-th right. Lefts are grouped by a hash of their best rights; counts
+    then tell exactly whether a group is a block.
+    """
+    top_l, top_r = (open_.groupBy(c).agg(F.max(score).alias(n)) for c, n in ((left, "_sl"), (right, "_sr")))
+    top = open_.join(top_l, left).join(top_r, right).select(left, right, score, "_sl", "_sr")
+    of_l = top.filter(F.col(score) == F.col("_sl")).groupBy(left).agg(F.count("*").alias("_nr"), F.bit_xor(F.xxhash64(right)).alias("_b"), F.bool_and(F.col(score) == F.col("_sr")).alias("_ok"))
+    of_r = top.filter(F.col(score) == F.col("_sr")).groupBy(right).agg(F.count("*").alias("_nl"))
+    key = ["_b", "_nr", score]
+    both = top.filter((F.col(score) == F.col("_sl")) & (F.col(score) == F.col("_sr"))).join(of_l, left).join(of_r, right)
+    sums = both.groupBy(*key).agg(F.countDistinct(left).alias("_a"), F.countDistinct(right).alias("_c"), F.bool_and("_ok").alias("_all"), F.min("_nl").alias("_lo"), F.max("_nl").alias("_hi"))
+    block = both.join(sums.filter("_all and _c = _nr and _lo = _a and _hi = _a").select(*key), key)
+    ranked = [block.select(*key, c).distinct().withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(c))) for c in (left, right)]
+    return ranked[0].join(ranked[1], [*key, "_k"]).select(left, right, score)
+
+
 def aligned(items: DataFrame, findings: DataFrame, least: float = 0.6) -> DataFrame:
     """(file_name, gt_no, finding_no, score) of items and findings of one image, one to one.
 

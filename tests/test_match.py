@@ -93,6 +93,17 @@ def test_greedy_rounds_equal_the_sequential_pass(spark):
     assert greedy_alignment(df.limit(0), "l", "r", "score").count() == 0
 
 
+def test_greedy_takes_long_ties_to_the_end(spark):
+    ties = [(a, 100 + b, 1.0) for a in range(60) for b in range(55)] + [(a, 100 + b, 0.5) for a in range(58, 62) for b in range(50, 58)]
+    want, used = set(), set()
+    for a, b, _ in sorted(ties, key=lambda x: (-x[2], x[0], x[1])):
+        if not {("l", a), ("r", b)} & used:
+            want.add((a, b))
+            used |= {("l", a), ("r", b)}
+    got = [(x.l, x.r) for x in greedy_alignment(spark.createDataFrame(ties, "l int, r int, score double"), "l", "r", "score").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 55
+
+
 def test_alignment_pairs_repeats_in_order(spark):
     items = spark.createDataFrame([("f", 1, "carrot"), ("f", 2, "carrot"), ("g", 3, "onions")], "file_name string, gt_no int, term string")
     found = spark.createDataFrame([("f", 10, "carrot"), ("f", 11, "carrot"), ("f", 12, "carrot"), ("g", 13, "onionz")], "file_name string, finding_no int, term string")
