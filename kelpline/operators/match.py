@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distance import weighted_similarity
+from ..functions.distance import characters, folded, similarity, weighted_similarity
 from ..functions.noise import is_short_ascii
 from ..functions.text import computed_once
 from ..functions.tokens import SINGLES
-from ..session import checkpointed
+from ..session import checkpointed, spread_by
 from .pass_join import near_pairs
 
 #: Statuses from the strictest on. A duplicate term keeps the strictest one.
@@ -110,21 +110,36 @@ def layered_match(tokens: DataFrame, curated: DataFrame, catalog: DataFrame, rul
     return near(t, catalog, "catalog", FUZZY_CATALOG).select("term", "m.*")
 
 
-def collapsed(findings: DataFrame, label: str, least: float = 0.4, least_short: float = 0.5, weighted: bool = False) -> DataFrame:
+#: Pairs of terms of one label that are compared in one part.
+PART = 20_000_000
+
+
+def collapsed(findings: DataFrame, label: str, least: float = 0.4, least_short: float = 0.5, weighted: bool = True) -> DataFrame:
     """Findings (label, ord, term, status, score) without repeats and shadows.
 
     Of each term the best score stays (then the first). A weak finding, one without status or of unknown
-    status, goes if a strong finding of the same label is similar to it. Candidates are the near pairs within
-    the label, so no label's findings are all compared.
+    status, goes if a strong finding of the same label is similar to it; up to three characters it must be more so. At such
+    a low similarity nothing shorter than the whole term is sure to be shared, so all weak and strong terms of a label meet, large
+    labels in parts. Characters in common, then the plain distance, rule out and decide most; the rest is weighted.
     """
     w = Window.partitionBy(label, "term").orderBy(F.col("score").desc_nulls_last(), "ord")
-    best = findings.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    best = checkpointed(findings.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n"))
     weak = F.col("status").isNull() | (F.col("status") == "unknown")
-    strong = best.filter(~weak).select(label, F.col("term").alias("near"))
-    pairs = near_pairs(best.filter(weak).select(label, "term"), strong, "term", "near", (label,))
-    n = F.greatest(F.length("term"), F.length("near"))
-    score = weighted_similarity(F.col("term"), F.col("near")) if weighted else 1 - F.col("edits") / n
-    gate = F.when(F.least(F.length("term"), F.length("near")) <= 3, least_short).otherwise(least)
-    shadowed = pairs.withColumn("s", score).filter(F.col("s") >= gate).select(label, "term").distinct()
-    gone = shadowed.withColumn("_gone", F.lit(True))
-    return best.join(gone, [label, "term"], "left").filter(~(weak & F.coalesce(F.col("_gone"), F.lit(False)))).drop("_gone")
+    like = folded(F.col("term")) if weighted else F.col("term")
+    forms = best.select(label, "term", weak.alias("_weak"), like.alias("_form")).withColumn("_bits", characters(F.col("_form")))
+    sizes = forms.groupBy(label).agg(F.ceil(F.count_if("_weak") * F.count_if(~F.col("_weak")) / PART).cast("int").alias("_parts")).filter("_parts > 0")
+    placed = checkpointed(forms.join(sizes, label))
+    asked = placed.filter("_weak").withColumn("_part", F.pmod(F.xxhash64("term"), F.col("_parts")).cast("int")).drop("_weak", "_parts")
+    strong = placed.filter("not _weak").select(label, F.col("term").alias("near"), F.col("_form").alias("_near"), F.col("_bits").alias("_with"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    gate = F.when(F.length("term") <= 3, least_short).otherwise(least)
+
+    def close(terms: DataFrame) -> DataFrame:
+        n = F.greatest(F.length("term"), F.length("near"))
+        lacking = F.greatest(F.bit_count(F.col("_bits").bitwiseAND(F.bitwise_not("_with"))), F.bit_count(F.col("_with").bitwiseAND(F.bitwise_not("_bits"))), F.abs(F.length("term") - F.length("near")))
+        return spread_by(terms, label, "_part").join(spread_by(strong, label, "_part"), [label, "_part"]).filter(1 - lacking / n >= gate)
+
+    gone = checkpointed(close(asked).filter(similarity(F.col("term"), F.col("near")) >= gate).select(label, "term").distinct())
+    if weighted:
+        rest = close(asked.join(gone, [label, "term"], "left_anti")).filter(similarity(F.col("_form"), F.col("_near")) >= gate)
+        gone = gone.unionByName(rest.filter(weighted_similarity(F.col("term"), F.col("near")) >= gate).select(label, "term").distinct())
+    return best.join(gone.withColumn("_gone", F.lit(True)), [label, "term"], "left").filter(~(weak & F.coalesce(F.col("_gone"), F.lit(False)))).drop("_gone")

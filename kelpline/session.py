@@ -62,3 +62,9 @@ def spread_small(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def spread_by(df: DataFrame, *keys: str) -> DataFrame:
+    """As ``spread_small``, with equal keys in one place."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)

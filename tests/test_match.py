@@ -72,6 +72,22 @@ def test_collapse(spark):
     assert sorted((r.label, r.ord) for r in match.collapsed(f, "label").collect()) == [(1, 1), (2, 4)]
 
 
+def test_collapse_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(match, "PART", 300, raising=False)
+    rng, c = random.Random(9), costs()
+    words = ["".join(rng.choice("カガ力oO0一ーxy") for _ in range(rng.randint(1, 12))) for _ in range(160)]
+    rows = [(i % 2, i, t, rng.choice([None, "unknown", "unknown", "unknown", "halal", "haram"]), None) for i, t in enumerate(words)]
+    first = {}
+    for r in rows:
+        first.setdefault((r[0], r[2]), r)
+    strong = [r for r in first.values() if r[3] in ("halal", "haram")]
+    like = lambda a, b: 1 - weighted_distance(a, b, c) / max(len(a), len(b))
+    gone = {r[1] for r in first.values() if r[3] in (None, "unknown") and any(s[0] == r[0] and like(r[2], s[2]) >= (0.5 if len(r[2]) <= 3 else 0.4) for s in strong)}
+    want = {r[1] for r in first.values()} - gone
+    got = match.collapsed(spark.createDataFrame(rows, "label int, ord int, term string, status string, score double"), "label")
+    assert {r.ord for r in got.collect()} == want and gone
+
+
 def test_weighted_distance():
     c = costs([("ab", 0.2)])
     assert weighted_distance("xa", "xb", c) == pytest.approx(0.2)
