@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
-from .pass_join import near_pairs
+from ..functions.alignment import alignment_score
+from ..session import checkpointed, spread_small
 
 
 def facts(gt: DataFrame, key: str, file: str, items: str) -> DataFrame:
@@ -58,33 +58,30 @@ def _tied(open_: DataFrame, left: str, right: str, score: str) -> DataFrame:
 def aligned(items: DataFrame, findings: DataFrame, least: float = 0.6) -> DataFrame:
     """(file_name, gt_no, finding_no, score) of items and findings of one image, one to one.
 
-    Candidates are equal or near terms within the image; ``items`` has (file_name, gt_no, term),
-    ``findings`` (file_name, finding_no, term), both numbers unique.
+    All pairs of an image are scored; ``items`` has (file_name, gt_no, term), ``findings`` (file_name, finding_no, term) and may have
+    matched_term, both numbers unique. Terms are texts as read, whose brackets count.
     """
-    terms = findings.select("file_name", F.col("term").alias("near"))
-    pairs = near_pairs(items.select("file_name", "term"), terms, "term", "near", ("file_name",))
-    n = F.greatest(F.length("term"), F.length("near"))
-    scored = pairs.withColumn("score", 1 - F.col("edits") / n).filter(F.col("score") >= least)
-    # repeats of one term meet in order, so that no term's repeats are all paired with each other
-    wi, wf = Window.partitionBy("file_name", "term").orderBy("gt_no"), Window.partitionBy("file_name", "term").orderBy("finding_no")
-    i = items.withColumn("_k", F.row_number().over(wi))
-    f = findings.withColumn("_k", F.row_number().over(wf)).select("file_name", F.col("term").alias("near"), "finding_no", "_k")
-    full = scored.join(i, ["file_name", "term"]).join(f, ["file_name", "near", "_k"])
+    full = _scored(items.select("file_name", "gt_no", "term"), findings.drop("status"), least)
     got = greedy_alignment(full.select("gt_no", "finding_no", "score"), "gt_no", "finding_no", "score")
-    return got.join(i.select("gt_no", "file_name"), "gt_no").select("file_name", "gt_no", "finding_no", "score")
+    return got.join(items.select("gt_no", "file_name"), "gt_no").select("file_name", "gt_no", "finding_no", "score")
+
+
+def _scored(items: DataFrame, findings: DataFrame, least: float) -> DataFrame:
+    """All pairs of items and findings of one image that score ``least``; an image's items are few."""
+    found = findings.withColumnRenamed("term", "_near")
+    texts = [F.col(c) for c in ("_near", "matched_term") if c in found.columns]
+    return spread_small(items.join(found, "file_name")).withColumn("score", alignment_score(F.col("term"), *texts)).filter(F.col("score") >= least).drop(*[c for c in ("_near", "matched_term") if c in found.columns])
 
 
 def scored_pairs(items: DataFrame, findings: DataFrame, least: float = 0.6) -> DataFrame:
     """(file_name, gt_no, finding_no, expected, status, score) of near items and findings of one image.
 
-    ``items`` has (file_name, gt_no, term, expected), ``findings`` (file_name, finding_no, term, status); of the repeats of a term in
-    an image the first finding stands for each status, so no list of repeats is multiplied out.
+    ``items`` has (file_name, gt_no, term, expected), ``findings`` (file_name, finding_no, term, status) and may have matched_term; of the
+    repeats of a term in an image the first finding stands for each status, so no list of repeats is multiplied out.
     """
-    first = findings.groupBy("file_name", F.col("term").alias("near"), "status").agg(F.min("finding_no").alias("finding_no"))
-    pairs = near_pairs(items.select("file_name", "term"), first.select("file_name", "near"), "term", "near", ("file_name",))
-    n = F.greatest(F.length("term"), F.length("near"))
-    scored = pairs.withColumn("score", 1 - F.col("edits") / n).filter(F.col("score") >= least)
-    return scored.join(items, ["file_name", "term"]).join(first, ["file_name", "near"]).select("file_name", "gt_no", "finding_no", "expected", "status", "score")
+    by = [c for c in ("file_name", "term", "matched_term", "status") if c in findings.columns]
+    first = findings.groupBy(*by).agg(F.min("finding_no").alias("finding_no"))
+    return _scored(items, first, least).select("file_name", "gt_no", "finding_no", "expected", "status", "score")
 
 
 def preferred(items: DataFrame, findings: DataFrame, alignment: DataFrame, least: float = 0.6) -> DataFrame:

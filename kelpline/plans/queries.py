@@ -810,8 +810,8 @@ def noise_leakage(spark: SparkSession, d: str) -> DataFrame:
 def greedy_alignment(spark: SparkSession, d: str) -> DataFrame:
     """Items and findings of each image aligned one to one by likeness."""
     gt = evaluate.facts(table(spark, d, "gt_records"), "gt_id", "file_name", "ingredients")
-    items = gt.select("file_name", (F.col("gt_id") * 1000 + F.col("gi")).alias("gt_no"), text.normalized(F.col("raw"), compat=False).alias("term")).filter("term <> '' and file_name is not null")
-    f = _wide(spark, d, "findings").filter("raw is not null").select("file_name", F.col("finding_id").alias("finding_no"), text.normalized(F.col("raw"), compat=False).alias("term")).filter("term <> ''")
+    items = gt.select("file_name", (F.col("gt_id") * 1000 + F.col("gi")).alias("gt_no"), F.col("raw").alias("term")).filter("trim(term) <> '' and file_name is not null")
+    f = _wide(spark, d, "findings").filter("raw is not null").select("file_name", F.col("finding_id").alias("finding_no"), F.col("raw").alias("term"), "matched_term").filter("trim(term) <> ''")
     return evaluate.aligned(items, f).withColumn("score", F.round("score", 6))
 
 
@@ -819,8 +819,8 @@ def greedy_alignment(spark: SparkSession, d: str) -> DataFrame:
 def preferred_alignment(spark: SparkSession, d: str) -> DataFrame:
     """The alignment of items and findings after the repair pass for expected statuses."""
     gt = evaluate.facts(table(spark, d, "gt_records"), "gt_id", "file_name", "ingredients")
-    items = gt.select("file_name", (F.col("gt_id") * 1000 + F.col("gi")).alias("gt_no"), text.normalized(F.col("raw"), compat=False).alias("term"), "expected").filter("term <> '' and file_name is not null")
-    f = _wide(spark, d, "findings").filter("raw is not null").select("file_name", F.col("finding_id").alias("finding_no"), text.normalized(F.col("raw"), compat=False).alias("term"), "status").filter("term <> ''")
+    items = gt.select("file_name", (F.col("gt_id") * 1000 + F.col("gi")).alias("gt_no"), F.col("raw").alias("term"), "expected").filter("trim(term) <> '' and file_name is not null")
+    f = _wide(spark, d, "findings").filter("raw is not null").select("file_name", F.col("finding_id").alias("finding_no"), F.col("raw").alias("term"), "matched_term", "status").filter("trim(term) <> ''")
     return evaluate.preferred(items, f, evaluate.aligned(items.drop("expected"), f.drop("status"))).withColumn("score", F.round("score", 6))
 
 

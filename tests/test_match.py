@@ -181,6 +181,13 @@ def test_repair_pass_prefers_the_expected_status(spark):
     assert sorted((r.gt_no, r.finding_no) for r in with_overrides(a, o).collect()) == [(2, 10)]
 
 
+def test_alignment_scores_all_classes(spark):
+    items = [("f", 1, "砂糖（国産）"), ("f", 2, "sweet potato starch"), ("f", 3, "醤油"), ("f", 4, "abcdefghijklmnopqrst"), ("f", 5, "香料（大豆由来）"), ("g", 6, "ab"), ("g", 7, "ab")]
+    found = [("f", 10, "砂糖", None), ("f", 11, "sweet potato", None), ("f", 12, "qqqq", "醤油"), ("f", 13, "abcdefgzzzzzopqrst", None), ("f", 14, "大豆由来", None), ("g", 15, "abc", None), ("g", 16, "abd", None)]
+    a = aligned(spark.createDataFrame(items, "file_name string, gt_no int, term string"), spark.createDataFrame(found, "file_name string, finding_no int, term string, matched_term string"))
+    assert {(r.gt_no, r.finding_no) for r in a.collect()} == {(1, 10), (2, 11), (3, 12), (4, 13), (6, 15), (7, 16)}
+
+
 def test_zip_needs_equal_counts(spark):
     a = spark.createDataFrame([("x", 1, 5), ("x", 2, 4), ("y", 3, 1)], "s string, a int, t int")
     b = spark.createDataFrame([("x", 10, 1), ("x", 11, 2), ("y", 12, 1), ("y", 13, 2)], "s string, b int, u int")
