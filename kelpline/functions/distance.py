@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from itertools import combinations
 
 import pandas as pd
@@ -9,13 +10,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-#: Our own groups of characters that scanners mix up, with the cost of a substitution inside a group.
-GROUPS: list[tuple[str, float]] = [
-    ("ァア", 0.25), ("ィイ", 0.25), ("ッツ", 0.25), ("ャヤ", 0.25), ("ュユ", 0.25), ("ョヨ", 0.25),
-    ("カガ", 0.3), ("キギ", 0.3), ("クグ", 0.3), ("ハバパ", 0.3), ("ヒビピ", 0.3), ("フブプ", 0.3), ("タダ", 0.3), ("トド", 0.3),
-    ("シツ", 0.3), ("ソン", 0.3), ("一ー", 0.3), ("二ニ", 0.3), ("口ロ", 0.3), ("カ力", 0.3), ("科料", 0.4), ("粉紛", 0.4), ("味昧", 0.4),
-    ("oO0", 0.2), ("lI1", 0.2), ("sS5", 0.2), ("bB6", 0.2),
-]
+# What it costs to take a small kana for a large one, a voiced one for an unvoiced one, and a shape for a like one.
+SMALL, VOICED, SHAPE = 0.25, 0.3, 0.3
+# Characters of one shape class that scanners take for each other.
+SHAPES = ("シツ", "ソン", "カ力", "エ工", "ロ口", "タ夕", "ミ三", "ー一")
+
+
+def _kana() -> list[tuple[str, float]]:
+    """Katakana that differ in size or in voicing marks alone, by their Unicode names and decompositions."""
+    large = [(c, unicodedata.name(chr(c)).replace("LETTER SMALL", "LETTER")) for c in range(0x30A1, 0x30FB) if "LETTER SMALL" in unicodedata.name(chr(c))]
+    marked: dict[str, str] = {}
+    for c in range(0x30A1, 0x30FB):
+        plain = unicodedata.normalize("NFD", chr(c))[0]
+        marked[plain] = marked.get(plain, plain) + (chr(c) if chr(c) != plain else "")
+    return [(chr(c) + unicodedata.lookup(name), SMALL) for c, name in large] + [(g, VOICED) for g in marked.values() if len(g) > 1]
+
+
+#: Groups of characters that scanners mix up, with the cost of a substitution inside a group; callers may pass their own.
+GROUPS: list[tuple[str, float]] = _kana() + [(g, SHAPE) for g in SHAPES]
 
 
 def costs(groups: list[tuple[str, float]] | None = None) -> dict[tuple[str, str], float]:

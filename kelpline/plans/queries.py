@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -408,9 +407,12 @@ def events_keep_last_n(spark: SparkSession, d: str) -> DataFrame:
 _CODELINE = f"SELECT cat_no AS line_no, substr({sql.code('e_number')}, 2) || '   ' || names[1] || CASE WHEN palm_oil = 'maybe' THEN ' *' ELSE '' END AS line FROM catalog_entries"
 
 
+_CODENAME = "replace(regexp_split_to_array(rest, '\\s{2,}')[1], '*', '')"
+
+
 @query(
     rf"""WITH l AS ({_CODELINE}), r AS (SELECT line_no, upper(regexp_extract(line, '^\s*(\d{{3,4}}[a-zA-Z]?)\s+(\S.*)$', 1)) AS code, regexp_extract(line, '^\s*(\d{{3,4}}[a-zA-Z]?)\s+(\S.*)$', 2) AS rest FROM l WHERE regexp_matches(line, '^\s*(\d{{3,4}}[a-zA-Z]?)\s+(\S.*)$'))
-SELECT 'E' || code AS code, arg_min({sql.drop(chr(114)+"eplace(regexp_split_to_array(rest, '\\s{2,}')[1], '*', '')", f'^{text.WS}+|{text.WS}+' + chr(92) + 'z')}, line_no) AS name, arg_min(CASE WHEN contains(rest, '*') THEN 'doubtful' ELSE 'listed' END, line_no) AS status FROM r GROUP BY code"""
+SELECT 'E' || code AS code, arg_min({sql.drop(_CODENAME, f'^{text.WS}+|{text.WS}+' + chr(92) + 'z')}, line_no) AS name, arg_min(CASE WHEN contains(rest, '*') THEN 'doubtful' ELSE 'listed' END, line_no) AS status FROM r GROUP BY code"""
 )
 def code_table(spark: SparkSession, d: str) -> DataFrame:
     """A text table of codes, printed from the catalogue and read again."""
@@ -446,6 +448,8 @@ _RULE_LIST = [
 _PLAIN_RULES = [r | {"patterns": [p.replace("(?<![a-z])", "") for p in r["patterns"]]} for r in _RULE_LIST]
 _RULESQL = "CASE " + " ".join(f"WHEN regexp_matches(t, {sql.q('|'.join(f'(?:{p})' for p in r['patterns']))}) THEN 'rule:{r['id']}'" for r in _PLAIN_RULES) + " END"
 
+_RULESTATUS = "CASE " + " ".join(f"WHEN regexp_matches(t, {sql.q('|'.join(f'(?:{p})' for p in r['patterns']))}) THEN '{r['status']}'" for r in _PLAIN_RULES) + " END"
+
 
 def _dict(spark: SparkSession, d: str, compat: bool) -> tuple[DataFrame, DataFrame]:
     term = text.normalized(F.col("alias"), compat=compat)
@@ -661,14 +665,14 @@ def label_proposals(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH a AS (SELECT DISTINCT t AS term FROM {_TERMS}), b AS (SELECT a.term, x.status AS before, coalesce(x.status, CASE {_RULESQL.removeprefix('CASE ').removesuffix(' END')} END) AS after FROM (SELECT term, term AS t FROM a) a LEFT JOIN {_INDEX} x ON a.term = x.term)
+    f"""WITH a AS (SELECT DISTINCT t AS term FROM {_TERMS}), b AS (SELECT a.term, x.status AS before, coalesce(x.status, {_RULESTATUS}) AS after FROM (SELECT term, term AS t FROM a) a LEFT JOIN {_INDEX} x ON a.term = x.term)
 SELECT before, after, count(*) AS n FROM b WHERE before IS DISTINCT FROM after GROUP BY before, after"""
 )
 def verdict_flips(spark: SparkSession, d: str) -> DataFrame:
     """What changes for the tokens when the rules are added to the dictionary."""
     terms = _finding_terms(spark, d).distinct()
     before = terms.join(match.exact_index(_dict(spark, d, False)[0]).select("term", "status"), "term", "left")
-    after = before.select("term", F.coalesce("status", match.first_rule(F.col("term"), _PLAIN_RULES)["id"]).alias("status"))
+    after = before.select("term", F.coalesce("status", match.first_rule(F.col("term"), _PLAIN_RULES)["status"]).alias("status"))
     return etl.flips(before, after, "term", "status")
 
 
@@ -946,4 +950,4 @@ def device_correlation(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.greedy_alignment(p, "row_id", "rec_id", "score").withColumn("score", F.round("score", 6))
 
 
-__all__ = ["ORACLE", "QUERIES", "query", "reduce"]
+__all__ = ["ORACLE", "QUERIES", "query"]
