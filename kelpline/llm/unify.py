@@ -2,8 +2,8 @@
 
 An Arrow batch becomes one flat code-point array. A lookup table over all code points gives class and
 plain form of each (full-width and half-width forms, ligatures, radicals, odd spaces, invisible marks);
-expansion offsets make room for ligatures; combining marks are composed by binary search over a table
-of (base, mark) pairs, pass by pass; letters of another script that look like Latin ones, and kanji or
+expansion offsets make room for ligatures; combining marks are sorted by combining class and composed by binary
+search over a table of (base, mark) pairs, pass by pass, so that canonically equal texts come out equal; letters of another script that look like Latin ones, and kanji or
 hiragana that look like katakana, are folded where their neighbours show which script is meant. No
 string is handled on its own.
 
@@ -30,17 +30,20 @@ from ..functions.codepoints import Block, to_block, to_strings
 INVISIBLE = [0x00AD, 0x034F, 0x061C, 0x180E, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0x2061, 0x2062, 0x2063, 0x2064, 0xFEFF]
 SPACES = [0x00A0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
 # Blocks whose compatibility forms look like the plain ones.
-COMPATIBLE = [(0x2E80, 0x2FDF), (0xF900, 0xFAFF), (0xFB00, 0xFB06), (0xFF01, 0xFFEE)]
+COMPATIBLE = [(0x2E80, 0x2FDF), (0xF900, 0xFAFF), (0xFB00, 0xFB06), (0xFF01, 0xFFEE), (0x1D400, 0x1D7FF)]
 # Letters of other scripts and the Latin letters they look like.
-CYRILLIC = ("авеѕіјкмнһоԛрстԝухԁ" "АВЕЅІЈКМНОРСТУХ", "abesijkmhhoqpctwyxd" "ABESIJKMHOPCTYX")
-GREEK = ("αικνορτυχ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aiκvoptux".replace("κ", "k") + "ABEZHIKMNOPTYX")
-ALWAYS = ("ɑɡı", "agi")
+CYRILLIC = ("авеѕіјкмноԛрстԝухԁ" "АВЕЅІЈКМНОРСТУХ", "abesijkmhoqpctwyxd" "ABESIJKMHOPCTYX")
+GREEK = ("αικνορτυχ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aikvoptux" "ABEZHIKMNOPTYX")
+ARMENIAN = ("օոսհցզ" "ՕՍԼՏ", "onuhgq" "OULS")
+CHEROKEE = ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ")
+# Characters with the look of another in every script.
+ALWAYS = ("ɑɡı‐‑", "agi--")
 #: Look-alikes hardly used in the languages a whole word of look-alikes could be of.
 RARE = "ѕіјһԛԝԁЅІЈ"
-# Characters that look like katakana, and the kanji pairs in which they are meant.
+# Characters that look like katakana.
 KANA = ("一卜力口囗工夕二八へべぺ", "ートカロロエタニハヘベペ")
-BEFORE_KANJI = {"二": "度", "一": "部番"}
-AFTER_KANJI = {"工": "加人大", "口": "人入"}
+# Ordinary words in which such characters are kanji beside katakana.
+WORDS = ("一部", "一番", "一度", "一種", "一般", "一口", "二度", "二番", "二種", "八分", "加工", "人工", "大工", "細工", "施工", "木工", "人口", "入口", "出口", "窓口", "甘口", "辛口", "能力", "圧力", "電力", "水力", "夕食", "夕方")
 
 KEEP, DROP, SPACE, MAPPED, LATIN, OTHER, LOOK, RARELOOK, KATAKANA, KANALOOK = range(10)
 
@@ -70,7 +73,7 @@ def tables() -> dict[str, np.ndarray]:
                 if len(form) > 1:
                     wide[c] = form
     kind[0x2F00:0x2FE0][to[0x2F00:0x2FE0] != np.arange(0x2F00, 0x2FE0)] = MAPPED
-    for src, dst in (CYRILLIC, GREEK):
+    for src, dst in (CYRILLIC, GREEK, ARMENIAN, CHEROKEE):
         for s, d in zip(src, dst, strict=True):
             kind[ord(s)], to[ord(s)] = LOOK, ord(d)
     for s in RARE:
@@ -79,22 +82,32 @@ def tables() -> dict[str, np.ndarray]:
         kind[ord(s)], to[ord(s)] = MAPPED, ord(d)
     for s, d in zip(*KANA, strict=True):
         kind[ord(s)], to[ord(s)] = KANALOOK, ord(d)
-    pairs = {}
-    for c in range(0xC0, 0x3100):
-        d = unicodedata.decomposition(chr(c))
-        if d and d[0] != "<" and len(p := [int(x, 16) for x in d.split()]) == 2 and unicodedata.normalize("NFC", chr(c)) == chr(c):
-            pairs[(p[0] << 21) | p[1]] = c
-    for c in range(0x1E00, 0x2000):
-        d = unicodedata.decomposition(chr(c))
-        if d and d[0] != "<" and len(p := [int(x, 16) for x in d.split()]) == 2 and unicodedata.normalize("NFC", chr(c)) == chr(c):
+    pairs: dict[int, int] = {}
+    order = np.zeros(0x110000, np.uint8)
+    parts: dict[int, list[int]] = {}
+    for c in [*range(0xC0, 0xAC00), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA1E)]:
+        x = chr(c)
+        order[c] = unicodedata.combining(x)
+        d = unicodedata.decomposition(x)
+        if not d or d[0] == "<":
+            continue
+        parts[c] = [ord(y) for y in unicodedata.normalize("NFD", x)]
+        form = [ord(y) for y in unicodedata.normalize("NFC", x)]
+        if form != [c]:
+            kind[c], to[c] = MAPPED, form[0]
+            if len(form) > 1:
+                wide[c] = form
+        elif len(p := [int(y, 16) for y in d.split()]) == 2:
             pairs[(p[0] << 21) | p[1]] = c
     keys = np.array(sorted(pairs), np.int64)
-    marks = np.zeros(0x110000, bool)
+    marks = order > 0
     marks[np.unique(keys & 0x1FFFFF)] = True
-    size = np.ones(0x110000, np.int8)
+    size, deep = np.ones(0x110000, np.int8), np.ones(0x110000, np.int8)
     for c, form in wide.items():
         size[c] = len(form)
-    return {"kind": kind, "to": to, "size": size, "marks": marks, "keys": keys, "made": np.array([pairs[int(k)] for k in keys], np.uint32), "wide": wide}
+    for c, form in parts.items():
+        deep[c] = len(form)
+    return {"kind": kind, "to": to, "size": size, "marks": marks, "keys": keys, "made": np.array([pairs[int(k)] for k in keys], np.uint32), "wide": wide, "order": order, "deep": deep, "parts": parts}
 
 
 def _drop(b: Block, keep: np.ndarray) -> Block:
@@ -113,6 +126,126 @@ def _beside(x: np.ndarray, start: np.ndarray, fill: int = 0) -> tuple[np.ndarray
     return left, right
 
 
+def _widened(b: Block, at: np.ndarray, size: np.ndarray, forms: dict[int, list[int]]) -> Block:
+    """The characters where ``at`` is true replaced by their ``forms``, with room made by expansion offsets."""
+    size = np.where(at, size, 1).astype(np.int64)
+    offs = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=offs[1:])
+    out = np.repeat(b.cp, size)
+    for c in np.unique(b.cp[at]):
+        where = offs[:-1][at & (b.cp == c)]
+        for k, x in enumerate(forms[int(c)]):
+            out[where + k] = x
+    return Block(out, offs[b.start], b.null)
+
+
+def _differ(a: Block, b: Block) -> np.ndarray:
+    """Which rows of two blocks are not equal."""
+    na, nb = np.diff(a.start), np.diff(b.start)
+    out = na != nb
+    same = ~out
+    ka, kb = np.repeat(same, na), np.repeat(same, nb)
+    rows = a.rows[ka]
+    out[rows[a.cp[ka] != b.cp[kb]]] = True
+    return out
+
+
+def _composed(b: Block) -> Block:
+    """Combining marks in canonical order and composed with their letters, as normal form C has it; jamo to syllables.
+
+    Letters before a mark are taken apart, the marks of each run are sorted stably by combining class in one lexsort, and
+    letters take up their marks again pass by pass, each its first mark that isn't blocked by one of the same class.
+    """
+    t = tables()
+    if t["marks"][b.cp].any():
+        # only rows with marks are handled, as a block of their own
+        rows = np.unique(b.rows[t["marks"][b.cp]])
+        b = _with_rows(b, rows, _marks_composed(_rows_of(b, rows)))
+    jamo = (b.cp >= 0x1161) & (b.cp <= 0x11C2)
+    if jamo.any():
+        for lead in (True, False):
+            left, _ = _beside(b.cp.astype(np.int64), b.start)
+            if lead:
+                hit = (left >= 0x1100) & (left <= 0x1112) & (b.cp >= 0x1161) & (b.cp <= 0x1175)
+                made = 0xAC00 + ((left - 0x1100) * 21 + (b.cp.astype(np.int64) - 0x1161)) * 28
+            else:
+                hit = (left >= 0xAC00) & (left < 0xD7A4) & ((left - 0xAC00) % 28 == 0) & (b.cp >= 0x11A8) & (b.cp <= 0x11C2)
+                made = left + b.cp.astype(np.int64) - 0x11A7
+            cp = b.cp.copy()
+            cp[np.flatnonzero(hit) - 1] = made[hit]
+            b = _drop(Block(cp, b.start, b.null), ~hit)
+    return b
+
+
+def _rows_of(b: Block, rows: np.ndarray) -> Block:
+    pick = np.zeros(len(b.start) - 1, bool)
+    pick[rows] = True
+    size = np.diff(b.start)
+    return Block(b.cp[np.repeat(pick, size)], np.concatenate([[0], np.cumsum(size[rows])]), b.null[rows])
+
+
+def _with_rows(b: Block, rows: np.ndarray, part: Block) -> Block:
+    """``b`` with the given rows replaced by those of ``part``."""
+    size = np.diff(b.start)
+    pick = np.zeros(len(size), bool)
+    pick[rows] = True
+    new = size.copy()
+    new[rows] = np.diff(part.start)
+    start = np.concatenate([[0], np.cumsum(new)])
+    out = np.empty(start[-1], np.uint32)
+    other = np.repeat(pick, new)
+    out[other] = part.cp
+    out[~other] = b.cp[~np.repeat(pick, size)]
+    return Block(out, start, b.null)
+
+
+def _marks_composed(b: Block) -> Block:
+    t = tables()
+    mark = t["marks"][b.cp]
+    _, after = _beside(mark.astype(np.int8), b.start)
+    b = _widened(b, (t["deep"][b.cp] > 1) & (mark | (after > 0)), t["deep"][b.cp], t["parts"])
+    order = t["order"][b.cp].astype(np.int64)
+    first = np.zeros(len(b.cp), bool)
+    first[b.start[:-1][np.diff(b.start) > 0]] = True
+    run = np.cumsum((order == 0) | first)
+    left, _ = _beside(order, b.start)
+    if ((left > order) & (order > 0)).any():
+        b = Block(b.cp[np.lexsort((order, run))], b.start, b.null)
+    dead = np.zeros(len(b.cp), bool)
+    while len(b.cp):
+        n = len(b.cp)
+        order = t["order"][b.cp].astype(np.int64)
+        first = np.zeros(n, bool)
+        first[b.start[:-1][np.diff(b.start) > 0]] = True
+        starter = (order == 0) | first
+        before = np.arange(n) - 1
+        # the letter of a mark is the last starter before it; of a second starter it is the character just before
+        base = np.maximum.accumulate(np.where(starter, np.arange(n), 0))
+        base = np.where(starter, before, base)
+        free = ~first & ~dead & t["marks"][b.cp] & (base >= 0)
+        free &= (before == base) | ((order > 0) & (order[before] < order))
+        free &= starter[base] & (order[base] == 0)
+        key = (b.cp[base].astype(np.int64) << 21) | b.cp
+        at = np.minimum(np.searchsorted(t["keys"], key), len(t["keys"]) - 1)
+        hit = np.flatnonzero(free & (t["keys"][at] == key))
+        if not len(hit):
+            return b
+        # one mark for each letter and pass, and no letter that is a mark taken up in this pass
+        hit = hit[np.unique(base[hit], return_index=True)[1]]
+        taken = np.zeros(n, bool)
+        taken[hit] = True
+        hit = hit[~taken[base[hit]]]
+        cp = b.cp.copy()
+        cp[base[hit]] = t["made"][at[hit]]
+        upto = np.full(n, -1)
+        upto[base[hit]] = hit
+        dead |= ~starter & (np.arange(n) < upto[np.maximum(base, 0)])
+        keep = np.ones(n, bool)
+        keep[hit] = False
+        b, dead = _drop(Block(cp, b.start, b.null), keep), dead[keep]
+    return b
+
+
 def unify_block(b: Block) -> tuple[Block, np.ndarray]:
     """The block in plain characters, and for each row whether one had to be replaced."""
     t, nrow = tables(), len(b.start) - 1
@@ -129,34 +262,14 @@ def unify_block(b: Block) -> tuple[Block, np.ndarray]:
     # plain forms, with room for ligatures
     rows, kind = b.rows, t["kind"][b.cp]
     note((kind == MAPPED) | (kind == SPACE))
-    size = t["size"][b.cp].astype(np.int64)
-    out = np.where((kind == MAPPED) | (kind == SPACE), t["to"][b.cp], b.cp)
-    if (size > 1).any():
-        offs = np.zeros(len(size) + 1, np.int64)
-        np.cumsum(size, out=offs[1:])
-        at, spread = offs[:-1][size > 1], np.repeat(out, size)
-        for c in np.unique(b.cp[size > 1]):
-            form = np.array(t["wide"][int(c)], np.uint32)
-            for k, x in enumerate(form):
-                spread[at[b.cp[size > 1] == c] + k] = x
-        b = Block(spread, offs[b.start], b.null)
-    else:
-        b = Block(out, b.start, b.null)
-    # compose marks with the letter before them until nothing composes
-    while len(b.cp) and t["marks"][b.cp].any():
-        left, _ = _beside(b.cp.astype(np.int64), b.start)
-        key = (left << 21) | b.cp
-        at = np.minimum(np.searchsorted(t["keys"], key), len(t["keys"]) - 1)
-        hit = (t["keys"][at] == key) & t["marks"][b.cp]
-        # of marks in a row only the first can compose in this pass
-        hit[1:] &= ~hit[:-1]
-        if not hit.any():
-            break
-        rows = b.rows
-        note(hit)
-        cp = b.cp.copy()
-        cp[np.flatnonzero(hit) - 1] = t["made"][at[hit]]
-        b = _drop(Block(cp, b.start, b.null), ~hit)
+    wide = t["size"][b.cp] > 1
+    b = Block(np.where(((kind == MAPPED) | (kind == SPACE)) & ~wide, t["to"][b.cp], b.cp), b.start, b.null)
+    if wide.any():
+        b = _widened(b, wide, t["size"][b.cp], t["wide"])
+    plain = _composed(b)
+    if plain is not b:
+        found |= _differ(b, plain)
+        b = plain
     rows, kind = b.rows, t["kind"][b.cp]
     cp = b.cp.copy()
     # letters that look Latin, in words or values where Latin is meant
@@ -177,10 +290,8 @@ def unify_block(b: Block) -> tuple[Block, np.ndarray]:
     if shape.any():
         before, after = _beside(b.cp, b.start)
         meant = np.zeros(len(cp), bool)
-        for c, nexts in BEFORE_KANJI.items():
-            meant |= (b.cp == ord(c)) & np.isin(after, [ord(x) for x in nexts])
-        for c, lasts in AFTER_KANJI.items():
-            meant |= (b.cp == ord(c)) & np.isin(before, [ord(x) for x in lasts])
+        for x, y in WORDS:
+            meant |= ((b.cp == ord(x)) & (after == ord(y))) | ((b.cp == ord(y)) & (before == ord(x)))
         kana = kind == KATAKANA
         open_ = shape & ~meant
         while True:

@@ -68,3 +68,18 @@ def test_width_forms_equal_compatibility_normal_form(s):
 def test_single_marks_compose(s):
     if not any(a in "̧̀́̂̃" and b in "̧̀́̂̃" for a, b in zip(s, s[1:], strict=False)):
         assert both(s)[0] == unicodedata.normalize("NFC", s)
+
+
+MARKED = list("aeoAñçǘậ日かハ각가") + ["̀", "́", "̂", "̃", "̈", "̧", "̣", "̱", "゙", "゚", "ᄀ", "ᅡ", "ᆨ", "ো", "ে", "া"]
+
+
+@given(st.text(alphabet=MARKED, max_size=14))
+def test_canonically_equal_texts_come_out_equal(s):
+    want = unicodedata.normalize("NFC", s)
+    assert both(s)[0] == both(unicodedata.normalize("NFD", s))[0] == both(want)[0] == want
+    assert not both(want)[1]
+
+
+@pytest.mark.parametrize(("s", "want"), [("\U0001d412oy", "Soy"), ("soy\u2011oil", "soy-oil"), ("ꓚ", "ꓚ"), ("caᏟao", "caCao"), ("sօy", "soy")])
+def test_more_looks(s, want):
+    assert both(s) == (want, s != want)
