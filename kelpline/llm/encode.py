@@ -1,6 +1,6 @@
 """Encoding of a corpus with a public byte-level BPE tokenizer.
 
-A long text is halved recursively and the halves are encoded on their own; neighbours are joined up the
+A text of more than LEAF characters is halved recursively and the halves are encoded on their own; neighbours are joined up the
 tree. A join re-encodes only a window around the seam. The window grows until it reaches, on both sides,
 a place where every scan of the tokenizer's split pattern must stop: before white space that follows
 another character, or between a letter and a non-letter, or between a number and a non-number. No
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import os
+import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 
 from ..session import spread
 
-#: Texts up to this many characters are encoded at once.
-LEAF = 4096
+#: Texts up to this many characters are the leaves of the tree.
+LEAF = 256
+# The white space of the split pattern (Unicode's White_Space).
+SPACE = frozenset(chr(c) for c in [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -50,16 +53,18 @@ class Encoder:
         # The split pattern of byte-level BPE as published with the vocabulary.
         pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         self.leaf = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.width = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.width = [0] * (max(ranks.values()) + 1)
+        self.words = [b""] * len(self.width)
         for token, rank in ranks.items():
             self.width[rank] = len(token)
+            self.words[rank] = token
 
     @staticmethod
     def _stops(left: str, right: str) -> bool:
         """Whether every scan stops between these two characters."""
-        if right.isspace():
-            return not left.isspace()
-        if left.isspace():
+        if right in SPACE:
+            return left not in SPACE
+        if left in SPACE:
             return False
         if _letter(left):
             return not _letter(right)
@@ -84,6 +89,13 @@ class Encoder:
         keep_b = self._tokens(idb, len(b[:q].encode("utf-8", "surrogatepass")))
         return ida[: len(ida) - keep_a] + self.leaf(a[p:] + b[:q]) + idb[keep_b:]
 
+    def decode(self, ids: list[int], leaf: int = LEAF) -> bytes:
+        """The bytes of token ids; those of halves are concatenated up the tree."""
+        if len(ids) <= leaf:
+            return b"".join([self.words[i] for i in ids])
+        mid = len(ids) // 2
+        return self.decode(ids[:mid], leaf) + self.decode(ids[mid:], leaf)
+
     def _tokens(self, ids: list[int], size: int) -> int:
         """How many of the first ids make up ``size`` bytes."""
         k = 0
@@ -95,14 +107,10 @@ class Encoder:
 
 
 def _letter(c: str) -> bool:
-    import unicodedata
-
     return unicodedata.category(c)[0] == "L"
 
 
 def _number(c: str) -> bool:
-    import unicodedata
-
     return unicodedata.category(c)[0] == "N"
 
 
@@ -143,11 +151,15 @@ def token_sizes(df: DataFrame, key: str = "doc_id", text: str = "text", path: st
     return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint")
 
 
-def decoded(ids: list[int], path: str | None = None) -> str:
-    """The text of token ids."""
-    import tiktoken
+def decoded(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: str | None = None) -> DataFrame:
+    """(key, text) of every row of token ids; bytes that are no text become replacement characters, null ids an empty text."""
+    path = path or tokenizer_file()
 
-    with open(path or tokenizer_file(), "rb") as f:
-        words = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
-    del tiktoken
-    return b"".join(words[i] for i in ids).decode("utf-8", "replace")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path)
+        for batch in batches:
+            texts = [e.decode(x).decode("utf-8", "replace") if x else "" for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, ids).mapInArrow(run, f"`{key}` {kind}, text string")

@@ -4,12 +4,13 @@
 the excess to the others in proportion to their weights until nothing is clamped anew. Every source then
 needs r repetitions of each record on average: every record is used floor(r) times, and those first
 in a seeded order once more until the fraction is filled. The place in that order is decided in two
-distributed steps: token sums of 4096 hash slots a source find the slot in which the source fills up,
-and only inside that slot are records ordered, again by sums of 4096 finer slots, so no task holds
-more than a slot.
+distributed steps: token sums of 4096 hash slots a source find the slot in which the source fills up, sums of 4096 finer
+slots the place inside it; only the records of that finer slot, one in 16 million, are ordered, so that a source
+misses its tokens by less than one record.
 
-Without a given total the mixture is the largest one in which no source that has records falls short of
-its share; sources without a token give nothing and their share is spread over the others.
+With total ``all`` the mixture has as many tokens as the sources with a target have, so that small sources reach their caps, are
+clamped there, and the others fill up. Without a total it is the largest one in which no source that has records falls short of
+its share. Sources without a token give nothing and their share is spread over the others. The report names the clamped ones.
 
 Defined results: records of sources without a target, with null source, or without a token aren't
 used; null and non-positive shares and caps count as 0; target sources that occur twice are summed;
@@ -18,7 +19,7 @@ an empty table gives an empty mixture and a report of zeros.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
@@ -51,7 +52,7 @@ def water_fill(share: dict[str, float], most: dict[str, float], total: float | N
     return give
 
 
-def mixture(docs: DataFrame, targets: DataFrame, seed: int = 7, total: float | None = None) -> tuple[DataFrame, DataFrame]:
+def mixture(docs: DataFrame, targets: DataFrame, seed: int = 7, total: float | str | None = None) -> tuple[DataFrame, DataFrame]:
     """The mixture (doc_id, source, n_tokens, copies) and its report by source.
 
     ``targets`` is a short list of sources kept by hand; it is read to the driver.
@@ -63,6 +64,8 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = 7, total: float | N
     named = docs.select("doc_id", "source", "text").filter(F.col("source").isin(list(share)))
     sized = checkpointed(_sized(named).filter("n_tokens > 0").withColumn("h", F.xxhash64("doc_id", F.lit(seed))))
     have = {r.source: int(r.n) for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}  # as many rows as targets
+    if total == "all":
+        total = float(sum(have.get(s, 0) for s in share if share[s] > 0))
     give = water_fill(share, {s: cap[s] * have.get(s, 0) for s in share}, total)
     plan = [(s, share[s], cap[s], have.get(s, 0), give[s], int(give[s] // have[s]) if have.get(s) else 0) for s in sorted(share)]
     need = {s: g - r * n for s, _, _, n, g, r in plan}
@@ -72,12 +75,17 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = 7, total: float | N
     edge = {s: c for s, (c, _) in first.items()}
     fine = slots.join(_small(spark, [(s, c) for s, c in edge.items()], "source string, s1 bigint"), ["source", "s1"])
     second = _fill(fine.groupBy("source", "s2").agg(F.sum("n_tokens").alias("n")).collect(), {s: rest for s, (_, rest) in first.items()}, lambda r: (r.source, r.s2))
-    rule = [(s, r, edge.get(s, -1), second.get(s, (-1, 0))[0]) for s, *_, r in plan]
-    used = slots.join(_small(spark, rule, "source string, whole int, edge bigint, fine bigint"), "source")
-    extra = (F.col("s1") < F.col("edge")) | ((F.col("s1") == F.col("edge")) & (F.col("s2") < F.col("fine")))
-    mix = used.select("doc_id", "source", "n_tokens", (F.col("whole") + F.when(extra, 1).otherwise(0)).alias("copies")).filter("copies > 0")
+    rule = [(s, r, edge.get(s, -1), *second.get(s, (-1, 0.0))) for s, *_, r in plan]
+    used = slots.join(_small(spark, rule, "source string, whole int, edge bigint, fine bigint, rest double"), "source")
+    last = (F.col("s1") == F.col("edge")) & (F.col("s2") == F.col("fine"))
+    before = (F.col("s1") < F.col("edge")) | ((F.col("s1") == F.col("edge")) & (F.col("s2") < F.col("fine")))
+    out = ["doc_id", "source", "n_tokens"]
+    most = used.filter(~last).select(*out, (F.col("whole") + F.when(before, 1).otherwise(0)).alias("copies"))
+    upto = F.sum("n_tokens").over(Window.partitionBy("source").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    ordered = used.filter(last).withColumn("_sum", upto).select(*out, (F.col("whole") + F.when(F.col("_sum") <= F.col("rest"), 1).otherwise(0)).alias("copies"))
+    mix = most.unionAll(ordered).filter("copies > 0")
     got = mix.groupBy("source").agg(F.count("*").alias("n_records"), F.max("copies").alias("most_copies"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"))
-    base = _small(spark, [p[:5] for p in plan], "source string, target_share double, max_repeats int, source_tokens bigint, planned_tokens double")
+    base = _small(spark, [(*p[:5], p[1] > 0 and p[4] >= p[2] * p[3]) for p in plan], "source string, target_share double, max_repeats int, source_tokens bigint, planned_tokens double, clamped boolean")
     every = base.join(got, "source", "left").na.fill(0)
     whole = every.agg(F.sum("tokens").alias("_all"))
     report = every.join(F.broadcast(whole)).withColumn("share", F.when(F.col("_all") > 0, F.col("tokens") / F.col("_all")).otherwise(0.0)).drop("_all")

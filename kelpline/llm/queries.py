@@ -103,14 +103,19 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encoded(table(spark, d, "documents"))
 
 
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The text of the token ids of every document."""
+    return encode.decoded(encode.encoded(table(spark, d, "documents")))
+
+
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     """Every record of the mixture and how often it is used."""
-    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), total="all")[0]
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
     """Target and actual share of every source."""
-    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), total="all")[1]
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +128,7 @@ def p10_measures(spark: SparkSession, d: str) -> DataFrame:
     return stuffed_pages.stuffed_pages(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_plain, p3_found, p3_counts, p5_found, p5_collapsed, p6_found, p6_map, p7_found, p7_matches, p8_ids, p9_mixture, p9_report, p10_found, p10_measures)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_plain, p3_found, p3_counts, p5_found, p5_collapsed, p6_found, p6_map, p7_found, p7_matches, p8_ids, p8_decoded, p9_mixture, p9_report, p10_found, p10_measures)}
 
 _P3 = """
 WITH miss AS (SELECT rec_id, unnest(miss) AS term FROM scan_log),
@@ -162,6 +167,7 @@ g AS (SELECT src_table, copy_no, min(copy_no) OVER (PARTITION BY src_table, form
 ORACLE: dict[str, str] = {
     "p3_found": _P3.format("field, term, mark", "WHERE mark IS NOT NULL"),
     "p3_counts": _P3.format("*", ""),
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p5_found": _p5("SELECT src_table, keep_no, copy_no FROM g WHERE keep_no <> copy_no"),
     "p5_collapsed": _p5("SELECT src_table, keep_no, n_copies FROM g WHERE keep_no = copy_no"),
 }

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from kelpline.llm import encode, mixture
 
-PIECES = ["a", "'", "ll", "s", " ", "  ", "\n", "1", "。", "あ", "é", "日本", "-", "'ve", "𠮷", "́", "　", "½", "<|endoftext|>", "word ", "12345"]
+PIECES = ["a", "'", "ll", "s", " ", "  ", "\n", "1", "。", "あ", "é", "日本", "-", "'ve", "𠮷", "́", "　", "½", "<|endoftext|>", "word ", "12345", "\x1c", "\x85"]
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +31,14 @@ def test_equals_the_other_library(enc):
 
 def test_round_trip(enc):
     s = "Soy 大豆 \n\n 12½ 'll <|endoftext|>"
-    assert encode.decoded(enc.encode(s, 4)) == s
+    assert enc.decode(enc.encode(s, 4), 3).decode() == s
+
+
+def test_round_trip_of_frames(spark):
+    rows = [(1, None), (2, ""), (3, "Soy 大豆 \x1c\x1d \n\n 12½ 'll <|endoftext|>"), (3, "x" * 3000 + " 大豆 " * 500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = encode.decoded(encode.encoded(df)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted((k, t or "") for k, t in rows)
 
 
 def test_join_is_associative(enc):
@@ -69,5 +76,13 @@ def test_mixture(spark):
     assert sorted(map(str, mix.collect())) == sorted(map(str, mixture.mixture(docs.repartition(5), targets)[0].collect()))
     capped, _ = mixture.mixture(docs, targets, total=10**9)
     assert capped.filter("source = 'small' and copies <> 3").count() == 0
+    heavy = spark.createDataFrame([("small", 0.7, 3), ("big", 0.2, 1), ("absent", 0.1, 2)], "source string, target_share double, max_repeats int")
+    full, rep = mixture.mixture(docs, heavy, total="all")
+    rows = {r.source: r for r in rep.collect()}
+    assert rows["small"].clamped and rows["absent"].clamped and rows["small"].tokens == 3 * rows["small"].source_tokens and not rows["big"].clamped
+    assert rows["big"].tokens + rows["small"].tokens == pytest.approx(sum(r.source_tokens for r in rows.values()), abs=20)
+    # a source that isn't clamped misses its tokens by less than one record
+    part, rep = mixture.mixture(docs, targets, total=5000)
+    assert all(0 <= r.planned_tokens - r.tokens < 20 for r in rep.collect())
     empty, rep = mixture.mixture(docs.limit(0), targets)
     assert empty.count() == 0 and rep.count() == 3
