@@ -191,3 +191,15 @@ def test_every_spelling_above_the_threshold_is_checked(data):
         order = sorted(want.items(), key=lambda x: (x[1], x[0]))
         tie = len(order) > 1 and order[1][1][0] == order[0][1][0] and order[1][1][1] - order[0][1][1] < rm.MARGIN
         assert index.find(key)[0] == (-1 if tie or not order else order[0][0])
+
+
+def test_a_long_sentence_is_a_sentence():
+    rng = random.Random(3)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    english = " ".join(f"{word('abcdefghijklmnop', 6)} {word('qrstuvwxyz', 5)} of the" for _ in range(40)) + " end."
+    japanese = "".join(f"{word('昆布水塩鍋火店人酢油米麦粉豆', 4)}を" for _ in range(60)) + "煮ます。"
+    assert len(english) > 400 and sp.measure(english)[0] > 0.9 and sp.measure(japanese)[0] > 0.9
+
+
+def test_a_keyword_run_with_a_stop_is_no_sentence():
+    assert sp.measure("buy the kelp oil cheap, kelp oil sale, kelp oil bulk, kelp oil order, kelp oil stock, kelp oil best, kelp oil offer.")[0] == 0.0
