@@ -2,38 +2,36 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import encode, entity_match, formatting_copies, mixture, reference_map, scan_repair, stuffed_pages, term_counts, unify
-
-_MODELS: dict[str, scan_repair.Model] = {}
+from . import encode, entity_match, formatting_copies, mixture, page_lines, reference_map, scan_repair, stuffed_pages, term_counts, unify
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _page_texts(spark: SparkSession, d: str) -> DataFrame:
+    return scan_repair.page_texts(table(spark, d, "scan_log"), table(spark, d, "last_scans"))
+
+
 def _scan_model(spark: SparkSession, d: str) -> scan_repair.Model:
-    """The models, trained on the bounded clean sample of the documents; one for the same sample."""
-    texts = scan_repair.clean_sample(table(spark, d, "documents"))
-    key = hashlib.sha256("\0".join(texts).encode("utf-8", "replace")).hexdigest()
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = scan_repair.fit(texts)
-    return _MODELS[key]
+    """The models, trained on the bounded clean sample of the documents, with what all documents and scans show."""
+    docs = table(spark, d, "documents")
+    words, trigrams = scan_repair.known_text(docs)
+    return scan_repair.fit(scan_repair.clean_sample(docs), words=words, trigrams=trigrams, furniture=page_lines.furniture_words(_page_texts(spark, d)))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines with scan noise and the kind of noise."""
-    return scan_repair.noisy_lines(scan_repair.page_texts(table(spark, d, "scan_log"), table(spark, d, "last_scans")), _scan_model(spark, d))
+    return scan_repair.noisy_lines(_page_texts(spark, d), _scan_model(spark, d))
 
 
 def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
     """Every page text in continuous paragraphs."""
-    return scan_repair.repaired_texts(scan_repair.page_texts(table(spark, d, "scan_log"), table(spark, d, "last_scans")), _scan_model(spark, d))
+    return scan_repair.repaired_texts(_page_texts(spark, d), _scan_model(spark, d))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -3,19 +3,19 @@
 Two averaged perceptrons are trained on a bounded sample of clean documents (``SAMPLE`` of them, those
 with the smallest hashes), on which the marks of a scan are laid on purpose:
 
-* a line model tells running headers and page numbers from text by page-position features (place in the
-  text, neighbours, repetition in the text, length against the other lines) and shape;
+* a line model (``page_lines``) tells running headers and page numbers from text by place, repetition and shape, and by
+  words that the scans themselves show to be furniture;
 * a character editor predicts keep, replace, delete, insert and line-join for every character that can
   be a misreading or a division mark, from hashed character windows.
 
-An exact check follows: an edit stands only if it turns a word (or, in Japanese, a character trigram)
-that the clean sample doesn't have into one that it has; a line-join only if it makes such a word
-or neither half is one. Texts are handled in batches: one code-point array holds the lines of all texts of
+An exact check follows: an edit stands only if it turns a word (or, in Japanese, a character trigram) that the
+documents don't have into one that they have; a line-join only if it makes such a word or neither half is one. What the
+documents have is counted over all of them. Texts are handled in batches: one code-point array holds the lines of all texts of
 a batch, so prediction is a few gathers and sums per window template.
 
 Defined results: null and empty texts have no noise and stay as they are; CR before LF is no part of a
 line; repeated texts give equal rows; texts of any length are handled whole. Without clean documents
-nothing but page numbers and headers is found.
+nothing is found.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
+from . import page_lines
 
 #: Documents the models are trained on at most, and characters used of all of them together.
 SAMPLE, SAMPLE_CHARS = 6000, 6_000_000
+#: Words and trigrams count if the documents have them twice, and once in so many.
+RARE = 4_000_000
 #: Marks that can divide a word at a line end.
 MARKS = "-‐‑‒–¬=­"
 # Characters and what a scanner may read instead of them.
@@ -52,7 +56,7 @@ _SPLIT = re.compile(r"(?<=[。！？])|(?<=[.!?])\s+|\n+")
 _LATIN = re.compile(r"[^\W\d_]", re.UNICODE)
 _TOKEN = re.compile(r"[A-Za-zÀ-ɏ0-9@!+'’]+")
 _KANA = re.compile(r"[぀-ヿ㐀-鿿ｦ-ﾟ々τ丶]")
-_PAGE = re.compile(r"[\W\d_]*(?:p|page|of|no|第|頁|ページ|[\W\d_]+)*[\W\d_]*", re.IGNORECASE)
+_RUN = re.compile(r"[ァ-ヶー]{2,6}|[一-鿿]{2,6}")
 
 
 def labels() -> tuple[list[str], dict[str, int]]:
@@ -144,110 +148,80 @@ def _wrap(text: str, width: int, rng: random.Random) -> list[tuple[str, bool]]:
     return [x for x in lines if x[0]]
 
 
-# What page numbers and running headers look like.
-_NUMBERS = ["- {n} -", "~ {n} ~", "[{n}]", "{n}/{m}", "{n}", "p. {n}", "Page {n} of {m}", "PAGE {n}", "第{n}頁", "{n} ページ"]
-_TITLES = ["Quality manual", "Product sheet", "Label archive", "Ingredient dossier", "Test report", "Recipe file"]
-_TITLES_JA = ["品質手帳", "製品規格書", "表示台帳", "検査報告書", "原料台帳"]
-
-
-def _header(name: str, ja: bool, rng: random.Random) -> str:
-    h = f"{name}食品 {rng.choice(_TITLES_JA)} 第{rng.randint(1, 9)}版" if ja else f"{name} Foods {rng.choice(_TITLES)} Rev. {rng.randint(1, 9)}"
-    return h
-
-
-def _furnished(lines: list[str], name: str, ja: bool, rng: random.Random) -> list[tuple[str, int]]:
-    """Lines of a text with furniture: 0 text, 1 header, 2 page number."""
-    out: list[tuple[str, int]] = []
-    head, number = _header(name, ja, rng), rng.choice(_NUMBERS)
-    page, start = rng.randint(4, 9), rng.randint(1, 40)
-    style = rng.random()
-    if rng.random() < 0.4:
-        out.append((f"{name} {rng.choice(['soup 3', 'crackers', 'jelly drink', 'bar 2'])}" if not ja else f"{name}スープ", 0))
-    for k in range(0, len(lines), page):
-        n = number.format(n=start + k // page, m=start + 20)
-        h = head
-        if rng.random() < 0.15:
-            h = h.upper()
-        if rng.random() < 0.15:
-            h = h.replace(" ", "  ")
-        if rng.random() < 0.15:
-            h = h.replace("o", "0", 1).replace("品", "晶", 1)
-        if style < 0.3:
-            out.append((h, 1))
-        elif style < 0.5:
-            out.append((f"{h}   {n}" if rng.random() < 0.5 else f"{n}   {h}", 1))
-        elif style < 0.7:
-            out.append((h, 1))
-        out += [(x, 0) for x in lines[k : k + page]]
-        if 0.5 < style < 0.9:
-            out.append((n, 2))
-    return out
+@dataclass
+class Model:
+    """Trained weights and what the exact check looks up."""
 
+    lines: np.ndarray
+    chars: np.ndarray
+    lexicon: dict[str, int] = field(default_factory=dict)
+    trigrams: frozenset = field(default_factory=frozenset)
+    letters: frozenset = field(default_factory=frozenset)
+    furniture: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    looks: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
-# --- the line model -----------------------------------------------------------------------------------
 
-_LINE_BITS = 15
+def word_counts(texts: list[str]) -> Counter:
+    """How often each word stands in some texts."""
+    words: Counter = Counter()
+    for t in texts:
+        words.update(w.strip("'’!").lower() for w in _TOKEN.findall(t) if not any(c.isdigit() or c in "@+" for c in w))
+    return words
 
 
-def _crc(s: str) -> int:
-    h = 2166136261
-    for c in s:
-        h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
-    return (h ^ (h >> 15)) & ((1 << _LINE_BITS) - 1)
+def trigram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The character trigrams of the Japanese ones among some texts, three code points in one number, and their counts."""
+    flat = "\0\0\0".join(re.sub(r"\d", "0", re.sub(r"\s+", "", t)) for t in texts if _KANA.search(t))
+    x = np.frombuffer(flat.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    if len(x) < 3:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    inside = (x[:-2] > 0) & (x[1:-1] > 0) & (x[2:] > 0)
+    return np.unique(((x[:-2] << 42) | (x[1:-1] << 21) | x[2:])[inside], return_counts=True)
 
 
-def _core(line: str) -> str:
-    return re.sub(r"[\W\d_]+", "", line.lower())
+def look(word: str) -> str:
+    """A word with every character put as its parts and look-alikes: all readings of one word have one look."""
+    parts = _looks()
+    return "".join([parts.get(c, c) for c in word])
 
 
-def line_features(lines: list[str], k: int, cores: Counter, usual: int, lexicon: frozenset) -> list[int]:
-    """Hashed features of line k of a text."""
-    s = lines[k].strip()
-    shape = re.sub(r"[^\W\d_]+", lambda m: "w" if m.group().islower() else "W" if m.group().isupper() else "J" if _KANA.match(m.group()) else "T", re.sub(r"\d+", "9", re.sub(r"\s+", " ", s)))
-    core = _core(s)
-    words = _TOKEN.findall(s) if not _KANA.search(s) else []
-    known = sum(w.lower() in lexicon or w.isdigit() for w in words) / len(words) if words else -1
-    before, after = (lines[i].strip() if 0 <= i < len(lines) else None for i in (k - 1, k + 1))
-    f = [
-        f"shape {shape[:24]}", f"tail {shape[-5:]}", f"head {shape[:5]}", f"page {_PAGE.fullmatch(s) is not None}",
-        f"repeat {min(3, cores[core])} {bool(core)}", f"length {min(6, 4 * len(s) // max(1, usual))}", f"short {len(s) < 14}",
-        f"place {min(k, 2)} {min(len(lines) - 1 - k, 2)}", f"stop {s[-1:] in '.。!?'}", f"known {round(known, 1)}",
-        f"before {'none' if before is None else 'blank' if not before else 'page' if _PAGE.fullmatch(before) else before[-1] in '.。'}",
-        f"after {'none' if after is None else 'blank' if not after else 'page' if _PAGE.fullmatch(after) else after[:1].islower()}",
-        f"gap {'   ' in s}", f"lower {min(4, sum(w.islower() for w in words))}", f"first {s[:1].islower()}",
-    ]
-    f += [f"word {w.lower()}" for w in re.findall(r"[A-Za-z]{2,}|第9版|食[品晶]|[一-鿿]{3,}", re.sub(r"\d+", "9", s))][:8]
-    return [_crc(x) for x in f]
+@cache
+def _looks() -> dict[str, str]:
+    """What each character looks like: look-alikes share a sign, those read as two are put as two."""
+    root: dict[str, str] = {}
 
+    def up(c: str) -> str:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
 
-@dataclass
-class Model:
-    """Trained weights and what the exact check looks up."""
+    both = [(t, r) for t, r in MISREAD + LOST if not _KANA.search(t + r)]
+    for a, b in both:
+        if len(a) == len(b) == 1:
+            root[up(b)] = up(a)
+    wide = {up(min(a, b, key=len)): max(a, b, key=len) for a, b in both if len(a) != len(b)}
 
-    lines: np.ndarray
-    chars: np.ndarray
-    lexicon: frozenset = field(default_factory=frozenset)
-    trigrams: frozenset = field(default_factory=frozenset)
-    letters: frozenset = field(default_factory=frozenset)
+    def parts(c: str) -> str:
+        c = up(c)
+        return "".join(map(parts, wide[c])) if c in wide else c
 
+    return {c: parts(c) for a, b in both for c in a + b}
 
-def fit(texts: list[str], seed: int = 11) -> Model:
-    """Train both models on clean texts."""
+
+def fit(texts: list[str], seed: int = 11, words: dict[str, int] | None = None, trigrams: frozenset | None = None, furniture: np.ndarray | None = None) -> Model:
+    """Train both models on clean texts.
+
+    ``words`` and ``trigrams`` are what all documents have, ``furniture`` the words learnt from the scans; without them
+    those of the texts serve, and none.
+    """
     rng = random.Random(seed)
     names, label = labels()
     by_char: dict[str, list[str]] = {}
     for t, r in MISREAD:
         by_char.setdefault(t, []).append(r)
     sentences = [s.strip() for t in texts for s in _SPLIT.split(t) if s and len(s) > 12 and s.strip()[-1:] in ".。!?"]
-    words: Counter = Counter()
-    grams: set[str] = set()
-    for t in texts:
-        words.update(w.strip("'’!").lower() for w in _TOKEN.findall(t) if not any(c.isdigit() or c in "@+" for c in w))
-        if _KANA.search(t):
-            x = re.sub(r"\d", "0", re.sub(r"[\s]+", "", t))
-            grams.update(x[i : i + 3] for i in range(len(x) - 2))
-    lexicon = frozenset(words)
-    caps = sorted({w for t in texts[:2000] for w in re.findall(r"\b[A-Z][a-z]{4,9}\b", t)}) or ["Maker"]
+    lexicon = dict(word_counts(texts)) if words is None else words
+    grams = frozenset(trigram_counts(texts)[0].tolist()) if trigrams is None else trigrams
     # character editor
     gate = gates()
     xs, ys = [], []
@@ -272,26 +246,18 @@ def fit(texts: list[str], seed: int = 11) -> Model:
         if sum(map(len, ys)) > 600_000:
             break
     chars = train(np.concatenate(xs), np.concatenate(ys), len(names), 1 << _BITS) if xs else np.zeros((1 << _BITS, len(names)), np.float32)
-    # line model
-    lx, ly = [], []
-    for k in range(0, min(len(sentences), 12_000), 6):
-        some = sentences[k : k + 6]
-        ja = bool(_KANA.search(some[0]))
-        some = [s for s in some if bool(_KANA.search(s)) == ja]
-        lines = [_spoil(x, rng, by_char, label, 0.02)[0] for s in some for x, _ in _wrap(s, rng.randint(30, 60), rng)]
-        name = rng.choice(caps) if not ja else "".join(rng.choice("アイウエオカキクケコサシスセソタチツテト") for _ in range(4))
-        page = _furnished(lines, name, ja, rng)
-        body = [x for x, _ in page]
-        cores = Counter(map(_core, body))
-        usual = sorted(map(len, body))[len(body) // 2] if body else 1
-        for i, (x, y) in enumerate(page):
-            if any(c.isdigit() for c in x):
-                f = line_features(body, i, cores, usual, lexicon)
-                lx.append((f + [0] * 24)[:24])
-                ly.append(y)
-    # without clean text, furniture alone is learnt from made-up pages
-    weights = train(np.array(lx, np.int32), np.array(ly), 3, 1 << _LINE_BITS, batch=8) if lx else np.zeros((1 << _LINE_BITS, 3), np.float32)
-    return Model(weights, chars.astype(np.float16), lexicon, frozenset(grams), frozenset(c for g in grams for c in g))
+    # line model, on pages with titles of the rarer words
+    some = sorted(word_counts(texts[:3000]).items())
+    few = sorted(n for _, n in some)[len(some) * 3 // 4] if some else 0
+    runs = sorted({w for t in texts[:1000] for w in _RUN.findall(t)})
+    rare = {False: [w for w, n in some if n <= few and w.isalpha() and 2 < len(w) < 12], True: runs}
+    lx, ly = page_lines.made_up(sentences, rare, lambda s: bool(_KANA.search(s)), _wrap, lambda s: _spoil(s, rng, by_char, label, 0.02)[0], rng)
+    weights = train(lx, ly, 3, 1 << page_lines.BITS, epochs=10, batch=16) if len(lx) else np.zeros((1 << page_lines.BITS, 3), np.float32)
+    looks: dict[str, list[str]] = {}
+    for w in sorted(lexicon, key=lambda w: (-lexicon[w], w)):
+        looks.setdefault(look(w), []).append(w)
+    letters = frozenset(chr((g >> k) & 0x1FFFFF) for g in grams for k in (0, 21, 42))
+    return Model(weights, chars.astype(np.float16), lexicon, grams, letters, furniture if furniture is not None else np.zeros(0, np.uint64), {k: tuple(v) for k, v in looks.items()})
 
 
 def gates() -> np.ndarray:
@@ -323,22 +289,13 @@ def repair(texts: list[str], m: Model) -> list[Repaired]:
     split = [[x.removesuffix("\r") for x in t.split("\n")] for t in texts]
     kinds: list[list[set[str]]] = [[set() for _ in ls] for ls in split]
     # furniture
-    fx, where = [], []
-    for t, ls in enumerate(split):
-        digits = [k for k, x in enumerate(ls) if any(c.isdigit() for c in x)]
-        if digits:
-            cores = Counter(map(_core, ls))
-            sizes = sorted(len(x) for x in ls if x.strip())
-            for k in digits:
-                fx.append((line_features(ls, k, cores, sizes[len(sizes) // 2], m.lexicon) + [0] * 24)[:24])
-                where.append((t, k))
-    if fx:
-        for (t, k), y in zip(where, m.lines[np.array(fx, np.int32)].sum(1).argmax(1), strict=True):
-            s = split[t][k].strip()
-            if y == 2 and _PAGE.fullmatch(s):
-                kinds[t][k].add("pageno")
-            elif y == 1 and s[-1:] not in ".。,、" and (_KANA.search(s) or sum(w.islower() for w in _TOKEN.findall(s)) < 4):
-                kinds[t][k].add("header")
+    x = page_lines.lines_of(["\n".join(ls) for ls in split], m.furniture) if texts else None
+    if x is not None:
+        y = page_lines.score(m.lines, x.bins)
+        y[x.blank | ((y == page_lines.PAGENO) & (x.page == 0))] = page_lines.TEXT
+        y[(y == page_lines.HEADER) & (x.page > 0)] = page_lines.PAGENO  # nothing but a page number
+        for i in np.flatnonzero(y).tolist():
+            kinds[x.text[i]][x.place[i]].add("header" if y[i] == page_lines.HEADER else "pageno")
     # one stream of the remaining lines of all texts
     parts, owner, size = ["\n" * _PAD], [], _PAD
     starts = []
@@ -470,34 +427,42 @@ def _mended(stream: str, spots: list[int], op: np.ndarray, names: list[str], m:
         less = {j: e for j, e in edits.items() if j != spots[-1]}
         if less and "".join(less.get(j, stream[j]) for j in spots[:-1]).lower() in m.lexicon:
             return less
-    # the editor may have seen only a part of the misreadings: complete it from the same table
-    old = "".join(stream[j] for j in spots)
-    fixed = _search(old.lower(), m.lexicon)
-    if fixed is None:
-        return None
-    return {spots[j]: e for j, e in fixed.items()}
-
-
-def _search(word: str, lexicon: frozenset, depth: int = 3) -> dict[int, str] | None:
-    """The fewest misreadings of the table that turn a word into a known one."""
-    level: list[tuple[str, dict[int, str], list[int]]] = [(word, {}, list(range(len(word))))]
-    for _ in range(depth):
-        more = []
-        for w, e, at in level:
-            for t, r in MISREAD + LOST:
-                p = w.find(r)
-                while p >= 0:
-                    if at[p] in e or any(at[p + q] in e for q in range(len(r))):
-                        p = w.find(r, p + 1)
-                        continue
-                    w2 = w[:p] + t + w[p + len(r) :]
-                    e2 = e | {at[p]: t} | {at[p + q]: "" for q in range(1, len(r))}
-                    if w2.strip("!'’") in lexicon:
-                        return e2
-                    more.append((w2, e2, at[: p + 1] + [at[p]] * (len(t) - 1) + at[p + len(r) :]))
-                    p = w.find(r, p + 1)
-        level = more[:400]
-    return None
+    # the editor may have seen only a part of the misreadings: known words of the same look complete it
+    old = "".join(stream[j] for j in spots).lower()
+    fixed = _same_look(old, m)
+    return {spots[j]: e for j, e in fixed.items()} if fixed else None
+
+
+def _same_look(word: str, m: Model) -> dict[int, str] | None:
+    """The fewest changes that turn a word into a known one of the same look; of equals the most common word."""
+    best = None
+    # a closing mark may be a letter or none
+    for w in dict.fromkeys((word, word.rstrip("!'’"))):
+        for known in m.looks.get(look(w), ()):
+            e = _changes(w, known)
+            if e and (best is None or len(e) < len(best)):
+                best = e
+    return best
+
+
+def _changes(a: str, b: str) -> dict[int, str]:
+    """What stands where in ``a`` to make it ``b``, two words of one look: they are cut where the parts of both are."""
+    parts = _looks()
+    out: dict[int, str] = {}
+    i = j = done = 0
+    ends = [0]
+    for c in b:
+        ends.append(ends[-1] + len(parts.get(c, c)))
+    at, from_i = 0, 0
+    for i, c in enumerate(a):
+        at += len(parts.get(c, c))
+        while j < len(b) and ends[j] < at:
+            j += 1
+        if ends[j] == at:
+            if a[from_i : i + 1] != b[done:j]:
+                out |= {k: "" for k in range(from_i, i + 1)} | {from_i: b[done:j]}
+            from_i, done = i + 1, j
+    return out
 
 
 def _fits(stream: str, i: int, n: int, new: str, op: np.ndarray, names: list[str], m: Model) -> bool:
@@ -521,13 +486,17 @@ def _fits(stream: str, i: int, n: int, new: str, op: np.ndarray, names: list[str
         return True
     a, z = side(i - 1, -1), side(i + n, 1)
     text = a + new + z
-    seen = [text[k : k + 3] in m.trigrams for k in range(len(text) - 2)]
+    seen = [_packed(text[k : k + 3]) in m.trigrams for k in range(len(text) - 2)]
     old = a[-1:] + ("0" if stream[i].isdigit() else stream[i]) + (("0" if stream[i + 1].isdigit() else stream[i + 1]) if n > 1 else z[:1])
-    if len(old) == 3 and old in m.trigrams:
+    if len(old) == 3 and _packed(old) in m.trigrams:
         return False
     return bool(seen) and sum(seen) * 2 >= len(seen)
 
 
+def _packed(s: str) -> int:
+    return (ord(s[0]) << 42) | (ord(s[1]) << 21) | ord(s[2])
+
+
 def _rebuilt(lines: list[str], kinds: list[set[str]], spans: list[tuple[int, int]], stream: str, edits: dict[int, str], joined: np.ndarray) -> str:
     """Paragraphs of the text: furniture out, divided words and lines joined, misreadings mended."""
     out: list[str] = []
@@ -573,6 +542,31 @@ def clean_sample(docs: DataFrame, most: int = SAMPLE) -> list[str]:
     return out
 
 
+def known_text(docs: DataFrame) -> tuple[dict[str, int], frozenset]:
+    """The words, with counts, and the trigrams that all documents together have twice and once in RARE.
+
+    Counts are summed per batch before they are shuffled. What is collected is bounded: at most RARE of each kind, and by
+    far less as words go.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t for t in batch.column(0).to_pylist() if t]
+            words = word_counts(texts)
+            grams, n = trigram_counts(texts)
+            size, total = len(words), sum(words.values())
+            # an empty word carries the sums
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*words, *[None] * len(grams), "", None]), pa.array([None] * size + grams.tolist() + [None, 0], pa.int64()), pa.array([*words.values(), *n.tolist(), total, int(n.sum())], pa.int64())], names=["word", "gram", "n"]
+            )
+
+    counts = spread(docs.select("text")).mapInArrow(run, "word string, gram bigint, n bigint").groupBy("word", "gram").agg(F.sum("n").alias("n"))
+    sums = counts.filter("word = '' or gram = 0").agg(F.max(F.when(F.col("word") == "", F.col("n"))).alias("_w"), F.max(F.when(F.col("gram") == 0, F.col("n"))).alias("_g"))
+    least = F.greatest(F.lit(2), F.ceil(F.when(F.col("word").isNotNull(), F.col("_w")).otherwise(F.col("_g")) / RARE))
+    kept = counts.join(F.broadcast(sums)).filter((F.col("n") >= least) & F.expr("not (word <=> '') and not (gram <=> 0)")).select("word", "gram", "n").collect()  # one row of sums
+    return {r.word: r.n for r in kept if r.word is not None}, frozenset(r.gram for r in kept if r.word is None)
+
+
 def page_texts(scans: DataFrame, last: DataFrame) -> DataFrame:
     """(field, row_id, pass_no, text) of every page text."""
     raw = scans.select(F.lit("scan_log.raw").alias("field"), F.col("rec_id").alias("row_id"), F.posexplode("raw.text").alias("pass_no", "text"))
