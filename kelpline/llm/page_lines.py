@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import checkpointed, spread
 
 TEXT, HEADER, PAGENO = 0, 1, 2
 #: A word is furniture if this many texts, or this share of them, have it in repeated lines, and no more than so many times
@@ -264,7 +264,7 @@ def furniture_words(texts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.append(every.view(np.int64), 0)), pa.array(np.append(counts[0], len(s))), pa.array(np.append(counts[1], 0))], names=["h", "seed", "body"])
 
     src = spread(texts.select("text"))
-    counts = src.mapInArrow(run, "h bigint, seed bigint, body bigint").groupBy("h").agg(F.sum("seed").alias("seed"), F.sum("body").alias("body"))
+    counts = checkpointed(src.mapInArrow(run, "h bigint, seed bigint, body bigint").groupBy("h").agg(F.sum("seed").alias("seed"), F.sum("body").alias("body")))
     total = counts.filter("h = 0").select(F.greatest(F.lit(TEXTS), F.ceil(F.col("seed") * SHARE)).alias("least"))
     kept = counts.filter("h <> 0").join(F.broadcast(total)).filter((F.col("seed") >= F.col("least")) & (F.col("body") <= ELSEWHERE * F.col("seed")))
     return np.sort(np.array([r.h for r in kept.select("h").collect()], np.int64).view(np.uint64))

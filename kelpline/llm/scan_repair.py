@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import checkpointed, spread
 from . import page_lines
 
 #: Documents the models are trained on at most, and characters used of all of them together.
@@ -560,7 +560,7 @@ def known_text(docs: DataFrame) -> tuple[dict[str, int], frozenset]:
                 [pa.array([*words, *[None] * len(grams), "", None]), pa.array([None] * size + grams.tolist() + [None, 0], pa.int64()), pa.array([*words.values(), *n.tolist(), total, int(n.sum())], pa.int64())], names=["word", "gram", "n"]
             )
 
-    counts = spread(docs.select("text")).mapInArrow(run, "word string, gram bigint, n bigint").groupBy("word", "gram").agg(F.sum("n").alias("n"))
+    counts = checkpointed(spread(docs.select("text")).mapInArrow(run, "word string, gram bigint, n bigint").groupBy("word", "gram").agg(F.sum("n").alias("n")))
     sums = counts.filter("word = '' or gram = 0").agg(F.max(F.when(F.col("word") == "", F.col("n"))).alias("_w"), F.max(F.when(F.col("gram") == 0, F.col("n"))).alias("_g"))
     least = F.greatest(F.lit(2), F.ceil(F.when(F.col("word").isNotNull(), F.col("_w")).otherwise(F.col("_g")) / RARE))
     kept = counts.join(F.broadcast(sums)).filter((F.col("n") >= least) & F.expr("not (word <=> '') and not (gram <=> 0)")).select("word", "gram", "n").collect()  # one row of sums
