@@ -7,8 +7,9 @@
 3. Only rows whose bits are all in the seen-again filter are shuffled for exact grouping by the canonical
    string's SHA-256; all others are singletons and never leave their partition.
 
-The filter has a fixed largest size (``max_bits``, 32 MB); a table too large for it has more false
-positives, that is, more rows in the exact grouping, and the same result. Groups are aggregated before
+A filter has ``max_bits`` (32 MB) at most, enough for 16 bits a row of 16 million rows. A larger table is written once in
+slices of the hash range, without a shuffle, and its slices are filtered one after the other, each with its own filter: at any
+size rows are shuffled only if they may repeat, and what is broadcast doesn't grow. Groups are aggregated before
 they are shuffled. Copies learn their representative through a join in which the few groups with more
 than a thousandth of all rows (so fewer than a thousand of them) are broadcast: no hot group is in one task.
 
@@ -20,6 +21,7 @@ those in ``skip`` are compared, whatever they are called; an empty table has no
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from ..operators.hot_join import hot_join
-from ..session import checkpointed
+from ..session import checkpointed, written
 
 SEGMENT = 1 << 16
 _JUNK = r"[\s\p{Z}\p{P}\x00-\x1f]+"
@@ -104,10 +106,29 @@ def copies(df: DataFrame, key: str, skip: tuple[str, ...] = ("id",), max_bits: i
     rows = df.select(F.col(key).cast("bigint").alias("copy_no"), canonical(df, (key, *skip)).alias("form"))
     rows = rows.withColumn("h", F.xxhash64("form"))
     total = df.count()
+    slices = -(-16 * total // max_bits)
+    if slices <= 1:
+        flagged = _flagged(rows.select("copy_no", "h", F.unhex(F.sha2("form", 256)).alias("form")), rows, total)
+    else:
+        part = F.pmod(F.shiftright("h", 40), F.lit(slices)).cast("int")
+        table = written(rows.select("copy_no", "h", F.unhex(F.sha2("form", 256)).alias("form"), part.alias("slice")), "slice")
+        parts = [table.filter(F.col("slice") == k).drop("slice") for k in range(slices)]
+        # each slice is flagged and written before the next one is filtered
+        flagged = reduce(DataFrame.unionAll, [written(_flagged(p, p, -(-2 * total // slices)), "maybe") for p in parts]).select("copy_no", "h", "form", "maybe")
+    alone = flagged.filter("not maybe").select(F.col("copy_no").alias("keep_no"), "copy_no", F.lit(1).cast("bigint").alias("copies"))
+    # keys and digests of the possible repeats are written once, as three branches read them
+    some = checkpointed(flagged.filter("maybe").select("copy_no", "form"))
+    groups = some.groupBy("form").agg(F.min("copy_no").alias("keep_no"), F.count("*").alias("copies"))
+    cols = ["keep_no", "copy_no", "copies"]
+    return alone.unionAll(hot_join(some, groups, "form", "copies", total).select(cols))
+
+
+def _flagged(rows: DataFrame, hashes: DataFrame, total: int) -> DataFrame:
+    """``rows`` with ``maybe``: whether the filter of all ``hashes`` (of about ``total`` rows) has them more than once."""
     bits = SEGMENT
-    while bits < min(16 * total, max_bits):
+    while bits < 16 * total:
         bits *= 2
-    shared = df.sparkSession.sparkContext.broadcast(repeat_filter(rows, bits))
+    shared = rows.sparkSession.sparkContext.broadcast(repeat_filter(hashes, bits))
 
     @F.pandas_udf(BooleanType())
     def maybe(h: pd.Series) -> pd.Series:
@@ -115,13 +136,7 @@ def copies(df: DataFrame, key: str, skip: tuple[str, ...] = ("id",), max_bits: i
         p = _bits(h.to_numpy(), bits)
         return pd.Series(np.all((f[p >> 3] >> (p & 7)) & 1, axis=0).astype(bool))
 
-    flagged = rows.withColumn("maybe", maybe("h"))
-    alone = flagged.filter("not maybe").select(F.col("copy_no").alias("keep_no"), "copy_no", F.lit(1).cast("bigint").alias("copies"))
-    # keys and digests of the possible repeats are written once, as three branches read them
-    some = checkpointed(flagged.filter("maybe").select("copy_no", F.unhex(F.sha2("form", 256)).alias("form")))
-    groups = some.groupBy("form").agg(F.min("copy_no").alias("keep_no"), F.count("*").alias("copies"))
-    cols = ["keep_no", "copy_no", "copies"]
-    return alone.unionAll(hot_join(some, groups, "form", "copies", total).select(cols))
+    return rows.withColumn("maybe", maybe("h"))
 
 
 def collapsed(df: DataFrame, key: str, skip: tuple[str, ...] = ("id",)) -> DataFrame:

@@ -55,3 +55,10 @@ def test_hot_group(spark):
     df = spark.range(6000).select(F.col("id").alias("no"), F.lit("x").alias("id"), F.when(F.col("id") % 3 == 0, F.array(F.lit("Hot "))).otherwise(F.array(F.col("id").cast("string"))).alias("names"))
     got = fc.copies(df, "no")
     assert got.count() == 6000 and got.filter("copies = 2000 and keep_no = 0").count() == 2000
+
+
+def test_slices_give_the_same(spark):
+    rows = spark.range(9000).select(F.col("id").alias("no"), F.lit("x").alias("id"), F.when(F.col("id") % 3 == 0, F.array(F.lit("Hot "))).when(F.col("id") < 600, F.array(F.lit("b"), (F.col("id") % 100).cast("string"))).otherwise(F.array(F.col("id").cast("string"))).alias("names"))
+    got, want = fc.copies(rows, "no", max_bits=fc.SEGMENT), fc.copies(rows, "no")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.filter("copies = 3000").count() == 3000
