@@ -3,24 +3,30 @@
 1. Names are put in plain characters. Rows that carry a name in several scripts teach, by counts over all
    rows, what the parts of a name are called in each: the beginning and end that names with the same first,
    second and last word share, and what is left between (origin, treatment, raw material, form).
-2. Every distinct name is read as four parts, exactly or with one slip a part; a row has the parts most of
-   its names agree on. Rows with the same parts form one node of their table.
-3. Candidate pairs of nodes agree in all parts or in all but one (four equi joins); their prior odds come
-   from the parts, shared codes, and the share of rows that agree.
+2. Every distinct name is read as four parts, exactly or with slips; words cut short or badly misspelt have several
+   readings. The names of a row vote. Rows whose votes agree on one reading form one node of their table; a row whose
+   votes don't is a node of its own with all its readings and their shares.
+3. Candidate pairs of nodes share a reading. Their prior log odds come from the share of votes both give to common readings,
+   against the rate of misreadings and the chance that a wrong reading stands in the other table, and from what codes and
+   other fields say: the log ratio of how often they agree (or go together) among sure pairs and among any two rows.
 4. Loopy belief propagation with one-to-one factors: the message of a pair to one end is its odds divided
    by one plus the messages from the other pairs of the other end, exchanged through grouped sums and joins
-   until nothing moves. The marginal probability is the confidence.
+   until nothing moves. So a row that can be read in two ways goes to the partner that no surer row takes. The marginal
+   probability is the confidence. Pairs whose ends have no other pair need no messages.
 
-Defined results: rows without a name that can be read as four parts match nothing; null codes are no
+Defined results: rows without a name that can be read as four parts match nothing; null codes and fields are no
 evidence; empty tables give no match; repeated rows each match; columns with clashing names don't matter,
-as only key, names and code are read.
+as only key, names, code and the named fields are read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,8 +39,14 @@ from .unify import unify_column
 #: A word is a part's name if it was seen this often, in this share of cases, and is no rarer than this share of the
 #: common ones.
 SEEN, SHARE, RARE = 3, 0.6, 0.05
-#: Log odds of a pair: all parts agree, one part differs, and for a shared code.
-AGREE, DIFFER, CODE = 5.0, -5.0, 1.0
+#: A reading with so many times the votes of the next stands alone.
+CLEAR = 1.5
+#: The misreading rate is taken to be this at least; more values of a field, or surfaces in the vocabulary, than these are refused.
+LEAST_ERROR, VALUES, VOCABULARY = 0.01, 10_000, 500_000
+#: Pairs as expected that are added to those seen of two values.
+PRIOR = 20
+#: Words or characters a part's name has at most.
+LONGEST = 64
 PARTS = ("o", "t", "b", "f")
 # Katakana by rows of consonants, vowels in the order a, i, u, e, o.
 _ROWS = {"": "アイウエオ", "k": "カキクケコ", "g": "ガギグゲゴ", "s": "サシスセソ", "z": "ザジズゼゾ", "t": "タチツテト", "d": "ダヂヅデド", "n": "ナニヌネノ", "h": "ハヒフヘホ", "b": "バビブベボ", "p": "パピプペポ", "m": "マミムメモ", "r": "ラリルレロ"}
@@ -108,10 +120,10 @@ def _tally(pairs: DataFrame, see) -> dict[tuple[str, str, str], tuple[str, int]]
     return _top(pairs.mapInArrow(run, "script string, part string, word string, surface string, n bigint"))
 
 
-def _grow(seen: Counter, script: str, part: str, word: str, body: list[str], most: int, back: bool = False) -> None:
+def _grow(seen: Counter, script: str, part: str, word: str, body: list[str], back: bool = False) -> None:
     """Count every beginning (or ending) of a name, and the case itself."""
     seen["n" + script, part, word, ""] += 1
-    for i in range(1, min(most, len(body) - 1) + 1):
+    for i in range(1, min(LONGEST, len(body) - 1) + 1):
         seen[script, part, word, "\x02".join(body[-i:] if back else body[:i])] += 1
 
 
@@ -124,11 +136,11 @@ def learn(names: DataFrame) -> dict[str, dict[str, str]]:
 
     def outer(seen: Counter, p: list[str], y: list[str], s: str) -> None:
         seen["p", "o", p[0], ""] += 1
-        _grow(seen, s, "f", p[3], y if s == "c" else y[1:], 8, back=True)
+        _grow(seen, s, "f", p[3], y if s == "c" else y[1:], back=True)
         if s == "c":
-            _grow(seen, s, "o", p[0], y, 12)
+            _grow(seen, s, "o", p[0], y)
         else:
-            _grow(seen, s, "t", p[1], y[1:], 4)
+            _grow(seen, s, "t", p[1], y[1:])
 
     known = _tally(pairs, outer)
     origins = {w: int(s) for (k, _, w), s in known.items() if k == "p"}
@@ -144,7 +156,7 @@ def learn(names: DataFrame) -> dict[str, dict[str, str]]:
 
     def second(seen: Counter, p: list[str], y: list[str], s: str) -> None:
         if s == "c" and (rest := split(known, p, y, s, "o")):
-            _grow(seen, s, "t", p[1], rest, 8)
+            _grow(seen, s, "t", p[1], rest)
 
     known = {**known, **_tally(pairs, second)}
 
@@ -173,7 +185,10 @@ def _top(counts: DataFrame) -> dict[tuple[str, str, str], str]:
     kept = surfaces.join(words.withColumnRenamed("script", "_s"), ["_s", "part", "word"]).filter(F.col("n") >= SHARE * F.col("cases"))
     out: dict[tuple[str, str, str], str] = {}
     best: dict[tuple[str, str, str], tuple[int, int]] = {}
-    for r in kept.select("script", "part", "word", "surface", "n").collect():
+    rows = kept.select("script", "part", "word", "surface", "n").limit(VOCABULARY + 1).collect()
+    if len(rows) > VOCABULARY:
+        raise ValueError(f"more than {VOCABULARY} names of parts")
+    for r in rows:
         k = (r.script, r.part, r.word)
         size = (r.surface.count("\x02"), r.n)
         if k not in best or size > best[k]:
@@ -237,7 +252,8 @@ class Reader:
         """(slips, class) of surfaces equal to s or one slip away."""
         if (c := self.vocab[key].get(s)) is not None:
             return [(0, c)]
-        if len(s) < 3 and key[1] == "w" or len(s) < 2:
+        # nothing longer than the longest surface and a slip can be one
+        if not self.sizes[key] or len(s) < (3 if key[1] == "w" else 2) or len(s) > self.sizes[key][-1] + 1:
             return []
         found = {}
         for x in {s, *(s[:i] + s[i + 1 :] for i in range(len(s)))}:
@@ -246,31 +262,27 @@ class Reader:
                     found[self.vocab[key][y]] = 1
         return [(d, c) for c, d in found.items()]
 
-    def _begun(self, key: str, s: str) -> str | None:
-        """The class of s, or the only one with a surface that s begins."""
+    def _begun(self, key: str, s: str) -> list[str]:
+        """The class of s, or all with a surface that s begins."""
         if (c := self.vocab[key].get(s)) is not None:
-            return c
-        fits = {c for y, c in self.vocab[key].items() if y.startswith(s)} if len(s) >= 3 else set()
-        return fits.pop() if len(fits) == 1 else None
+            return [c]
+        return sorted({c for y, c in self.vocab[key].items() if y.startswith(s)}) if len(s) >= 3 else []
 
-    def read(self, form: tuple[str, ...]) -> tuple[int, tuple[str, str, str, str]] | None:
-        """(slips, parts) of a name, if it can be read in one best way."""
+    def read(self, form: tuple[str, ...]) -> list[tuple[int, tuple[str, str, str, str]]]:
+        """(slips, parts) of the best readings of a name, several if they are equally good."""
         if not form:
-            return None
+            return []
         s = "c" if _CJK.search("".join(form)) else "w"
         if s == "w" and len(form) >= 4:
             # word by word, words cut short included
-            for tw in (1, 2):
-                whole = [form[0], "".join(form[1 : 1 + tw]), "".join(form[1 + tw : -1]), form[-1]]
-                if all(whole) and None not in (got := [self.vocab[p + s].get(w) for p, w in zip(PARTS, whole, strict=True)]):
-                    return 0, tuple(got)
-            for tw in (1, 2):
-                whole = [form[0], "".join(form[1 : 1 + tw]), "".join(form[1 + tw : -1]), form[-1]]
-                if all(whole) and None not in (got := [self._begun(p + s, w) for p, w in zip(PARTS, whole, strict=True)]):
-                    return 1, tuple(got)
+            cuts = [w for tw in (1, 2) if all(w := self._cut(form, tw))]
+            for whole in cuts:
+                if None not in (got := [self.vocab[p + s].get(w) for p, w in zip(PARTS, whole, strict=True)]):
+                    return [(0, tuple(got))]
+            for whole in cuts:
+                if all(got := [self._begun(p + s, w) for p, w in zip(PARTS, whole, strict=True)]):
+                    return [(1, x) for x in product(*got)]
         text = "".join(form)
-        if len(text) > 200:
-            return None
         options: dict[tuple, int] = {}
         turned = [text]
         if s == "w":
@@ -280,29 +292,32 @@ class Reader:
             if options and min(options.values()) == 0:
                 break
         if not options:
-            return (self._lone(form) if s == "w" and len(form) >= 4 else None) or self._rare(form, text, s)
-        order = sorted(options.items(), key=lambda x: x[1])
-        if len(order) > 1 and order[1][1] == order[0][1]:
-            return None
-        return order[0][1], order[0][0]
+            return (self._lone(form) if s == "w" and len(form) >= 4 else []) or self._rare(form, text, s)
+        least = min(options.values())
+        return [(d, x) for x, d in sorted(options.items()) if d == least]
+
+    @staticmethod
+    def _cut(form: tuple[str, ...], tw: int) -> list[str]:
+        """A name of words as four parts, ``tw`` words for the treatment."""
+        return [form[0], "".join(form[1 : 1 + tw]), "".join(form[1 + tw : -1]), form[-1]]
 
-    def _lone(self, form: tuple[str, ...]) -> tuple[int, tuple[str, str, str, str]] | None:
+    def _lone(self, form: tuple[str, ...]) -> list[tuple[int, tuple[str, str, str, str]]]:
         """A name of words all but one of which are exact; that one may have two or three slips."""
-        found = set()
+        found: dict[tuple, int] = {}
         for tw in (1, 2):
-            whole = [form[0], "".join(form[1 : 1 + tw]), "".join(form[1 + tw : -1]), form[-1]]
+            whole = self._cut(form, tw)
             got = [self.vocab[p + "w"].get(w) for p, w in zip(PARTS, whole, strict=True)]
             if all(whole) and got.count(None) == 1:
                 i = got.index(None)
                 most = 3 if len(whole[i]) >= 10 else 2 if len(whole[i]) >= 6 else 1
-                near = sorted((d, c) for y, c in self.vocab[PARTS[i] + "w"].items() if (d := osa(whole[i], y, most)) <= most)
-                best = {c for d, c in near if d == near[0][0]}
-                if len(best) == 1:
-                    got[i] = best.pop()
-                    found.add((near[0][0], tuple(got)))
-        return min(found) if found and (len(found) == 1 or len({d for d, _ in found}) > 1) else None
-
-    def _rare(self, form: tuple[str, ...], text: str, s: str) -> tuple[int, tuple[str, str, str, str]] | None:
+                for y, c in self.vocab[PARTS[i] + "w"].items():
+                    if (d := osa(whole[i], y, most)) <= most:
+                        x = (*got[:i], c, *got[i + 1 :])
+                        found[x] = min(d, found.get(x, 9))
+        least = min(found.values(), default=0)
+        return [(d, x) for x, d in sorted(found.items()) if d == least]
+
+    def _rare(self, form: tuple[str, ...], text: str, s: str) -> list[tuple[int, tuple[str, str, str, str]]]:
         """A name whose origin was seen too seldom to be learnt; its other parts must be exact."""
         found = set()
         for i in (len(form[0]),) if s == "w" else (3, 4, 5):
@@ -314,7 +329,7 @@ class Reader:
                         t, b = self.vocab["t" + s].get(rest[:k]), self.vocab["b" + s].get(rest[k : len(rest) - j])
                         if t and b:
                             found.add((self.vocab["ow"].get(o, o), t, b, f))
-        return (1, found.pop()) if len(found) == 1 else None
+        return [(1, x) for x in sorted(found)]
 
     def _scan(self, text: str, s: str, options: dict[tuple, int]) -> None:
         n = len(text)
@@ -335,80 +350,151 @@ class Reader:
                                     options[o, t, b, f] = total
 
 
-def nodes(df: DataFrame, key: str, vocab: dict[str, dict[str, str]]) -> DataFrame:
-    """(row, o, t, b, f, code) of the rows whose names can be read."""
+NODE = "row bigint, node bigint, readings array<struct<o:string,t:string,b:string,f:string,share:double>>, lead double, code string"
+
+
+def nodes(df: DataFrame, key: str, vocab: dict[str, dict[str, str]], fields: tuple[str, ...] = ()) -> DataFrame:
+    """(row, node, readings, lead, code, *fields) of the rows whose names can be read.
+
+    A row with a clear reading has that one alone, with share 1; ``lead`` is the share of votes of its best reading.
+    """
     shared = df.sparkSession.sparkContext.broadcast(vocab)
+    kind = pa.list_(pa.struct([*((p, pa.string()) for p in PARTS), ("share", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, memo = None, {}
         for batch in batches:
             reader = reader or Reader(shared.value)
-            rows, parts, codes = [], [], []
-            for row, code, names in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), _plain_lists(batch.column(1)), strict=True):
+            at, ids, readings, leads, codes = [], [], [], [], []
+            for i, (code, names) in enumerate(zip(batch.column(2).to_pylist(), _plain_lists(batch.column(1)), strict=True)):
                 votes: dict[tuple, float] = {}
-                for form in set(names):
+                for form in sorted(set(names)):
                     if form not in memo:
                         if len(memo) > 50_000:
                             memo.clear()
                         memo[form] = reader.read(form)
-                    if memo[form]:
-                        d, p = memo[form]
-                        votes[p] = votes.get(p, 0.0) + 1.0 / (1 + 2 * d)
-                if votes:
-                    order = sorted(votes.items(), key=lambda x: (-x[1], x[0]))
-                    if len(order) == 1 or order[0][1] > order[1][1]:
-                        rows.append(row)
-                        parts.append(order[0][0])
-                        codes.append(re.sub(r"[\W_]+", "", code).lower() or None if code else None)
-            cols = list(zip(*parts, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), *(pa.array(c, pa.string()) for c in cols), pa.array(codes, pa.string())], names=["row", *PARTS, "code"])
-
-    src = spread(df.select(F.col(key).cast("bigint"), "names", "e_number").filter("names is not null"))
-    return src.mapInArrow(run, "row bigint, o string, t string, b string, f string, code string")
-
-
-def propagate(edges: DataFrame, rounds: int = 12, tolerance: float = 1e-3) -> DataFrame:
-    """Marginal probability ``p`` of every candidate (l, r, w) with prior log odds w, one-to-one."""
-    e = edges.select("l", "r", F.exp("w").alias("w"), F.lit(1.0).alias("a"), F.lit(1.0).alias("z"))
-    for _ in range(rounds):
+                    for d, p in memo[form]:
+                        votes[p] = votes.get(p, 0.0) + 1.0 / (1 + 2 * d) / len(memo[form])
+                if not votes:
+                    continue
+                order = sorted(votes.items(), key=lambda x: (-x[1], x[0]))
+                total = sum(votes.values())
+                clear = len(order) == 1 or order[0][1] >= CLEAR * order[1][1]
+                some = [(*order[0][0], 1.0)] if clear else [(*p, round(v / total, 3)) for p, v in order]
+                at.append(i)
+                ids.append(int.from_bytes(blake2b(repr(some).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True))
+                readings.append([dict(zip((*PARTS, "share"), x, strict=True)) for x in some])
+                leads.append(order[0][1] / total)
+                codes.append(re.sub(r"[\W_]+", "", code).lower() or None if code else None)
+            take = pa.array(at, pa.int64())
+            cols = [batch.column(0).take(take), pa.array(ids, pa.int64()), pa.array(readings, kind), pa.array(leads, pa.float64()), pa.array(codes, pa.string())]
+            yield pa.RecordBatch.from_arrays([*cols, *(batch.column(3 + k).take(take) for k in range(len(fields)))], names=["row", "node", "readings", "lead", "code", *(f"f{k}" for k in range(len(fields)))])
+
+    src = spread(df.select(F.col(key).cast("bigint"), "names", "e_number", *[F.col(f).cast("string").alias(f"f{k}") for k, f in enumerate(fields)]).filter("names is not null"))
+    return src.mapInArrow(run, NODE + "".join(f", f{k} string" for k in range(len(fields))))
+
+
+def propagate(edges: DataFrame, rounds: int = 1000, tolerance: float = 1e-3, free: int = 8, damping: float = 0.5) -> DataFrame:
+    """Marginal probability ``p`` of every candidate (l, r, w) with prior log odds w, one-to-one.
+
+    Rounds go on until no message moves by ``tolerance``; after ``free`` of them messages are damped. That they settle is known
+    for these factors; should they not in ``rounds``, this is an error and no result.
+    """
+    e = checkpointed(edges.select("l", "r", F.exp("w").alias("w")))
+    degree = [e.groupBy(k).agg(F.count("*").alias(f"_{k}")) for k in ("l", "r")]
+    e = checkpointed(e.join(degree[0], "l").join(degree[1], "r"))
+    alone = e.filter("_l = 1 and _r = 1").select("l", "r", (F.col("w") / (1 + F.col("w"))).alias("p"))
+    e = e.filter("_l > 1 or _r > 1").select("l", "r", "w", F.lit(1.0).alias("a"), F.lit(1.0).alias("z"))
+    if e.isEmpty():
+        return alone
+    for n in range(rounds):
         left = e.groupBy("l").agg(F.sum(F.col("w") * F.col("z")).alias("sl"))
         right = e.groupBy("r").agg(F.sum(F.col("w") * F.col("a")).alias("sr"))
+        old = damping if n >= free else 0.0
         rest_l = F.greatest(F.col("sl") - F.col("w") * F.col("z"), F.lit(0.0))
         rest_r = F.greatest(F.col("sr") - F.col("w") * F.col("a"), F.lit(0.0))
-        new = e.join(left, "l").join(right, "r").select("l", "r", "w", (1 / (1 + rest_l)).alias("a"), (1 / (1 + rest_r)).alias("z"), F.col("a").alias("a0"), F.col("z").alias("z0"))
+        a, z = ((1 - old) / (1 + rest) + old * F.col(c) for rest, c in ((rest_l, "a"), (rest_r, "z")))
+        new = e.join(left, "l").join(right, "r").select("l", "r", "w", a.alias("a"), z.alias("z"), F.col("a").alias("a0"), F.col("z").alias("z0"))
         new = checkpointed(new.withColumn("moved", F.greatest(F.abs(F.col("a") - F.col("a0")), F.abs(F.col("z") - F.col("z0")))))
         moved = new.agg(F.max("moved")).first()[0]
         e = new.select("l", "r", "w", "a", "z")
-        if moved is None or moved < tolerance:
-            break
-    odds = F.col("w") * F.col("a") * F.col("z")
-    return e.select("l", "r", (odds / (1 + odds)).alias("p"))
+        if moved < tolerance:
+            odds = F.col("w") * F.col("a") * F.col("z")
+            return alone.unionByName(e.select("l", "r", (odds / (1 + odds)).alias("p")))
+    raise RuntimeError(f"messages still move after {rounds} rounds")
+
+
+def _groups(rows: DataFrame, side: str, fields: int) -> DataFrame:
+    """One row per node: how many rows it has, its readings, codes, and the least value of each field."""
+    agg = [F.count("*").alias(f"{side}_n"), F.first("readings").alias(f"{side}_readings"), F.array_sort(F.collect_set("code")).alias(f"{side}_codes")]
+    return rows.groupBy(F.col("node").alias(side)).agg(*agg, *[F.min(f"f{k}").alias(f"{side}_f{k}") for k in range(fields)])
+
+
+def _field_odds(sure: DataFrame, sides: list[DataFrame], k: int) -> DataFrame:
+    """(l_fk, r_fk, odds_k): the log ratio of how often two values go together among sure pairs and among any, with some expected pairs added."""
+    n = f"f{k}"
 
+    def few(x: DataFrame) -> list:
+        got = x.limit(VALUES + 1).collect()
+        if len(got) > VALUES:
+            raise ValueError(f"a field of more than {VALUES} values is no evidence")
+        return got
 
-def matches(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: float = 0.5) -> DataFrame:
-    """(left_key, right_key, confidence) of every pair of rows that describe the same thing."""
+    rows = few(sure.filter(F.col(f"l_{n}").isNotNull() & F.col(f"r_{n}").isNotNull()).groupBy(f"l_{n}", f"r_{n}").agg(F.count("*").alias("c")))
+    single = [dict(map(tuple, few(x.filter(F.col(f"{s}_{n}").isNotNull()).groupBy(f"{s}_{n}").count()))) for x, s in zip(sides, ("l", "r"), strict=True)]
+    seen = {(r[0], r[1]): r.c for r in rows}
+    total, per = sum(r.c for r in rows), [max(1, sum(x.values())) for x in single]
+    out = []
+    for a, na in single[0].items():
+        for b, nb in single[1].items():
+            expected = na / per[0] * nb / per[1]
+            out.append((a, b, math.log((seen.get((a, b), 0) + PRIOR * expected) / ((total + PRIOR) * expected))))
+    return sure.sparkSession.createDataFrame(out, f"l_{n} string, r_{n} string, odds_{k} double")
+
+
+def matches(left: DataFrame, right: DataFrame, left_key: str, right_key: str, fields: tuple[tuple[str, str], ...] = (), least: float = 0.5) -> DataFrame:
+    """(left_key, right_key, confidence) of every pair of rows that describe the same thing.
+
+    ``fields``: pairs of columns, one of each table, of few values, whose combinations may tell.
+    """
     vocab = learn(left.select("names").unionAll(right.select("names")).filter("names is not null"))
-    rows = [checkpointed(nodes(t, k, vocab)) for t, k in ((left, left_key), (right, right_key))]
-    ident = F.concat_ws("\u0001", *PARTS)
-    sides = [r.withColumn("node", F.xxhash64(ident)) for r in rows]
-    groups = [s.groupBy("node", *PARTS).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("code")).alias("codes")) for s in sides]
-    ln, rn = (g.select(F.col("node").alias(side), *[F.col(p).alias(f"{side}_{p}") for p in PARTS], F.col("codes").alias(f"{side}_codes")) for g, side in zip(groups, ("l", "r"), strict=True))
-    sizes = [g.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n")) for g, side in zip(groups, ("l", "r"), strict=True)]
-    pairs = None
-    for skip in PARTS:
-        on = [F.col(f"l_{p}") == F.col(f"r_{p}") for p in PARTS if p != skip]
-        cond = on[0] & on[1] & on[2]
-        # a pair equal in all parts comes from the first join only
-        if skip != PARTS[0]:
-            cond &= F.col(f"l_{skip}") != F.col(f"r_{skip}")
-        found = ln.join(rn, cond).select("l", "r", (F.col(f"l_{skip}") == F.col(f"r_{skip}")).alias("same"), F.arrays_overlap("l_codes", "r_codes").alias("code"))
-        pairs = found if pairs is None else pairs.unionAll(found)
-    w = F.when(F.col("same"), AGREE).otherwise(DIFFER) + F.when(F.col("code"), CODE).otherwise(0.0)
-    sure = propagate(pairs.select("l", "r", w.alias("w"))).filter(F.col("p") >= least)
-    sure = checkpointed(sure.join(sizes[0], "l").join(sizes[1], "r"))
-    lrow = sides[0].select(F.col("node").alias("l"), F.col("row").alias(left_key))
-    rrow = sides[1].select(F.col("node").alias("r"), F.col("row").alias(right_key))
-    return _rows(sure, lrow, rrow, left_key, right_key, [s.count() for s in sides])
+    rows = [checkpointed(nodes(t, k, vocab, tuple(f[i] for f in fields))) for i, (t, k) in enumerate(((left, left_key), (right, right_key)))]
+    groups = [checkpointed(_groups(r, s, len(fields))) for r, s in zip(rows, ("l", "r"), strict=True)]
+    readings = [g.select(s, F.explode(f"{s}_readings").alias("x")).select(s, *[F.col(f"x.{p}").alias(p) for p in PARTS], F.col("x.share").alias(f"{s}_share")) for g, s in zip(groups, ("l", "r"), strict=True)]
+    shared = readings[0].join(readings[1], list(PARTS)).groupBy("l", "r").agg(F.sum(F.col("l_share") * F.col("r_share")).alias("same"))
+    # the share of each node's readings that the other table has
+    for s, mine, other in (("l", *readings), ("r", *reversed(readings))):
+        shared = shared.join(mine.join(other.select(*PARTS).distinct(), list(PARTS), "left_semi").groupBy(s).agg(F.sum(f"{s}_share").alias(f"{s}_covered")), s)
+    pairs = checkpointed(shared.join(groups[0].drop("l_readings"), "l").join(groups[1].drop("r_readings"), "r"))
+    return _rows(checkpointed(_decided(pairs, rows, groups, readings[1], len(fields), least)), *(r.select(F.col("node").alias(s), F.col("row").alias(k)) for r, s, k in zip(rows, ("l", "r"), (left_key, right_key), strict=True)), left_key, right_key, [r.count() for r in rows])
+
+
+def _decided(pairs: DataFrame, rows: list[DataFrame], groups: list[DataFrame], right: DataFrame, fields: int, least: float) -> DataFrame:
+    """Candidate pairs with the marginal probability of each, those below ``least`` left out."""
+    error = max(LEAST_ERROR, *(float(r.agg(F.avg(1 - F.col("lead"))).first()[0] or 0.0) for r in rows))
+    size = right.agg(F.count_distinct("r").alias("n"), *[F.count_distinct(p).alias(p) for p in PARTS]).first()
+    chance = min(1.0, size.n / max(1, size.o * size.t * size.b * size.f))
+    same = F.least(F.col("same"), F.lit(1.0 - error))
+    # against no partner at all: a misreading, or a right reading that the other table lacks while a wrong one is there by chance
+    lacking = F.greatest(1 - F.least("l_covered", "r_covered"), F.lit(0.0))
+    w = F.log(same / (lacking * chance + error))
+    sure = pairs.filter("same > 0.99")
+    # codes: equal among sure pairs, equal among any two rows
+    any_ = [r.filter("code is not null").groupBy("code").agg(F.count("*").alias(f"n{i}")) for i, r in enumerate(rows)]
+    coded = [max(1, r.filter("code is not null").count()) for r in rows]
+    by_chance = float(any_[0].join(any_[1], "code").agg(F.sum(F.col("n0") / coded[0] * F.col("n1") / coded[1])).first()[0] or 0.0)
+    meet = F.arrays_overlap("l_codes", "r_codes")
+    told = F.expr("size(l_codes) > 0 and size(r_codes) > 0")
+    seen = sure.agg(F.count_if(told).alias("n"), F.count_if(told & meet).alias("eq")).first()
+    u, m = min(0.99, max(by_chance, 1e-6)), (seen.eq + 0.5) / (seen.n + 1)
+    w = w + F.when(~told, 0.0).when(meet, math.log(m / u)).otherwise(math.log((1 - m) / (1 - u)))
+    judged = pairs
+    for k in range(fields):
+        odds = _field_odds(sure, groups, k)
+        judged = judged.join(F.broadcast(odds), [f"l_f{k}", f"r_f{k}"], "left")
+        w = w + F.coalesce(F.col(f"odds_{k}"), F.lit(0.0))
+    p = propagate(judged.select("l", "r", w.alias("w"))).filter(F.col("p") >= least)
+    return p.join(groups[0].select("l", "l_n"), "l").join(groups[1].select("r", "r_n"), "r")
 
 
 def _rows(sure: DataFrame, lrow: DataFrame, rrow: DataFrame, left_key: str, right_key: str, totals: list[int], salts: int = 16) -> DataFrame:

@@ -88,7 +88,7 @@ def p6_map(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_matches(spark: SparkSession, d: str) -> DataFrame:
     """Each pair of rows for the same ingredient, with the confidence of the match."""
-    return entity_match.matches(table(spark, d, "ingredient_entries"), table(spark, d, "catalog_entries"), "entry_no", "cat_no")
+    return entity_match.matches(table(spark, d, "ingredient_entries"), table(spark, d, "catalog_entries"), "entry_no", "cat_no", (("status", "vegan"), ("category", "vegetarian")))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

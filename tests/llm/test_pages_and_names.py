@@ -145,10 +145,36 @@ def test_hot_ingredient(spark, world):
 def test_slips_are_read(spark, world):
     vocab = em.learn(spark.createDataFrame([(n,) for _, n in world], "names array<string>"))
     r = em.Reader(vocab)
-    want = r.read(("pebetamu", "twice", "milled", "lotus", "root", "gel"))[1]
+    want = r.read(("pebetamu", "twice", "milled", "lotus", "root", "gel"))
+    assert len(want) == 1
     for name in ("pebetamu twice milled lotus rot gel", "twice milled lotus root gel, pebetamu", "PEBETAMU NIDOBIKI RENKON GERU", "ペベタム二度挽き蓮根ゲル", "pebetamutwicemilledlotusrootgel", "pebetamu nido. renkon geru"):
-        assert r.read(em.forms_of(name))[1] == want
-    assert r.read(em.forms_of("walnut extract")) is None and r.read(()) is None
+        assert [x for _, x in r.read(em.forms_of(name))] == [want[0][1]]
+    assert r.read(em.forms_of("walnut extract")) == [] == r.read(()) == r.read(("x" * 5000,))
+
+
+def test_messages_decide(spark, world, monkeypatch):
+    """A row whose names tell for two ingredients goes to the one that no surer row takes."""
+    two = [("pebetamu dried cumin bran", "ragukoni dried cumin bran"), ("zedowaso frozen shea wax", "hizagono frozen shea wax")]
+    left = [(no, names, None) for no, names in world if names[0] not in (two[0][1], two[1][1])] + [(5000 + i, list(names), None) for i, names in enumerate(two)]
+    right = [(10_000 + no, names, None) for no, names in world]
+    ls, rs = spark.createDataFrame(left, "a long, names array<string>, e_number string"), spark.createDataFrame(right, "b long, names array<string>, e_number string")
+    number = {names[0]: 10_000 + no for no, names in world}
+    got = {(r.a, r.b) for r in em.matches(ls, rs, "a", "b").collect()}
+    assert {x for x in got if x[0] >= 5000} == {(5000, number[two[0][1]]), (5001, number[two[1][1]])} and len(got) == len(world)
+    monkeypatch.setattr(em, "propagate", lambda e: e.select("l", "r", (1 / (1 + F.exp(-F.col("w")))).alias("p")))
+    free = {(r.a, r.b) for r in em.matches(ls, rs, "a", "b").collect()}
+    assert len({x for x in free if x[0] >= 5000}) == 4 and got < free
+
+
+def test_codes_and_fields_count(spark, world):
+    left = [(no, names, f"E{no}", "plant" if no % 2 else "animal") for no, names in world]
+    right = [(10_000 + no, names, f"e-{no}", "yes" if no % 2 else "no") for no, names in world]
+    # two readings of the same strength: the shared code tells
+    left.append((5000, ["pebetamu dried cumin bran", "ragukoni dried cumin bran"], "E9001", None))
+    right += [(20_000, ["pebetamu dried cumin bran x", "hizagono frozen shea wax", "pebetamu dried cumin bran"], "E9002", None)]
+    ls, rs = spark.createDataFrame(left, "a long, names array<string>, e_number string, kind string"), spark.createDataFrame(right, "b long, names array<string>, e_number string, vegan string")
+    got = {(r.a, r.b): r.confidence for r in em.matches(ls, rs, "a", "b", (("kind", "vegan"),)).collect()}
+    assert {(no, 10_000 + no) for no, _ in world} <= set(got) and min(got.values()) >= 0.5 and max(got.values()) <= 1.0
 
 
 def test_index_recall_against_brute_force():
