@@ -2,9 +2,13 @@
 
 Values are deduplicated, brought to plain characters, and stripped of amounts, marks and remarks.
 Candidates come from an inverted index of character bigrams and trigrams over the list's spellings, scored
-by cosine with inverse-document-frequency weights. The best candidate is accepted above a threshold
-and with a margin over the best one of another term; an exact check by edit distance (with swaps) follows, of every
-spelling that reaches the threshold: length, shared n-grams and character counts only rule out what can't pass it.
+by cosine with inverse-document-frequency weights. The best candidate is accepted above a threshold, fitted for each
+length on slips laid on the list's own spellings, and with a margin over the best one of another term. An exact check by
+edit distance (with swaps) of every spelling above the threshold goes before: length, shared n-grams and character counts
+only rule out what can't pass it.
+
+What stands before or after names as a remark, and how the words for a form are shortened, is learnt from the values: what
+is left of them beside a spelling, or beside a raw material, if many different raw materials have it.
 
 The list is split into raw material and form, so that the index also holds mixed spellings, turned-round
 ones and combinations that are *not* in the list: a value nearer to one of those means no term.
@@ -17,9 +21,11 @@ The list must stay small (``MAX_TERMS``): it is broadcast, and a longer one is r
 
 from __future__ import annotations
 
+import random
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import pairwise
 
 import numpy as np
@@ -28,23 +34,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.hot_join import hot_join
-from ..session import checkpointed
+from ..session import checkpointed, spread_small
 from .unify import unify_column
 
 MAX_TERMS = 100_000
-#: Least cosine, and least lead in it over another term at the same edit distance.
-THRESHOLD, MARGIN = 0.25, 0.02
+#: The share of slips laid on the list that may fall below the threshold, the slips tried for a length, and the least lead in cosine over
+#: another term.
+MISSED, SLIPS, MARGIN = 0.002, 1000, 0.02
+#: A remark or a shortened form stands beside so many raw materials, and this share of them, at least.
+BESIDE, SHARE = 3, 0.05
+#: Remarks of this length may have a slip.
+LONG = 6
 #: Bigrams and trigrams of a key that one edit can touch (a swap touches three and four); buckets of counted characters.
 TOUCHED, BUCKETS = 7, 64
-# Remarks that may stand before or after a name.
-BEFORE = ("natural ", "organic ", "premium ", "有機", "国産", "特選")
-AFTER = ("加工品", "imported)")
-# How the words for a form are shortened on labels.
-SHORT = {
-    "concentrate": ("conc", "concentr"), "extract": ("ext", "extr"), "flakes": ("flk", "flks"), "paste": ("pst",), "powder": ("pdr", "pwd", "powd"), "protein": ("prot", "protn"),
-    "sauce": ("sce",), "seasoning": ("seas", "seasng"), "starch": ("strch",), "syrup": ("syr",), "vinegar": ("vineg", "vngr"), "dietary fiber": ("dietfib", "dietfibre", "dietaryfib", "dietaryfibre", "fiber", "fibre"),
-    "pickles": ("pckl", "pckls", "pickled"), "broth": ("brth",),
-}
 _BRACKETS = re.compile(r"[(\[{（［【][^)\]}）］】]*[)\]}）］】]s?")
 _WHOLE = {("(", ")"), ("[", "]"), ("「", "」"), ("（", "）"), ('"', '"')}
 _AMOUNT = re.compile(r"\*+\d*s?|\d+(?:[.,]\d+)*\s*(?:%|mg|kg|ml|g)?s?(?![a-z])")
@@ -52,19 +54,29 @@ _HIRAGANA = {c: c - 0x60 for c in range(0x30A1, 0x30F7)}
 _NONWORD = re.compile(r"[\W_]+")
 
 
+@dataclass(frozen=True)
+class Learnt:
+    """Remarks before and after names, and shortened words for forms with the form they stand for."""
+
+    before: tuple[str, ...] = ()
+    after: tuple[str, ...] = ()
+    short: tuple[tuple[str, str], ...] = ()
+
+
 def stripped(v: str) -> str:
-    """A plain value in lower case and hiragana, without amounts, marks and remarks."""
+    """A plain value in lower case and hiragana, without amounts, marks and bracketed remarks."""
     v = v.strip()
     if len(v) > 2 and (v[0], v[-1]) in _WHOLE:
         v = v[1:-1]
     v = re.sub(r"[._]+(?=\w)", " ", _AMOUNT.sub(" ", _BRACKETS.sub(" ", v.lower()))).strip(" -・.,;:*。、\"'")
-    for p in BEFORE:
-        v = v.removeprefix(p)
-    for s in AFTER:
-        v = v.removesuffix(s)
     return v.translate(_HIRAGANA).strip()
 
 
+def key_of(v: str) -> str:
+    """The letters and digits of a stripped value."""
+    return _NONWORD.sub("", stripped(v))
+
+
 def osa(a: str, b: str, most: int) -> int:
     """Edit distance with swaps of neighbours, or most + 1 if it is larger than ``most``."""
     if abs(len(a) - len(b)) > most:
@@ -104,7 +116,8 @@ def _bag(key: str) -> np.ndarray:
 class Index:
     """The inverted n-gram index over all spellings of (term_id, term, term_ja, reading, romaji) rows."""
 
-    def __init__(self, terms: list[tuple]):
+    def __init__(self, terms: list[tuple], learnt: Learnt = Learnt(), fitted: bool = True):
+        self.learnt = learnt
         self.exact: dict[str, int] = {}
         by_form: dict[str, list[tuple]] = defaultdict(list)
         ends = _common_ends([t[1] for t in terms if t[1]])
@@ -116,28 +129,34 @@ class Index:
                 by_form[_ending(t[1], ends)].append(t)
         keys: dict[str, int] = {}
         tight: set[str] = set()
-        parts: dict[int, tuple] = {}
-        forms: dict[str, tuple] = {}
+        self.parts: dict[int, tuple] = {}
+        self.forms: dict[str, tuple] = {}
         for form, group in by_form.items():
             if not form or len(group) < 2:
                 continue
             tails = (form, *(_tail([t[k] for t in group]) for k in (2, 3, 4)))
-            forms[form] = tails
+            self.forms[form] = tails
             for t in group:
-                parts[t[0]] = tuple(s[: len(s) - len(e)].strip() for s, e in zip(t[1:], tails, strict=True))
+                self.parts[t[0]] = tuple(s[: len(s) - len(e)].strip() for s, e in zip(t[1:], tails, strict=True))
         for t in terms:
             for s in t[1:]:
                 if s:
-                    keys.setdefault(_NONWORD.sub("", stripped(s)), t[0])
-        listed = {(parts[t[0]][0], _ending(t[1], ends)) for t in terms if t[0] in parts}
-        mains = {p[0]: p for p in parts.values()}
+                    keys.setdefault(key_of(s), t[0])
+        self.listed = dict(keys)
+        self.mains = {key_of(p[0]) for p in self.parts.values()}
+        short: dict[str, list[str]] = defaultdict(list)
+        for w, f in learnt.short:
+            short[f].append(w)
+        listed = {(self.parts[t[0]][0], _ending(t[1], ends)) for t in terms if t[0] in self.parts}
+        mains = {p[0]: p for p in self.parts.values()}
         for t in terms:
-            if t[0] in parts:
-                self._spell(keys, tight, parts[t[0]], forms[_ending(t[1], ends)], t[0])
+            if t[0] in self.parts:
+                form = _ending(t[1], ends)
+                self._spell(keys, tight, self.parts[t[0]], self.forms[form], t[0], short[form])
         for b, p in mains.items():
-            for f, tails in forms.items():
+            for f, tails in self.forms.items():
                 if (b, f) not in listed:
-                    self._spell(keys, tight, p, tails, -1)
+                    self._spell(keys, tight, p, tails, -1, [])
         self.keys = list(keys)
         self.most = np.array([1 if k in tight else 9 for k in self.keys], np.int32)
         self.term = np.array([keys[k] for k in self.keys], np.int64)
@@ -154,21 +173,45 @@ class Index:
         self.length = np.array([len(k) for k in self.keys], np.int32)
         self.grams = np.array([len(_grams(k)) for k in self.keys], np.int32)
         self.bags = np.array([_bag(k) for k in self.keys], np.int16).reshape(-1, BUCKETS)
+        self.thresholds = self._fitted() if fitted else [1.0]
+
+    def _fitted(self) -> list[float]:
+        """For each length the cosine that all but MISSED of the allowed slips on spellings of that length keep."""
+        rng = random.Random(4)
+        by_size: dict[int, list[str]] = defaultdict(list)
+        for k in self.listed:
+            by_size[len(k)].append(k)
+        out, last = [0.0], 0.0
+        for size in range(1, max(by_size, default=0) + 1):
+            if by_size[size]:
+                cosines = []
+                for _ in range(SLIPS):
+                    k = rng.choice(by_size[size])
+                    x = _slipped(k, max(1, allowed(len(k), _has_kanji(k))), rng)
+                    mine, other = set(_grams(k)), set(_grams(x))
+                    size_x = sum(self.idf.get(g, self.rare) ** 2 for g in other) ** 0.5
+                    cosines.append(sum(self.idf[g] ** 2 for g in mine & other) / size_x / self.norm[self.at[k]])
+                last = float(np.quantile(cosines, MISSED))
+            out.append(last)
+        return out
+
+    def threshold(self, size: int) -> float:
+        """The least cosine of a key of so many characters."""
+        return self.thresholds[min(size, len(self.thresholds) - 1)]
 
     @staticmethod
-    def _spell(keys: dict[str, int], tight: set[str], p: tuple, f: tuple, term: int) -> None:
+    def _spell(keys: dict[str, int], tight: set[str], p: tuple, f: tuple, term: int, short: list[str]) -> None:
         forms = [p[0] + f[0], p[1] + f[1], p[2] + f[2], p[3] + f[3], p[1] + f[2], p[2] + f[1], p[1] + "の" + f[1], p[2] + "の" + f[1]]
-        if term >= 0:
-            # shortened forms leave little room for slips: they are noted in ``tight``
-            tight |= {_NONWORD.sub("", stripped(x)) for a in SHORT.get(f[0], ()) for x in (p[0] + a, a + p[0], a + "of" + p[0], a + "from" + p[0])}
-            forms += [x for a in SHORT.get(f[0], ()) for x in (p[0] + a, a + p[0], a + "of" + p[0], a + "from" + p[0])]
         forms += [f[0] + p[0], f[0] + "of" + p[0], f[0] + "from" + p[0], f[3] + p[3]]
-        for s in forms:
-            keys.setdefault(_NONWORD.sub("", stripped(s)), term)
+        # shortened forms leave little room for slips: they are noted in ``tight``
+        less = [x for a in short for x in (p[0] + a, a + p[0], a + "of" + p[0], a + "from" + p[0])]
+        tight |= {key_of(x) for x in less}
+        for s in forms + less:
+            keys.setdefault(key_of(s), term)
 
     def _possible(self, key: str, grams: int, posts: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
         """All spellings above the threshold, without those that can't be within their edit distance of a key."""
-        i = np.flatnonzero(score >= THRESHOLD)
+        i = np.flatnonzero(score >= self.threshold(len(key)))
         near = np.minimum(most, self.most[i])
         shared = np.bincount(posts, minlength=len(self.keys))[i]
         ok = (np.abs(self.length[i] - len(key)) <= near) & (np.maximum(self.grams[i], grams) - shared <= TOUCHED * near)
@@ -176,19 +219,31 @@ class Index:
         # a substitution changes two counts, a swap none
         return i[np.abs(self.bags[i] - _bag(key)).sum(1) <= 2 * near]
 
+    def _tries(self, key: str) -> list[str]:
+        """A key, and what is left of it without each remark it begins or ends with, with a slip in a long one."""
+        tries, fresh = {key: None}, [key]
+        while fresh:
+            x, found = fresh.pop(), []
+            for w in self.learnt.before:
+                slips = len(w) >= LONG
+                for n in (len(w) - 1, len(w), len(w) + 1) if slips else (len(w),):
+                    if n < len(x) and (x.startswith(w) if n == len(w) and not slips else x[0] == w[0] and osa(x[:n], w, 1) <= 1):
+                        found.append(x[n:])
+            found += [x[: -len(w)] for w in self.learnt.after if len(w) < len(x) and x.endswith(w)]
+            fresh += [y for y in found if y not in tries]
+            tries |= dict.fromkeys(found)
+        return list(tries)
+
     def find(self, value: str) -> tuple[int, float, int]:
         """(term or -1, cosine, edit distance) of one plain value."""
-        v = stripped(value)
-        key = _NONWORD.sub("", v)
+        key = key_of(value)
         if not key:
             return -1, 0.0, -1
-        tries = [key, key[:-1]] if v.isascii() and key[-1] == "s" else [key]
-        if key.startswith("n") and osa(key[:7], "natural", 1) <= 1:
-            tries += [key[6:], key[7:], key[8:]]
-        best: dict[int, tuple[int, float]] = {}
+        tries = self._tries(key)
         for k in tries:
             if (i := self.at.get(k)) is not None:
                 return int(self.term[i]), 1.0, 0
+        best: dict[int, tuple[float, int]] = {}
         for k in tries:
             grams = [g for g in _grams(k)]
             known = [g for g in grams if g in self.posts]
@@ -200,22 +255,34 @@ class Index:
             score = np.bincount(posts, np.repeat(w * w, size), len(self.keys))
             length = np.sqrt((w * w).sum() + (len(grams) - len(known)) * self.rare**2)
             score /= self.norm * length
-            most = allowed(len(k), not k.isascii() and any(c > "㐀" for c in k))
+            most = allowed(len(k), _has_kanji(k))
             for i in self._possible(k, len(grams), posts, score, most):
                 near = min(most, int(self.most[i]))
                 d = osa(k, self.keys[i], near)
                 if d <= near:
                     t = int(self.term[i])
-                    got = (d, -float(score[i]))
+                    got = (-float(score[i]), d)
                     if t not in best or got < best[t]:
                         best[t] = got
         if not best:
             return -1, 0.0, -1
         order = sorted(best.items(), key=lambda x: (x[1], x[0]))
-        t, (d, s) = order[0]
-        if len(order) > 1 and order[1][1][0] == d and order[1][1][1] - s < MARGIN:
+        t, (s, d) = order[0]
+        if len(order) > 1 and order[1][1][0] - s < MARGIN:
             return -1, -s, d
-        return (t, -s, d) if t >= 0 else (-1, -s, d)
+        return t, -s, d
+
+
+def _has_kanji(k: str) -> bool:
+    return not k.isascii() and any(c > "㐀" for c in k)
+
+
+def _slipped(k: str, n: int, rng: random.Random) -> str:
+    """A key with n slips: a character lost, doubled, swapped or mistaken."""
+    for _ in range(n):
+        i = rng.randrange(len(k))
+        k = rng.choice([k[:i] + k[i + 1 :], k[:i] + k[i] + k[i:], k[:i] + k[i : i + 2][::-1] + k[i + 2 :], k[:i] + rng.choice(k) + k[i + 1 :]]) or k
+    return k
 
 
 def _common_ends(names: list[str]) -> set[str]:
@@ -247,27 +314,82 @@ def _tail(names: list[str]) -> str:
     return out
 
 
+def _beside(index: Index, key: str) -> list[tuple[str, str, str]]:
+    """(kind, what, raw material) of what is left of a key beside a spelling of the list, or beside a raw material."""
+    out = []
+    if key in index.listed:
+        return out
+    for i in range(1, len(key)):
+        for kind, spelled, rest in (("before", key[i:], key[:i]), ("after", key[:i], key[i:])):
+            if len(spelled) > 2 and (t := index.listed.get(spelled)) is not None and t in index.parts:
+                out.append((kind, rest, index.parts[t][0]))
+        if key[:i] in index.mains:
+            out.append(("form", key[i:], key[:i]))
+    return out
+
+
+def shortened(word: str, forms: list[str]) -> str | None:
+    """The one form that a word shortens (letters left out, or vowels put otherwise) or misspells by a letter."""
+    begins = lambda f: f[:1] == word[:1]
+    for test in (lambda f: f.startswith(word), lambda f: osa(word, f, 1) <= 1, lambda f: begins(f) and _inside(word, f), lambda f: begins(f) and len(_bones(word)) > 1 and _inside(_bones(word), _bones(f))):
+        fits = [f for f in forms if test(f.replace(" ", ""))]
+        if fits:
+            return fits[0] if len(fits) == 1 else None
+    return None
+
+
+def _inside(a: str, b: str) -> bool:
+    rest = iter(b)
+    return all(c in rest for c in a)
+
+
+def _bones(w: str) -> str:
+    return "".join(c for c in w if c not in "aeiou")
+
+
+def learn(distinct: DataFrame, terms: list[tuple], column: str = "val") -> Learnt:
+    """Remarks and shortened forms that stand beside many raw materials, by counts over all distinct values."""
+    index = Index(terms, fitted=False)
+    mains = len({p[0] for p in index.parts.values()})
+    if not mains:
+        return Learnt()
+    shared = distinct.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            plain, _ = unify_column(batch.column(0))
+            found = sorted({x for v in plain.to_pylist() for x in _beside(shared.value, key_of(v))})
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in range(3)], names=["kind", "what", "main"])
+
+    counts = distinct.select(column).mapInArrow(run, "kind string, what string, main string").distinct().groupBy("kind", "what").agg(F.count("*").alias("mains"))
+    # as many as there are words that go with a twentieth of the list: few, and refused if not
+    rows = counts.filter(F.col("mains") >= max(BESIDE, SHARE * mains)).orderBy("kind", "what").limit(MAX_TERMS).collect()
+    if len(rows) == MAX_TERMS:
+        raise ValueError("too many remarks")
+    forms = sorted(index.forms)
+    known = {f.replace(" ", "") for f in forms}
+    short = {r.what: shortened(r.what, forms) for r in rows if r.kind == "form" and r.what not in known}
+    return Learnt(*(tuple(r.what for r in rows if r.kind == k) for k in ("before", "after")), tuple((w, f) for w, f in short.items() if f))
+
+
 def mapped_values(values: DataFrame, terms: DataFrame, column: str = "val") -> DataFrame:
     """(val, n, term_id, score, edits) of every distinct value; term_id is null for unmatched ones."""
     if terms.count() > MAX_TERMS:
         raise ValueError(f"the canonical list has more than {MAX_TERMS} terms")
     rows = [tuple(r) for r in terms.select("term_id", "term", "term_ja", "reading", "romaji").collect()]
-    shared = values.sparkSession.sparkContext.broadcast(rows)
-    distinct = values.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("val")).agg(F.count("*").alias("n"))
+    # one round-robin shuffle of the distinct values, so that matching uses all cores
+    distinct = checkpointed(spread_small(values.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("val")).agg(F.count("*").alias("n"))))
+    shared = values.sparkSession.sparkContext.broadcast(Index(rows, learn(distinct, rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = None
+        index = shared.value
         for batch in batches:
-            index = index or Index(shared.value)
             plain, _ = unify_column(batch.column(0))
             got = [(index.exact[r], 1.0, 0) if r in index.exact else index.find(p) for r, p in zip(batch.column(0).to_pylist(), plain.to_pylist(), strict=True)]
             term = pa.array([g[0] if g[0] >= 0 else None for g in got], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), term, pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.int32())], names=["val", "n", "term_id", "score", "edits"])
 
-    # one round-robin shuffle of the distinct values, so that matching uses all cores
-    spark = values.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return distinct.repartition(parts).mapInArrow(run, "val string, n bigint, term_id int, score double, edits int")
+    return distinct.mapInArrow(run, "val string, n bigint, term_id int, score double, edits int")
 
 
 def mapped_rows(values: DataFrame, terms: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ SPACES = [0x00A0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
 # Blocks whose compatibility forms look like the plain ones.
 COMPATIBLE = [(0x2E80, 0x2FDF), (0xF900, 0xFAFF), (0xFB00, 0xFB06), (0xFF01, 0xFFEE), (0x1D400, 0x1D7FF)]
 # Letters of other scripts and the Latin letters they look like.
-CYRILLIC = ("авеѕіјкмноԛрстԝухԁ" "АВЕЅІЈКМНОРСТУХ", "abesijkmhoqpctwyxd" "ABESIJKMHOPCTYX")
+CYRILLIC = ("авеѕіјкмһоԛрстԝухԁ" "АВЕЅІЈКМНОРСТУХ", "abesijkmhoqpctwyxd" "ABESIJKMHOPCTYX")
 GREEK = ("αικνορτυχ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aikvoptux" "ABEZHIKMNOPTYX")
 ARMENIAN = ("օոսհցզ" "ՕՍԼՏ", "onuhgq" "OULS")
 CHEROKEE = ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ")

@@ -43,6 +43,9 @@ TERMS = [
 ]
 
 
+LEARNT = rm.Learnt(("natural", "有機"), ("s",), (("strch", "starch"), ("pdr", "powder"), ("dietfib", "dietary fiber")))
+
+
 @pytest.mark.parametrize(
     ("value", "want"),
     [
@@ -54,11 +57,11 @@ def test_mapped(value, want):
     from kelpline.llm.unify import unify_column
     import pyarrow as pa
 
-    assert rm.Index(TERMS).find(unify_column(pa.array([value]))[0][0].as_py())[0] == want
+    assert rm.Index(TERMS, LEARNT).find(unify_column(pa.array([value]))[0][0].as_py())[0] == want
 
 
 def test_unlisted_combination_means_no_term():
-    index = rm.Index([t for t in TERMS if t[1] != "crab starch"])
+    index = rm.Index([t for t in TERMS if t[1] != "crab starch"], LEARNT)
     assert index.find("crab starch")[0] == -1 and index.find("crabb starch")[0] == -1
 
 
@@ -188,7 +191,7 @@ def test_index_recall_against_brute_force():
             continue
         i = rng.randrange(1, len(s) - 1)
         s = rng.choice([s[:i] + s[i + 1 :], s[:i] + s[i] + s[i:], s[:i] + s[i + 1] + s[i] + s[i + 2 :]])
-        key = rm._NONWORD.sub("", rm.stripped(s))
+        key = rm.key_of(s)
         dist = sorted((rm.osa(key, k, 2), int(index.term[j])) for j, k in enumerate(index.keys))
         near = {x for d, x in dist if d == dist[0][0]}
         if near == {t} and dist[0][0] <= rm.allowed(len(key), any(c > "㐀" for c in key)):
@@ -211,11 +214,11 @@ def test_every_spelling_above_the_threshold_is_checked(data):
             near = min(rm.allowed(len(key), False), int(index.most[j]))
             cosine = sum(index.idf[g] ** 2 for g in grams[j] & {*mine}) / size / index.norm[j]
             d = rm.osa(key, k, near)
-            if cosine >= rm.THRESHOLD and d <= near:
+            if cosine >= index.threshold(len(key)) and d <= near:
                 t = int(index.term[j])
-                want[t] = min(want.get(t, (9, 0)), (d, -cosine))
+                want[t] = min(want.get(t, 0), -cosine)
         order = sorted(want.items(), key=lambda x: (x[1], x[0]))
-        tie = len(order) > 1 and order[1][1][0] == order[0][1][0] and order[1][1][1] - order[0][1][1] < rm.MARGIN
+        tie = len(order) > 1 and order[1][1] - order[0][1] < rm.MARGIN
         assert index.find(key)[0] == (-1 if tie or not order else order[0][0])
 
 
@@ -229,3 +232,14 @@ def test_a_long_sentence_is_a_sentence():
 
 def test_a_keyword_run_with_a_stop_is_no_sentence():
     assert sp.measure("buy the kelp oil cheap, kelp oil sale, kelp oil bulk, kelp oil order, kelp oil stock, kelp oil best, kelp oil offer.")[0] == 0.0
+
+
+def test_remarks_and_short_forms_are_learnt(spark):
+    terms = [(i * 2 + j, f"{b} {f}", bj + fj, br + fr, f"{bo} {fo}") for i, (b, bj, br, bo) in enumerate([("carrot", "人参", "にんじん", "ninjin"), ("onion", "玉葱", "たまねぎ", "tamanegi"), ("crab", "蟹", "かに", "kani"), ("squid", "烏賊", "いか", "ika")]) for j, (f, fj, fr, fo) in enumerate([("powder", "粉末", "ふんまつ", "funmatsu"), ("concentrate", "濃縮物", "のうしゅくぶつ", "noushukubutsu")])]
+    values = [f"{r} {t[1]}" for t in terms for r in ("raw", "certified")] + [f"{t[1]} blend" for t in terms] + [f"{t[1].split()[0]} {w}" for t in terms for w in ("pwdr", "conc", "cake")] + ["sweet carrot powder", "carrot powder"]
+    got = rm.learn(spark.createDataFrame([(v,) for v in values], "val string"), terms)
+    assert got == rm.Learnt(("certified", "raw"), ("blend",), (("conc", "concentrate"), ("pwdr", "powder")))
+    index = rm.Index(terms, got)
+    for value, want in (("certified squid conc", 7), ("raw raw onion powder", 2), ("certifid crab powder blend", 4), ("sweet carrot powder", -1), ("squid cake", -1), ("onion pwdr", 2)):
+        assert index.find(value)[0] == want, value
+    assert rm.learn(spark.createDataFrame([], "val string"), terms) == rm.Learnt() == rm.learn(spark.createDataFrame([("x",)], "val string"), [])
