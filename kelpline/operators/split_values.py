@@ -11,7 +11,8 @@ Defined results
 * an enclosing pair of quotes is removed, a doubled ``""`` inside it becomes one; a row whose quote
   marks or brackets don't pair is read as if those marks were ordinary characters;
 * what stands in quotes or brackets or between two digits is never split;
-* ``1.``, ``1)`` numbering (only where the string starts with number 1) and circled numbers separate;
+* ``1.``, ``1)`` numbering (only where the string starts with number 1 and counts up) and circled numbers separate; the
+  bracket of such a number is none;
 * one closing full stop of the whole string belongs to no value;
 * repeated strings each give their own rows; other columns of the input are dropped, so that names
   that clash with the result's can't.
@@ -70,36 +71,46 @@ def split_block(col: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     quote &= ~odd[rows]
     inquote = (np.where(odd[rows], 0, parity) % 2 == 1) | quote
 
-    opens, closes = _among(cp, OPEN) & ~inquote, _among(cp, CLOSE) & ~inquote
-    depth = _running(opens.astype(np.int64) - closes, start)
-    bad = np.zeros(nrow, bool)
-    bad[ends] = depth[start[1:][ends] - 1] != 0
-    np.logical_or.at(bad, rows[depth < 0], True)
-    inside = inquote | (((depth > 0) | closes) & ~bad[rows])
-
     first, last = np.zeros(n, bool), np.zeros(n, bool)
     first[start[:-1][ends]] = True
     last[start[1:][ends] - 1] = True
     prev_digit = np.concatenate([[False], digit[:-1]]) & ~first
     next_digit = np.concatenate([digit[1:], [False]]) & ~last
-    delim = _among(cp, DELIMITERS) & ~inside & ~(prev_digit & next_digit)
-    delim |= (cp >= 0x2460) & (cp <= 0x2473) & ~inside
-
-    # numbering: a run of digits after a space or the start, then . or ), then a space
+    # numbering: a run of digits after a space or the start, then . or ), then a space; it counts up from 1
+    opens, closes = _among(cp, OPEN) & ~inquote, _among(cp, CLOSE) & ~inquote
     mark = ((cp == 46) | (cp == 41) | (cp == 0xFF0E) | (cp == 0xFF09)) & prev_digit & np.concatenate([space[1:], [False]]) & ~last & ~inquote
-    mark &= (depth <= 0) | bad[rows]
     at = np.flatnonzero(mark)
+    numbers: list[tuple[int, int]] = []
     if len(at):
         nondigit = np.where(digit, -1, np.arange(n))
         before = np.maximum.accumulate(np.where(first & digit, np.arange(n) - 1, nondigit))[at - 1]
         free = (before < start[rows[at]]) | space[np.maximum(before, 0)]
-        lead = np.minimum.reduceat(np.append(np.where(space, n, np.arange(n)), n), np.minimum(start[:-1], n))
-        numbered = np.zeros(nrow, bool)
         at, before = at[free], before[free]
-        starts = (before + 1 == lead[rows[at]]) & (at - before == 2) & (cp[np.maximum(at - 1, 0)] == 49)
-        numbered[rows[at[starts]]] = True
-        for i, j in zip(before[numbered[rows[at]]], at[numbered[rows[at]]], strict=True):
-            delim[i + 1 : j + 1] = True
+        lead = np.minimum.reduceat(np.append(np.where(space, n, np.arange(n)), n), np.minimum(start[:-1], n))
+        open_ = _running(opens.astype(np.int64) - closes, start)
+        row, due, taken = -1, 0, 0
+        for i, j, r, level in zip(before.tolist(), at.tolist(), rows[at].tolist(), open_[at - 1].tolist(), strict=True):
+            if r != row:
+                row, due, taken = r, 1 if i + 1 == lead[r] else 0, 0
+            # a bracket that is open here is closed by the mark; marks of numbers before count as closed ones
+            value = 0
+            for c in cp[i + 1 : j].tolist() if j - i < 12 else ():
+                value = value * 10 + c - 48
+            if due and value == due and level + taken <= 0:
+                numbers.append((i + 1, j + 1))
+                due += 1
+                taken += int(closes[j])
+    for i, j in numbers:
+        closes[j - 1] = False
+    depth = _running(opens.astype(np.int64) - closes, start)
+    bad = np.zeros(nrow, bool)
+    bad[ends] = depth[start[1:][ends] - 1] != 0
+    np.logical_or.at(bad, rows[depth < 0], True)
+    inside = inquote | (((depth > 0) | closes) & ~bad[rows])
+    delim = _among(cp, DELIMITERS) & ~inside & ~(prev_digit & next_digit)
+    delim |= (cp >= 0x2460) & (cp <= 0x2473) & ~inside
+    for i, j in numbers:
+        delim[i:j] = True
 
     # one closing full stop of the whole string
     solid = ~space & ~delim

@@ -22,6 +22,9 @@ def values(s):
         ("「扁豆薄片／上」;\"檸檬調味料 35%\";大豆（大豆、小麦を含む）。", ["扁豆薄片／上", "檸檬調味料 35%", "大豆（大豆、小麦を含む）"]),
         ("1. carrot paste 2. zed 4,874mg 3. sweet 59%", ["carrot paste", "zed 4,874mg", "sweet 59%"]),
         ("1) a 2) b", ["a", "b"]),
+        ("1) a (soy, wheat) 2) b [x; y] 3) c", ["a (soy, wheat)", "b [x; y]", "c"]),
+        ("1) a (type 2) 2) b", ["a (type 2)", "b"]),
+        ("1. a 3. b, c", ["a 3. b", "c"]),
         ("①栗②芥子③x。", ["栗", "芥子", "x"]),
         ("a [batch A; batch B], b", ["a [batch A; batch B]", "b"]),
         ("squid oil 8,345mg", ["squid oil 8,345mg"]),
