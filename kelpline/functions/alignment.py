@@ -10,7 +10,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType
 
 from .distance import weighted_distance
 from .text import LOOKALIKE, VARIANTS
@@ -82,3 +82,38 @@ def alignment_score(item: Column, *found: Column) -> Column:
         return pd.Series([max((pair_score(x, y) for y in ys if x and y), default=0.0) for x, *ys in zip(a, *b, strict=True)], dtype="float64")
 
     return f(item, *found)
+
+
+def _within(text: str, part: str) -> bool:
+    """Whether a text holds a part of two characters or more, one of four or more with one edit."""
+    if len(part) < 2 or not text:
+        return False
+    if part in text or len(part) < 4:
+        return part in text
+    # the least distance of the part to any stretch of the text that ends at each place
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(part, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(text, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        if min(row) > 1:
+            return False
+    return True
+
+
+def is_part(item: str, found: str) -> bool:
+    """Whether a finding is part of an item, or the item of it, in any of their forms."""
+    gn, gc, gl, gf, _ = _forms(item)
+    fn, _, fl, ff, _ = _forms(found)
+    del gn
+    return any(_within(a, b) or _within(b, a) for a in (gc, gf, gl) for b in (ff, fl, fn))
+
+
+def part_of(item: Column, *found: Column) -> Column:
+    """Whether any text of a finding is part of the item; nulls and empty texts are none."""
+
+    @F.pandas_udf(BooleanType())
+    def f(a: pd.Series, *b: pd.Series) -> pd.Series:
+        return pd.Series([any(is_part(x, y) for y in ys if x and y) for x, *ys in zip(a, *b, strict=True)], dtype="bool")
+
+    return f(item, *found)

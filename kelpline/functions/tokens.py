@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .noise import is_noise
 from .text import WS, computed_once, normalized
 
 BORDERS = r"[│┃|｜┌┐└┘├┤┬┴┼─━═║]"
@@ -13,7 +14,8 @@ CONJUNCTIONS = r"(および|又は|または|ならびに|もしくは)"
 DELIMITERS = r"[、。，．,;；:：・･､｡/／\n\t+＋()（）\[\]［］【】「」『』{}｛｝<>＜＞]"
 #: One-character terms that count.
 SINGLES = ("卵", "乳", "塩", "酢", "麦", "米", "糖")
-PACKAGING = r"^(内袋|外袋|個装|枠外|上部|前面)"
+# Words for what is packed beside the food, at the beginning of a candidate.
+PACKAGING = r"^(添付|別添|付属|添付調味)"
 #: A head with a named part in brackets, such as colourings.
 NAMED = r"([^、，,・/／()（）\s]*(?:色素|香料))[(（]([^()（）]+)[)）]"
 
@@ -34,8 +36,9 @@ def candidates(text: Column) -> Column:
 
 
 def candidate_rows(df: DataFrame, key: str, text: str, compat: bool = True) -> DataFrame:
-    """(key, ord, raw, term): the candidates of each text, the first of each normal form."""
-    rows = computed_once(df.select(key, F.posexplode(candidates(F.col(text))).alias("ord", "raw")), "term", normalized(F.col("raw"), compat=compat)).filter("term <> ''")
+    """(key, ord, raw, term): the candidates of each text, the first of each normal form, without boilerplate."""
+    rows = computed_once(df.select(key, F.posexplode(candidates(F.col(text))).alias("ord", "raw")), "term", normalized(F.col("raw"), compat=compat))
+    rows = rows.filter((F.col("term") != "") & ~is_noise(F.col("term")))
     w = Window.partitionBy(key, "term").orderBy("ord")
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 

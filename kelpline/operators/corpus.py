@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def token_frequency(tokens: DataFrame, term: str, order: str) -> DataFrame:
@@ -54,10 +56,11 @@ def weighted_sample(df: DataFrame, weight: str, n: int, seed: int, *keys: str) -
 
 
 def corrupted(text: Column, rate: Column, seed: Column, swaps: list[tuple[str, str]]) -> Column:
-    """A text with one or two reading errors, with chance ``rate``, repeatable by seed."""
+    """A text with one or two reading errors (a character swapped, lost or put in), with chance ``rate``, repeatable by seed."""
     table: dict[str, list[str]] = {}
     for a, b in swaps:
         table.setdefault(a, []).append(b)
+    signs = sorted(table)
 
     @F.pandas_udf(StringType())
     def f(t: pd.Series, r: pd.Series, s: pd.Series) -> pd.Series:
@@ -69,12 +72,15 @@ def corrupted(text: Column, rate: Column, seed: Column, swaps: list[tuple[str, s
                 return x
             for _ in range(rng.randint(1, 2)):
                 at = [i for i, c in enumerate(x) if c in table]
-                if at and rng.random() < 0.7:
+                kind = rng.random()
+                i = rng.randrange(len(x))
+                if at and kind < 0.6:
                     i = rng.choice(at)
                     x = x[:i] + rng.choice(table[x[i]]) + x[i + 1 :]
-                elif len(x) > 1:
-                    i = rng.randrange(len(x))
+                elif kind < 0.8 and len(x) > 1:
                     x = x[:i] + x[i + 1 :]
+                else:
+                    x = x[:i] + rng.choice(signs or list(x)) + x[i:]
             return x
 
         return pd.Series([one(x, p, k) for x, p, k in zip(t, r, s, strict=True)], dtype="object")
@@ -82,14 +88,50 @@ def corrupted(text: Column, rate: Column, seed: Column, swaps: list[tuple[str, s
     return f(text, rate, seed)
 
 
-def synthetic_labels(terms: DataFrame, term: str, weight: str, labels: DataFrame, label: str, least: int = 12, most: int = 25, seed: int = 1, draws: int = 4096) -> DataFrame:
-    """(label, text): labels of 12 to 25 terms drawn by weight.
+#: Parts into which the running sum of weights is cut.
+CUTS = 1024
 
-    A table of ``draws`` slots is filled with terms in proportion to weight, and each label picks slots by hash:
-    the slot table has a fixed size and is broadcast, however many labels and terms there are.
+
+def drawn(terms: DataFrame, term: str, weight: str, draws: DataFrame, u: str) -> DataFrame:
+    """``draws`` with the term whose stretch of the running sum of weights holds the place ``u``, a number in [0, 1).
+
+    Terms fall into hash groups; the sums of these (CUTS of them) give the offset of each, so no task sums all weights. Stretches and
+    draws meet in CUTS equal parts of the sum, where places are looked up by binary search; a heavy term stands in
+    several parts, and all terms can be drawn, however many there are.
     """
-    slots = weighted_sample(terms, weight, draws, seed, term).select(term)
-    table = slots.agg(F.array_sort(F.collect_list(term)).alias("_t"))  # at most ``draws`` strings
+    t = terms.filter(F.col(weight) > 0).select(term, F.col(weight).cast("double").alias("_w"), F.pmod(F.xxhash64(term), F.lit(CUTS)).cast("int").alias("_g"))
+    sums = sorted(t.groupBy("_g").agg(F.sum("_w").alias("s")).collect())
+    total = sum(r.s for r in sums)
+    if not total:
+        return draws.withColumn(term, F.lit(None).cast("string")).limit(0)
+    start, offsets = 0.0, []
+    for r in sums:
+        offsets.append((r._g, start))
+        start += r.s
+    spark = terms.sparkSession
+    placed = t.join(F.broadcast(spark.createDataFrame(offsets, "_g int, _o double")), "_g")
+    upto = placed.withColumn("_z", (F.col("_o") + F.sum("_w").over(Window.partitionBy("_g").orderBy(term).rowsBetween(Window.unboundedPreceding, 0))) / total)
+    a, z = F.col("_z") - F.col("_w") / total, F.col("_z")
+    cut = F.sequence(F.greatest(F.floor(a * CUTS), F.lit(0)), F.least(F.floor(z * CUTS), F.lit(CUTS - 1)))
+    stretches = upto.select(term, z.alias("_z"), F.explode(cut).alias("_cut"))
+    asked = draws.withColumn("_cut", F.floor(F.col(u) * CUTS))
+    names, schema = draws.columns, StructType([*draws.schema.fields, StructField(term, StringType())])
+
+    def look(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        z = np.asarray(right.column("_z"))
+        order = np.argsort(z, kind="stable")
+        out = left.select(names)
+        if not len(z):
+            return out.slice(0, 0).append_column(term, pa.array([], pa.string()))
+        at = order[np.minimum(np.searchsorted(z[order], np.asarray(left.column(u)), side="right"), len(z) - 1)]
+        return out.append_column(term, right.column(term).combine_chunks().take(pa.array(at)))
+
+    return asked.groupBy("_cut").cogroup(stretches.groupBy("_cut")).applyInArrow(look, schema)
+
+
+def synthetic_labels(terms: DataFrame, term: str, weight: str, labels: DataFrame, label: str, least: int = 12, most: int = 25, seed: int = 1) -> DataFrame:
+    """(label, text): labels of 12 to 25 terms drawn by weight, repeats within a label left out."""
     n = (F.pmod(F.xxhash64(label, F.lit(seed)), F.lit(most - least + 1)) + least).cast("int")
-    picked = F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at("_t", (F.pmod(F.xxhash64(F.col(label), i, F.lit(seed)), F.size("_t")) + 1).cast("int")))
-    return labels.select(label).join(F.broadcast(table)).select(label, F.array_join(F.array_distinct(picked), "、").alias("text"))
+    draws = labels.select(label, F.explode(F.sequence(F.lit(1), n)).alias("_i")).withColumn("_u", uniform(seed, label, "_i"))
+    got = drawn(terms, term, weight, draws, "_u").groupBy(label, term).agg(F.min("_i").alias("_i"))
+    return got.groupBy(label).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", term))), lambda x: x[term]), "、").alias("text"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.alignment import alignment_score
+from ..functions.alignment import alignment_score, part_of
 from ..session import checkpointed, spread_small
 
 
@@ -84,16 +84,21 @@ def scored_pairs(items: DataFrame, findings: DataFrame, least: float = 0.6) -> D
     return _scored(items, first, least).select("file_name", "gt_no", "finding_no", "expected", "status", "score")
 
 
-def preferred(items: DataFrame, findings: DataFrame, alignment: DataFrame, least: float = 0.6) -> DataFrame:
-    """The alignment after the repair pass: an item whose finding has another status than expected takes the best near finding of
-    the expected one, which several items may share; unaligned items take one as well.
+def preferred(items: DataFrame, findings: DataFrame, alignment: DataFrame, least: float = 0.6, risky: tuple[str, ...] = ("syubhat", "haram")) -> DataFrame:
+    """The alignment after the repair pass: a risky item whose finding has another status than expected, or that has none, takes the
+    best finding of the expected status that is a part of the item's text; several items may share it.
     """
     status = findings.select("finding_no", "status")
     now = items.join(alignment.select("gt_no", "finding_no", "score"), "gt_no", "left").join(status, "finding_no", "left")
-    fits = scored_pairs(items, findings, least).filter("status = expected")
+    open_ = now.filter(F.col("expected").isin(*risky) & ~F.coalesce(F.col("status") == F.col("expected"), F.lit(False))).select("file_name", "gt_no", "term", "expected")
+    texts = [c for c in ("term", "matched_term") if c in findings.columns]
+    found = findings.groupBy("file_name", *texts, "status").agg(F.min("finding_no").alias("finding_no")).filter(F.col("status").isin(*risky)).withColumnRenamed("term", "_near")
+    near = [F.col("_near" if c == "term" else c) for c in texts]
+    pairs = spread_small(open_.join(found, (open_["file_name"] == found["file_name"]) & (open_["expected"] == found["status"])).drop(found["file_name"], found["status"]))
+    fits = pairs.filter(part_of(F.col("term"), *near)).withColumn("score", alignment_score(F.col("term"), *near))
     best = fits.groupBy("gt_no").agg(F.min_by(F.struct("finding_no", "score"), F.struct(-F.col("score"), F.col("finding_no"))).alias("b"))
     j = now.join(best, "gt_no", "left")
-    swap = F.col("b").isNotNull() & ~F.coalesce(F.col("status") == F.col("expected"), F.lit(False))
+    swap = F.col("b").isNotNull()
     out = j.select("file_name", "gt_no", F.when(swap, F.col("b.finding_no")).otherwise(F.col("finding_no")).alias("finding_no"), F.when(swap, F.col("b.score")).otherwise(F.col("score")).alias("score"), swap.alias("repaired"))
     return out.filter("finding_no is not null")
 
@@ -114,6 +119,25 @@ def zipped(a: DataFrame, b: DataFrame, by: str, left: str, right: str, order_lef
     return placed(a, left, order_left).join(placed(b, right, order_right), [by, "_k", "_n"]).select(by, left, right)
 
 
+def correlated(a: DataFrame, b: DataFrame, by: str, left: str, right: str, order_left: str, order_right: str, score: Column, least: float = 0.25) -> DataFrame:
+    """(left, right, score): rows of two tables of one ``by``, by position where there are equally many, else greedily by ``score``."""
+    even = zipped(a, b, by, left, right, order_left, order_right)
+    odd = [t.join(even.select(by).distinct(), by, "left_anti") for t in (a, b)]
+    pairs = odd[0].join(odd[1], by).withColumn("_s", score).filter(F.col("_s") >= least).select(left, right, "_s")
+    return even.select(left, right, F.lit(None).cast("double").alias("score")).unionByName(greedy_alignment(pairs, left, right, "_s").withColumnRenamed("_s", "score"))
+
+
+def effective_status(status: Column, reviewed: Column, allowed: str = "halal", unknown: str = "unknown") -> Column:
+    """What may be shown: an unreviewed entry never counts as allowed."""
+    return F.when((status == allowed) & (reviewed == F.lit(False)), unknown).otherwise(status)
+
+
+def image_rollup(rows: DataFrame) -> DataFrame:
+    """(file_name, n, judged, unknown, unmatched, correct) of the items of each image."""
+    counts = {"judged": F.col("outcome").isin("correct", "wrong"), **{k: F.col("outcome") == k for k in ("unknown", "unmatched", "correct")}}
+    return rows.groupBy("file_name").agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in counts.items()])
+
+
 def outcome(expected: Column, status: Column, matched: Column) -> Column:
     """What became of an item: correct, wrong, unknown, unmatched, unexpected or unjudged."""
     return (

@@ -10,6 +10,7 @@ from ..functions.noise import is_short_ascii
 from ..functions.text import computed_once
 from ..functions.tokens import SINGLES
 from ..session import checkpointed, spread_by
+from .hot_join import hot_join
 from .pass_join import near_pairs
 
 #: Statuses from the strictest on. A duplicate term keeps the strictest one.
@@ -42,7 +43,9 @@ def exact_match(tokens: DataFrame, index: DataFrame) -> DataFrame:
     A one-character term counts only if it is one of the known single ones and its entry is reviewed.
     """
     e = index.select("term", F.struct("id", "status", "ord", *[c for c in ("reviewed",) if c in index.columns]).alias("entry"))
-    hit = tokens.join(e, "term", "left")
+    # entries are found once a term, and the tokens of hot terms take them from a broadcast
+    terms = tokens.filter("term is not null").groupBy("term").agg(F.count("*").alias("_tokens")).join(e, "term", "left")
+    hit = hot_join(tokens, terms, "term", "_tokens", tokens.count()).drop("_tokens")
     single = F.length("term") == 1
     ok = ~single | (F.col("term").isin(*SINGLES) & (F.coalesce(F.col("entry.reviewed"), F.lit(False)) if "reviewed" in index.columns else F.lit(True)))
     return hit.withColumn("entry", F.when(ok, F.col("entry")))
@@ -51,21 +54,22 @@ def exact_match(tokens: DataFrame, index: DataFrame) -> DataFrame:
 def fuzzy_match(tokens: DataFrame, terms: DataFrame, least: float = FUZZY, weighted: bool = True, denied: str = STRICTNESS[0]) -> DataFrame:
     """(term, id, status, matched_term, score) of the best near term of each distinct token.
 
-    Excluded are tokens of one to five ASCII characters and tokens within the allowance of a ``denied`` term (the guard
-    runs on the same candidates, so it is never approximate); denied entries and additive codes can't be
-    reached. Up to three characters the score must be high unless letters were only added or lost. The
+    Excluded are tokens of one or two characters, of one to five ASCII ones, and tokens within the allowance of a ``denied``
+    term, a code included (the guard runs on the same candidates, so it is never approximate); denied entries and
+    additive codes can't be reached. Up to three characters the score must be high unless letters were only added or lost. The
     highest score wins, then the first entry.
     """
     refused = F.coalesce(F.col("status"), F.lit("")) == denied
     entry = F.struct("id", "status", "ord", "alias_no")
-    pool = terms.filter(~F.col("term").rlike(r"^[Ee]\d{3,4}[a-z]*\z")).groupBy(F.col("term").alias("near")).agg(F.bool_or(refused).alias("refused"), F.min_by(F.when(~refused, entry), F.when(~refused, F.struct("ord", "alias_no"))).alias("e"))
-    asked = tokens.select("term").distinct().filter(~is_short_ascii(F.col("term")))
+    free = ~refused & ~F.col("term").rlike(r"^[Ee]\d{3,4}[a-z]*\z")
+    pool = terms.groupBy(F.col("term").alias("near")).agg(F.bool_or(refused).alias("refused"), F.min_by(F.when(free, entry), F.when(free, F.struct("ord", "alias_no"))).alias("e"))
+    asked = tokens.select("term").distinct().filter((F.length("term") >= 3) & ~is_short_ascii(F.col("term")))
     pairs = near_pairs(asked, pool, "term", "near").join(pool, "near")
     # the near terms of one token are few; its refused ones shadow all others
-    free = pairs.withColumn("_shadow", F.max("refused").over(Window.partitionBy("term"))).filter("not _shadow")
+    unshadowed = pairs.withColumn("_shadow", F.max("refused").over(Window.partitionBy("term"))).filter("not _shadow and e is not null")
     n = F.greatest(F.length("term"), F.length("near"))
     score = weighted_similarity(F.col("term"), F.col("near")) if weighted else 1 - F.col("edits") / n
-    scored = free.withColumn("score", score)
+    scored = unshadowed.withColumn("score", score)
     short = F.least(F.length("term"), F.length("near")) <= 3
     indel = (F.col("edits") == F.abs(F.length("term") - F.length("near"))) & (n >= 4)
     scored = scored.filter((F.col("score") >= least) & (~short | (F.col("score") >= FUZZY_SHORT) | indel))

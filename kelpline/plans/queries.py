@@ -227,12 +227,6 @@ def candidate_tokens(spark: SparkSession, d: str) -> DataFrame:
     return _wide(spark, d, "last_scans").select("row_id", F.posexplode(tokens.candidates(F.col("section"))).alias("ord", "raw")).withColumn("ord", F.col("ord").cast("bigint"))
 
 
-@query(f"WITH c AS ({_CAND}), n AS (SELECT *, {sql.normalized('raw')} AS term FROM c) SELECT row_id, term, arg_min(raw, ord) AS raw, min(ord) AS ord FROM n WHERE term <> '' GROUP BY row_id, term")
-def candidate_first_seen(spark: SparkSession, d: str) -> DataFrame:
-    """The first candidate of each normal form."""
-    return tokens.candidate_rows(table(spark, d, "last_scans"), "row_id", "section", compat=False).withColumn("ord", F.col("ord").cast("bigint"))
-
-
 _TOK = f"SELECT doc_id, unnest(t) AS raw, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, {sql.corpus_tokens('text')} AS t FROM documents WHERE text IS NOT NULL)"
 
 
@@ -319,6 +313,12 @@ WHEN {_WORDS} THEN true WHEN {_m('t', _R.parts)} OR {_m('t', _R.address)} THEN t
 _TERMS = f"(SELECT DISTINCT {sql.normalized('raw')} AS t FROM findings WHERE raw IS NOT NULL)"
 
 
+@query(f"WITH c AS ({_CAND}), n AS (SELECT *, {sql.normalized('raw')} AS t FROM c) SELECT row_id, t AS term, arg_min(raw, ord) AS raw, min(ord) AS ord FROM n WHERE t <> '' AND NOT ({_NOISE}) GROUP BY row_id, t")
+def candidate_first_seen(spark: SparkSession, d: str) -> DataFrame:
+    """The first candidate of each normal form that is no boilerplate."""
+    return tokens.candidate_rows(table(spark, d, "last_scans"), "row_id", "section", compat=False).withColumn("ord", F.col("ord").cast("bigint"))
+
+
 def _finding_terms(spark: SparkSession, d: str) -> DataFrame:
     return _wide(spark, d, "findings").filter("raw is not null").select(text.normalized(F.col("raw"), compat=False).alias("term"))
 
@@ -943,11 +943,59 @@ def robustness_curve(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def device_correlation(spark: SparkSession, d: str) -> DataFrame:
-    """Saved scans and log records of one sid paired by the likeness of their sections, one to one."""
-    a = table(spark, d, "last_scans").filter("sid is not null and section is not null").select("sid", "row_id", tokens.chunk_bigrams(F.col("section")).alias("a"))
-    b = table(spark, d, "scan_log").filter("sid is not null and section is not null").select("sid", "rec_id", tokens.chunk_bigrams(F.col("section")).alias("b"))
-    p = a.join(b, "sid").select("row_id", "rec_id", tokens.jaccard(F.col("a"), F.col("b")).alias("score")).filter("score >= 0.25")
-    return evaluate.greedy_alignment(p, "row_id", "rec_id", "score").withColumn("score", F.round("score", 6))
+    """Saved scans and log records of one sid: by position where there are equally many, else by the likeness of their sections."""
+    a = table(spark, d, "last_scans").filter("sid is not null").select("sid", "row_id", "created_at", tokens.chunk_bigrams(F.col("section")).alias("a"))
+    b = table(spark, d, "scan_log").filter("sid is not null").select("sid", "rec_id", "scanned_at", tokens.chunk_bigrams(F.col("section")).alias("b"))
+    whole = lambda c: F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.length(x) == 2)
+    return evaluate.correlated(a, b, "sid", "row_id", "rec_id", "created_at", "scanned_at", tokens.jaccard(whole("a"), whole("b"))).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT kind_of_image, CASE WHEN reviewed = false AND status = 'halal' THEN 'unknown' ELSE status END AS shown, count(*) AS n FROM findings GROUP BY 1, 2")
+def shown_tally(spark: SparkSession, d: str) -> DataFrame:
+    """Findings by kind of image and by the status that may be shown."""
+    shown = evaluate.effective_status(F.col("status"), F.col("reviewed"))
+    return evaluate.histogram(table(spark, d, "findings").withColumn("shown", shown), "shown", ("kind_of_image",))
+
+
+@query(f"WITH {_ITEMS} SELECT file_name, count(*) AS n, count_if(outcome IN ('correct', 'wrong')) AS judged, count_if(outcome = 'unknown') AS unknown, count_if(outcome = 'unmatched') AS unmatched, count_if(outcome = 'correct') AS correct FROM r GROUP BY file_name")
+def image_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """What became of the items of each image."""
+    return evaluate.image_rollup(_scored(spark, d))
+
+
+@query("WITH c AS (SELECT DISTINCT unnest(names) AS name, sources FROM ingredient_entries), o AS (SELECT DISTINCT name, unnest(sources) AS org FROM c) SELECT org, count(*) AS n FROM o WHERE org IS NOT NULL AND name IS NOT NULL GROUP BY org ORDER BY n DESC, org LIMIT 10")
+def issuer_tally(spark: SparkSession, d: str) -> DataFrame:
+    """The ten sources that cite most names (a top-k report)."""
+    cited = table(spark, d, "ingredient_entries").select(F.explode("names").alias("name"), "sources").select("name", F.explode("sources").alias("org")).filter("name is not null and org is not null").distinct()
+    return cited.groupBy("org").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "org").limit(10)
+
+
+def _aligned_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Items with the finding they are aligned with, judged by the status that may be shown; and the judged findings of these images."""
+    gt = table(spark, d, "gt_records")
+    items = evaluate.facts(gt, "gt_id", "file_name", "ingredients").join(gt.select("gt_id", "category"), "gt_id").withColumn("gt_no", F.col("gt_id") * 1000 + F.col("gi"))
+    named = items.select("file_name", "gt_no", F.col("raw").alias("term"), "expected").filter("trim(term) <> '' and file_name is not null")
+    every = table(spark, d, "findings").select("file_name", F.col("finding_id").alias("finding_no"), F.col("raw").alias("term"), "matched_term", "status", "reviewed")
+    f = every.filter("trim(term) <> ''").drop("reviewed")
+    pairs = evaluate.preferred(named, f, evaluate.aligned(named.drop("expected"), f.drop("status"))).select("gt_no", "finding_no")
+    shown = every.select("finding_no", evaluate.effective_status(F.col("status"), F.col("reviewed")).alias("status"))
+    rows = items.join(pairs.join(shown, "finding_no"), "gt_no", "left")
+    matched = F.col("status").isNotNull() & (F.col("status") != "unmatched")
+    rows = rows.withColumn("outcome", evaluate.outcome(F.col("expected"), F.col("status"), matched))
+    judged = every.filter("status in ('halal', 'haram', 'syubhat')").join(gt.select("file_name").distinct(), "file_name", "left_semi")
+    return rows, judged.select("file_name", "finding_no").join(pairs.select("finding_no", F.lit(True).alias("hit")).distinct(), "finding_no", "left")
+
+
+@query()
+def aligned_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The metric suite over the aligned items, by category."""
+    return evaluate.metrics(_aligned_rows(spark, d)[0], ("category",))
+
+
+@query()
+def aligned_leakage(spark: SparkSession, d: str) -> DataFrame:
+    """Judged findings of each image that no item is aligned with."""
+    return _aligned_rows(spark, d)[1].groupBy("file_name").agg(F.count("*").alias("verdicts"), F.count_if(F.col("hit").isNull()).alias("leaked"))
 
 
 __all__ = ["ORACLE", "QUERIES", "query"]

@@ -171,8 +171,8 @@ def test_content_version_ignores_order(spark):
 
 
 def test_repair_pass_prefers_the_expected_status(spark):
-    items = spark.createDataFrame([("f", 1, "carrots", "halal"), ("f", 2, "onions", "haram")], "file_name string, gt_no int, term string, expected string")
-    found = spark.createDataFrame([("f", 10, "carrots", "haram"), ("f", 11, "carrot", "halal"), ("f", 12, "onions", "haram")], "file_name string, finding_no int, term string, status string")
+    items = spark.createDataFrame([("f", 1, "carrots", "haram"), ("f", 2, "onions", "haram")], "file_name string, gt_no int, term string, expected string")
+    found = spark.createDataFrame([("f", 10, "carrots", "halal"), ("f", 11, "carrot", "haram"), ("f", 12, "onions", "haram")], "file_name string, finding_no int, term string, status string")
     a = aligned(items.drop("expected"), found.drop("status"))
     assert sorted((r.gt_no, r.finding_no) for r in a.collect()) == [(1, 10), (2, 12)]
     got = {r.gt_no: (r.finding_no, r.repaired) for r in preferred(items, found, a).collect()}
@@ -192,3 +192,60 @@ def test_zip_needs_equal_counts(spark):
     a = spark.createDataFrame([("x", 1, 5), ("x", 2, 4), ("y", 3, 1)], "s string, a int, t int")
     b = spark.createDataFrame([("x", 10, 1), ("x", 11, 2), ("y", 12, 1), ("y", 13, 2)], "s string, b int, u int")
     assert sorted((r.a, r.b) for r in zipped(a, b, "s", "a", "b", "t", "u").collect()) == [(1, 11), (2, 10)]
+
+
+def test_short_tokens_and_codes_do_not_match_nearly(spark):
+    terms = spark.createDataFrame([("水飴", "a", "halal", 1, 0), ("abcdef", "b", "halal", 2, 0), ("e120bc", "c", "haram", 3, 0), ("e1200b", "d", "halal", 4, 0)], "term string, id string, status string, ord int, alias_no int")
+    asked = spark.createDataFrame([("水",), ("水飴x",), ("abcdeg",), ("e120bd",)], "term string")
+    got = {r.term: r.id for r in match.fuzzy_match(asked, terms, weighted=False).collect()}
+    # a code's own denied entry shadows, though codes are never reached
+    assert got == {"abcdeg": "b"}
+
+
+def test_exact_match_of_hot_terms(spark):
+    index = spark.createDataFrame([("salt", "s", "halal", 1, True), ("水", "w", "halal", 2, True)], "term string, id string, status string, ord int, reviewed boolean")
+    rows = [(i, "salt") for i in range(3000)] + [(9000, "水"), (9001, "none"), (9002, "none")]
+    got = match.exact_match(spark.createDataFrame(rows, "no int, term string"), index)
+    assert got.count() == 3003 and got.filter("entry.id = 's'").count() == 3000 and got.filter("entry is null").count() == 3
+
+
+def test_draws_follow_the_weights(spark):
+    from kelpline.operators import corpus
+
+    terms = spark.createDataFrame([(f"t{i}", 1.0) for i in range(5000)] + [("hot", 5000.0), ("none", 0.0)], "term string, w double")
+    draws = spark.range(20_000).select("id", corpus.uniform(3, "id").alias("u"))
+    got = corpus.drawn(terms, "term", "w", draws, "u")
+    counts = {r.term: r["count"] for r in got.groupBy("term").count().collect()}
+    assert got.count() == 20_000 and abs(counts["hot"] - 10_000) < 400 and "none" not in counts and len(counts) > 3500
+    assert corpus.drawn(terms.limit(0), "term", "w", draws, "u").count() == 0
+    labels = spark.range(200).withColumnRenamed("id", "gt_id")
+    texts = [r.text.split("、") for r in corpus.synthetic_labels(terms, "term", "w", labels, "gt_id").collect()]
+    assert len(texts) == 200 and all(len(set(t)) == len(t) <= 25 for t in texts) and sum("hot" in t for t in texts) == 200
+
+
+def test_repair_of_risky_items_by_parts(spark):
+    items = spark.createDataFrame([("f", 1, "乳化剤（大豆由来）", "syubhat"), ("f", 2, "砂糖", "halal"), ("f", 3, "豚脂", "haram")], "file_name string, gt_no long, term string, expected string")
+    found = spark.createDataFrame([("f", 1, "大豆", None, "syubhat"), ("f", 2, "砂糖", None, "unknown"), ("f", 3, "砂糖液", None, "halal"), ("f", 4, "乳化剤", None, "halal"), ("f", 5, "魚油", None, "haram")], "file_name string, finding_no long, term string, matched_term string, status string")
+    a = aligned(items.drop("expected"), found.drop("status"))
+    got = {r.gt_no: (r.finding_no, r.repaired) for r in preferred(items, found, a).collect()}
+    # the compound goes to its part of the expected status; a harmless item isn't repaired; nothing of the pork item is there
+    assert got == {1: (1, True), 2: (2, False)}
+
+
+def test_parts_with_one_edit():
+    from kelpline.functions.alignment import is_part
+
+    assert is_part("植物油脂（大豆油）", "大豆油") and is_part("植物油脂（大豆油）", "植物由脂") and not is_part("植物油脂", "魚油") and not is_part("砂糖", "糖")
+
+
+def test_correlation_by_position_or_likeness(spark):
+    from pyspark.sql import functions as F
+
+    from kelpline.functions import tokens
+    from kelpline.operators.evaluate import correlated
+
+    a = spark.createDataFrame([("s", 1, 10, "abcd"), ("s", 2, 20, "efgh"), ("t", 3, 10, "abcd"), ("t", 4, 20, "efgh")], "sid string, l int, at int, x string")
+    b = spark.createDataFrame([("s", 11, 5, "efgh"), ("s", 12, 6, "abcd"), ("t", 13, 5, "efgh")], "sid string, r int, bt int, y string")
+    score = tokens.jaccard(tokens.chunk_bigrams(F.col("x")), tokens.chunk_bigrams(F.col("y")))
+    got = sorted((r.l, r.r, r.score) for r in correlated(a, b, "sid", "l", "r", "at", "bt", score).collect())
+    assert got == [(1, 11, None), (2, 12, None), (4, 13, 1.0)]
