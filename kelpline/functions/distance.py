@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,19 +54,73 @@ def weighted_distance(a: str, b: str, cost: dict[tuple[str, str], float]) -> flo
     return row[-1]
 
 
+def _padded(rows: list[str], width: int) -> np.ndarray:
+    """Code points of strings, one row each, filled up with zeros."""
+    return np.frombuffer("".join(x.ljust(width, "\0") for x in rows).encode("utf-32-le", "replace"), np.uint32).reshape(len(rows), width)
+
+
+def weighted_distances(a: list[str], b: list[str], cost: dict[tuple[str, str], float]) -> np.ndarray:
+    """The weighted distance of many pairs: the same table as for one pair, each of its cells computed for all pairs at once.
+
+    Pairs of like size are handled together, so that little is computed for padding.
+    """
+    chars = sorted({c for k in cost for c in k})
+    known = np.array([ord(c) for c in chars], np.uint32)
+    swap = np.ones((len(chars) + 1, len(chars) + 1))
+    at = {c: i for i, c in enumerate(chars)}
+    for (x, y), v in cost.items():
+        swap[at[x], at[y]] = v
+
+    def place(x: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return np.zeros(x.shape, np.int64)
+        i = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        return np.where(known[i] == x, i, len(known))
+
+    na, nb = (np.array([len(s) for s in x], np.int64) for x in (a, b))
+    out = np.zeros(len(a))
+    size = np.maximum(na, nb)
+    order = np.argsort(size, kind="stable")
+    start = 0
+    while start < len(order):
+        # a block of like sizes, smaller for long strings
+        width = max(1, int(size[order[min(start + 4096, len(order)) - 1]]))
+        block = order[start : start + max(1, min(4096, 4_000_000 // width))]
+        start += len(block)
+        la, lb = na[block], nb[block]
+        wa, wb = int(la.max()), int(lb.max())
+        if not wa or not wb:
+            out[block] = np.maximum(la, lb)
+            continue
+        x, y = _padded([a[i] for i in block], wa), _padded([b[i] for i in block], wb)
+        px, py = place(x), place(y)
+        row = np.tile(np.arange(wb + 1, dtype=np.float64)[:, None], (1, len(block)))
+        done = np.where(la == 0, lb.astype(np.float64), 0.0)
+        for i in range(wa):
+            last, new = row, np.empty_like(row)
+            new[0] = i + 1
+            for j in range(wb):
+                sub = np.where(x[:, i] == y[:, j], 0.0, swap[px[:, i], py[:, j]])
+                new[j + 1] = np.minimum(np.minimum(last[j + 1], new[j]) + 1, last[j] + sub)
+            row = new
+            ends = np.flatnonzero(la == i + 1)
+            done[ends] = row[lb[ends], ends]
+        out[block] = done
+    return out
+
+
 def weighted_similarity(left: Column, right: Column, groups: list[tuple[str, float]] | None = None) -> Column:
     """1 minus the weighted distance over the longer length; 1 for two empty strings; null for a null."""
     table = costs(groups)
 
     @F.pandas_udf(DoubleType())
     def f(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: str | None, y: str | None) -> float | None:
-            if x is None or y is None:
-                return None
-            n = max(len(x), len(y))
-            return 1.0 if n == 0 else 1.0 - weighted_distance(x, y, table) / n
-
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+        null = (a.isna() | b.isna()).to_numpy()
+        x, y = a.fillna("").tolist(), b.fillna("").tolist()
+        n = np.maximum([len(s) for s in x], [len(s) for s in y]) if len(x) else np.zeros(0)
+        out = 1.0 - weighted_distances(x, y, table) / np.maximum(n, 1)
+        out[null] = np.nan
+        return pd.Series(out).astype("Float64").where(~null, None).astype("object")
 
     return f(left, right)
 

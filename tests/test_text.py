@@ -93,3 +93,22 @@ def test_bigrams_do_not_overlap(spark):
 )
 def test_noise(spark, t, want):
     assert one(spark, noise.is_noise, t) is want
+
+
+def test_weighted_distances_of_many_pairs():
+    import random
+
+    from kelpline.functions.distance import costs, weighted_distance, weighted_distances
+
+    rng, table = random.Random(5), costs()
+    words = ["".join(rng.choice("アァシツabカガ力ロ口x") for _ in range(rng.choice([0, 1, 2, 5, 9, 40]))) for _ in range(400)]
+    a, b = words[:200], words[200:]
+    assert weighted_distances(a, b, table).tolist() == pytest.approx([weighted_distance(x, y, table) for x, y in zip(a, b, strict=True)])
+    assert weighted_distances(["abc", ""], ["abd", "x"], {}).tolist() == [1.0, 1.0] and len(weighted_distances([], [], table)) == 0
+
+
+def test_weighted_similarity_of_nulls(spark):
+    from kelpline.functions.distance import weighted_similarity
+
+    df = spark.createDataFrame([("アイ", "ァイ"), (None, "a"), ("", ""), ("a", None)], "a string, b string")
+    assert [r.s for r in df.select(weighted_similarity(F.col("a"), F.col("b")).alias("s")).collect()] == [0.875, None, 1.0, None]
