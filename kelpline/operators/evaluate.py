@@ -180,15 +180,17 @@ def run_summary(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFram
 
 
 def record_quality(gt: DataFrame, key: str, file: str, items: str, allowed: tuple[str, ...]) -> DataFrame:
-    """(problem, n): repeated files, missing names, records without items, items without text, values out of the list."""
+    """(problem, n): repeated files, missing names, records without items, items without text or said before in their record, values out of the list."""
     one = gt.select(F.col(key).alias("k"), F.col(file).alias("f"), F.col(items).alias("i"))
     expected = F.transform("i", lambda x: F.lower(F.trim(x["expected"])))
+    said = F.filter(F.coalesce(F.transform("i", lambda x: F.trim(x["raw"])), F.array().cast("array<string>")), lambda x: x != "")
     rows = one.agg(
         F.count_if(F.expr("f is null or f = ''")).alias("missing_file"), F.count_if(F.expr("i is null or size(i) = 0")).alias("no_items"),
         F.coalesce(F.sum(F.size(F.filter("i", lambda x: F.coalesce(x["raw"], F.lit("")) == ""))), F.lit(0)).alias("empty_item"),
+        F.coalesce(F.sum(F.size(said) - F.size(F.array_distinct(said))), F.lit(0)).alias("repeated_item"),
         F.coalesce(F.sum(F.size(F.filter(expected, lambda x: ~F.coalesce(x, F.lit("")).isin(*allowed)))), F.lit(0)).alias("invalid_expected"),
     )
-    named = rows.selectExpr("stack(4, 'missing_file', missing_file, 'no_items', no_items, 'empty_item', empty_item, 'invalid_expected', invalid_expected) as (problem, n)")
+    named = rows.selectExpr("stack(5, 'missing_file', missing_file, 'no_items', no_items, 'empty_item', empty_item, 'repeated_item', repeated_item, 'invalid_expected', invalid_expected) as (problem, n)")
     twice = one.filter("f is not null").groupBy("f").count().filter("count > 1").agg(F.count("*").alias("n"))
     return named.unionByName(twice.select(F.lit("repeated_file").alias("problem"), "n"))
 

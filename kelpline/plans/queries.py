@@ -859,6 +859,7 @@ def marker_guard(spark: SparkSession, d: str) -> DataFrame:
     """WITH i AS (SELECT gt_id, unnest(ingredients) AS i FROM gt_records)
 SELECT 'missing_file' AS problem, count(*) FILTER (WHERE file_name IS NULL OR file_name = '') AS n FROM gt_records UNION ALL SELECT 'no_items', count(*) FILTER (WHERE ingredients IS NULL OR len(ingredients) = 0) FROM gt_records
 UNION ALL SELECT 'empty_item', count(*) FILTER (WHERE coalesce(i.raw, '') = '') FROM i UNION ALL SELECT 'invalid_expected', count(*) FILTER (WHERE lower(trim(coalesce(i.expected, ''))) NOT IN ('halal', 'haram', 'syubhat', 'unknown')) FROM i
+UNION ALL SELECT 'repeated_item', CAST(coalesce(sum(n - d), 0) AS BIGINT) FROM (SELECT gt_id, count(*) AS n, count(DISTINCT trim(i.raw)) AS d FROM i WHERE trim(i.raw) <> '' GROUP BY gt_id)
 UNION ALL SELECT 'repeated_file', count(*) FROM (SELECT file_name FROM gt_records WHERE file_name IS NOT NULL GROUP BY file_name HAVING count(*) > 1)"""
 )
 def record_quality(spark: SparkSession, d: str) -> DataFrame:
@@ -908,6 +909,24 @@ def search_prefix_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.searched(exact, search.prefix_hits(curated, "sa")).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query()
+def search_layered(spark: SparkSession, d: str) -> DataFrame:
+    """One page of a search: what the layers make of each token of the query, then entries of either dictionary by prefix."""
+    curated, catalog = _dict(spark, d, True)
+    asked = spark.createDataFrame([("carrot powder、saffrom、sa",)], "q string").select(F.explode(tokens.candidates(F.col("q"))).alias("raw"))
+    terms = text.computed_once(asked, "term", text.normalized(F.col("raw"))).select("term").filter("term <> ''").distinct()
+    found = match.layered_match(terms, curated, catalog, _RULE_LIST).filter("id is not null").groupBy("id").agg(F.min_by("matched_term", "term").alias("term"), F.min("status").alias("status"))
+    both = curated.select("id", "term", "alias", "status", "ord", "alias_no").unionByName(catalog.select("id", "term", "alias", "status", "ord", "alias_no"))
+    return search.searched(found, search.prefix_hits(both, "sa", found)).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query("SELECT category, count_if(i.hazard) AS hazards, count(*) AS items, floor(count_if(i.hazard) / count(*) * 1000 + 0.5) / 10 AS percent FROM (SELECT category, unnest(ingredients) AS i FROM gt_records) GROUP BY category")
+def hazard_percent(spark: SparkSession, d: str) -> DataFrame:
+    """The share of hazards among the items of each category, in percent."""
+    items = table(spark, d, "gt_records").select("category", F.explode("ingredients").alias("i")).groupBy("category").agg(F.count_if("i.hazard").alias("hazards"), F.count("*").alias("items"))
+    return items.withColumn("percent", text.percent(F.col("hazards"), F.col("items")))
+
+
 @query()
 def weighted_sample(spark: SparkSession, d: str) -> DataFrame:
     """200 harvested forms drawn by count without replacement (a sampling operator)."""
@@ -935,10 +954,15 @@ def robustness_curve(spark: SparkSession, d: str) -> DataFrame:
     read = items.withColumn("read", corpus.corrupted(F.col("term"), F.col("rate"), F.xxhash64("gt_id", "i", "rate"), swaps))
     terms = read.select("rate", "term", "read").distinct()
     index = items.select("term").distinct()
-    near = pass_join.near_pairs(terms.select(F.col("read").alias("term")), index.select(F.col("term").alias("near")), "term", "near")
-    best = near.groupBy("term").agg(F.min_by("near", F.struct("edits", "near")).alias("got"))
-    j = read.join(best, read["read"] == best["term"], "left").select("rate", read["term"].alias("want"), "got")
-    return j.groupBy("rate").agg(F.count("*").alias("items"), F.count_if(F.col("got") == F.col("want")).alias("found"))
+    # both the term and what was read of it go through all layers, each distinct token once; found is what comes to the same entry
+    key = lambda c: text.normalized(F.col(c))
+    pairs = text.computed_once(text.computed_once(terms, "a", key("term")), "b", key("read"))
+    curated, catalog = _dict(spark, d, True)
+    asked = pairs.select(F.col("a").alias("term")).union(pairs.select("b")).filter("term <> ''").distinct()
+    got = match.layered_match(asked, curated, catalog, _RULE_LIST).select("term", "id")
+    ids = pairs.join(got.select(F.col("term").alias("a"), F.col("id").alias("want_id")), "a", "left").join(got.select(F.col("term").alias("b"), F.col("id").alias("got_id")), "b", "left")
+    j = read.join(ids.select("rate", "term", "read", "want_id", "got_id"), ["rate", "term", "read"])
+    return j.groupBy("rate").agg(F.count("*").alias("items"), F.count("want_id").alias("known"), F.count_if(F.col("got_id") == F.col("want_id")).alias("found"))
 
 
 @query()
