@@ -412,7 +412,7 @@ _CODENAME = "replace(regexp_split_to_array(rest, '\\s{2,}')[1], '*', '')"
 
 @query(
     rf"""WITH l AS ({_CODELINE}), r AS (SELECT line_no, upper(regexp_extract(line, '^\s*(\d{{3,4}}[a-zA-Z]?)\s+(\S.*)$', 1)) AS code, regexp_extract(line, '^\s*(\d{{3,4}}[a-zA-Z]?)\s+(\S.*)$', 2) AS rest FROM l WHERE regexp_matches(line, '^\s*(\d{{3,4}}[a-zA-Z]?)\s+(\S.*)$'))
-SELECT 'E' || code AS code, arg_min({sql.drop(_CODENAME, f'^{text.WS}+|{text.WS}+' + chr(92) + 'z')}, line_no) AS name, arg_min(CASE WHEN contains(rest, '*') THEN 'doubtful' ELSE 'listed' END, line_no) AS status FROM r GROUP BY code"""
+SELECT 'E' || code AS code, arg_min({sql.drop(_CODENAME, sql.ENDS)}, line_no) AS name, arg_min(CASE WHEN contains(rest, '*') THEN 'doubtful' ELSE 'listed' END, line_no) AS status FROM r GROUP BY code"""
 )
 def code_table(spark: SparkSession, d: str) -> DataFrame:
     """A text table of codes, printed from the catalogue and read again."""

@@ -5,6 +5,11 @@ from __future__ import annotations
 from ..functions import text, tokens
 
 
+#: White space at either end; white space, digits and percent signs at either end.
+ENDS = f"^{text.WS}+|{text.WS}+\\z"
+NUMBERED = r"^[\s　0-9０-９%％.]+|[\s　0-9０-９%％.]+\z"
+
+
 def q(s: str) -> str:
     """A string literal."""
     return "'" + s.replace("'", "''") + "'"
@@ -50,8 +55,7 @@ def candidates(e: str) -> str:
     plain = drop(drop(e, tokens.BORDERS), tokens.CONJUNCTIONS, "、")
     heads, inners = (f"regexp_extract_all({plain}, {q(tokens.NAMED)}, {i})" for i in (1, 2))
     named = f"flatten(list_transform(range(1, len({heads}) + 1), lambda i: [{inners}[i], {heads}[i] || {inners}[i]]))"
-    ends = f"^{text.WS}+|{text.WS}+\\z"
-    segments = f"list_filter(list_transform(regexp_split_to_array({plain}, {q(tokens.DELIMITERS)}), lambda s: {drop('s', ends)}), lambda s: s <> '')"
+    segments = f"list_filter(list_transform(regexp_split_to_array({plain}, {q(tokens.DELIMITERS)}), lambda s: {drop('s', ENDS)}), lambda s: s <> '')"
     parted = f"flatten(list_transform({segments}, lambda s: CASE WHEN regexp_matches(s, {q(text.WS)}) THEN list_concat([s], regexp_split_to_array(s, {q(text.WS + '+')})) ELSE [s] END))"
     bare = f"list_transform(list_concat({named}, {parted}), lambda s: regexp_replace(s, {q(tokens.PACKAGING)}, ''))"
     singles = ", ".join(map(q, tokens.SINGLES))
@@ -62,7 +66,7 @@ def corpus_tokens(e: str) -> str:
     """Tokens for corpus statistics."""
     seg = f"regexp_split_to_array({e}, '[、。，．,;；:：・/／\n()（）\\[\\]［］]')"
     both = f"flatten(list_transform({seg}, lambda s: list_concat([s], regexp_split_to_array(s, {q(text.WS + '+')}))))"
-    bare = f"list_transform({both}, lambda s: {drop('s', '^[' + chr(92) + 's　0-9０-９%％.]+|[' + chr(92) + 's　0-9０-９%％.]+' + chr(92) + 'z')})"
+    bare = f"list_transform({both}, lambda s: {drop('s', NUMBERED)})"
     return f"list_filter({bare}, lambda s: length(s) BETWEEN 2 AND 20 AND NOT regexp_matches(s, '[0-9０-９]') AND regexp_matches(s, '[぀-ヿ㐀-鿿]'))"
 
 
