@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import pairwise
@@ -41,8 +41,9 @@ MAX_TERMS = 100_000
 #: The share of slips laid on the list that may fall below the threshold, the slips tried for a length, and the least lead in cosine over
 #: another term.
 MISSED, SLIPS, MARGIN = 0.002, 1000, 0.02
-#: A remark or a shortened form stands beside so many raw materials, and this share of them, at least.
-BESIDE, SHARE = 3, 0.05
+#: A remark or a shortened form stands beside so many raw materials, this share of them, and in this share of the values that the most
+#: common one of its kind is in, at least: slips are rarer.
+BESIDE, SHARE, RARER = 3, 0.05, 0.05
 #: Remarks of this length may have a slip.
 LONG = 6
 #: Bigrams and trigrams of a key that one edit can touch (a swap touches three and four); buckets of counted characters.
@@ -117,7 +118,12 @@ class Index:
     """The inverted n-gram index over all spellings of (term_id, term, term_ja, reading, romaji) rows."""
 
     def __init__(self, terms: list[tuple], learnt: Learnt = Learnt(), fitted: bool = True):
-        self.learnt = learnt
+        self.before: dict[str, list[str]] = defaultdict(list)
+        self.after: dict[str, list[str]] = defaultdict(list)
+        for w in learnt.before:
+            self.before[w[0]].append(w)
+        for w in learnt.after:
+            self.after[w[-1]].append(w)
         self.exact: dict[str, int] = {}
         by_form: dict[str, list[tuple]] = defaultdict(list)
         ends = _common_ends([t[1] for t in terms if t[1]])
@@ -213,9 +219,12 @@ class Index:
         """All spellings above the threshold, without those that can't be within their edit distance of a key."""
         i = np.flatnonzero(score >= self.threshold(len(key)))
         near = np.minimum(most, self.most[i])
-        shared = np.bincount(posts, minlength=len(self.keys))[i]
-        ok = (np.abs(self.length[i] - len(key)) <= near) & (np.maximum(self.grams[i], grams) - shared <= TOUCHED * near)
+        ok = np.abs(self.length[i] - len(key)) <= near
         i, near = i[ok], near[ok]
+        if len(i) > 16:
+            shared = np.bincount(posts, minlength=len(self.keys))[i]
+            ok = np.maximum(self.grams[i], grams) - shared <= TOUCHED * near
+            i, near = i[ok], near[ok]
         # a substitution changes two counts, a swap none
         return i[np.abs(self.bags[i] - _bag(key)).sum(1) <= 2 * near]
 
@@ -224,21 +233,29 @@ class Index:
         tries, fresh = {key: None}, [key]
         while fresh:
             x, found = fresh.pop(), []
-            for w in self.learnt.before:
+            for w in self.before.get(x[:1], ()):
                 slips = len(w) >= LONG
                 for n in (len(w) - 1, len(w), len(w) + 1) if slips else (len(w),):
-                    if n < len(x) and (x.startswith(w) if n == len(w) and not slips else x[0] == w[0] and osa(x[:n], w, 1) <= 1):
+                    if n < len(x) and (x.startswith(w) or (slips and osa(x[:n], w, 1) <= 1)):
                         found.append(x[n:])
-            found += [x[: -len(w)] for w in self.learnt.after if len(w) < len(x) and x.endswith(w)]
+            found += [x[: -len(w)] for w in self.after.get(x[-1:], ()) if len(w) < len(x) and x.endswith(w)]
             fresh += [y for y in found if y not in tries]
             tries |= dict.fromkeys(found)
         return list(tries)
 
-    def find(self, value: str) -> tuple[int, float, int]:
-        """(term or -1, cosine, edit distance) of one plain value."""
+    def find(self, value: str, memo: dict[str, tuple[int, float, int]] | None = None) -> tuple[int, float, int]:
+        """(term or -1, cosine, edit distance) of one plain value; ``memo`` keeps the results of keys."""
         key = key_of(value)
         if not key:
             return -1, 0.0, -1
+        memo = {} if memo is None else memo
+        if key not in memo:
+            if len(memo) > 200_000:
+                memo.clear()
+            memo[key] = self._found(key)
+        return memo[key]
+
+    def _found(self, key: str) -> tuple[int, float, int]:
         tries = self._tries(key)
         for k in tries:
             if (i := self.at.get(k)) is not None:
@@ -329,9 +346,11 @@ def _beside(index: Index, key: str) -> list[tuple[str, str, str]]:
 
 
 def shortened(word: str, forms: list[str]) -> str | None:
-    """The one form that a word shortens (letters left out, or vowels put otherwise) or misspells by a letter."""
+    """The one form that a word shortens (letters left out, or vowels put otherwise); none for a form with a slip, which needs no spelling."""
+    if any(osa(word, f.replace(" ", ""), 1) <= 1 for f in forms):
+        return None
     begins = lambda f: f[:1] == word[:1]
-    for test in (lambda f: f.startswith(word), lambda f: osa(word, f, 1) <= 1, lambda f: begins(f) and _inside(word, f), lambda f: begins(f) and len(_bones(word)) > 1 and _inside(_bones(word), _bones(f))):
+    for test in (lambda f: f.startswith(word), lambda f: begins(f) and _inside(word, f), lambda f: begins(f) and len(_bones(word)) > 1 and _inside(_bones(word), _bones(f))):
         fits = [f for f in forms if test(f.replace(" ", ""))]
         if fits:
             return fits[0] if len(fits) == 1 else None
@@ -358,15 +377,18 @@ def learn(distinct: DataFrame, terms: list[tuple], column: str = "val") -> Learn
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             plain, _ = unify_column(batch.column(0))
-            found = sorted({x for v in plain.to_pylist() for x in _beside(shared.value, key_of(v))})
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in range(3)], names=["kind", "what", "main"])
+            found = Counter(x for v in plain.to_pylist() for x in _beside(shared.value, key_of(v)))
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in found], pa.string()) for k in range(3)), pa.array(list(found.values()), pa.int64())], names=["kind", "what", "main", "n"])
 
-    counts = distinct.select(column).mapInArrow(run, "kind string, what string, main string").distinct().groupBy("kind", "what").agg(F.count("*").alias("mains"))
+    by_main = distinct.select(column).mapInArrow(run, "kind string, what string, main string, n bigint").groupBy("kind", "what", "main").agg(F.sum("n").alias("n"))
+    counts = by_main.groupBy("kind", "what").agg(F.count("*").alias("mains"), F.sum("n").alias("n")).filter(F.col("mains") >= max(BESIDE, SHARE * mains))
     # as many as there are words that go with a twentieth of the list: few, and refused if not
-    rows = counts.filter(F.col("mains") >= max(BESIDE, SHARE * mains)).orderBy("kind", "what").limit(MAX_TERMS).collect()
+    rows = counts.orderBy("kind", "what").limit(MAX_TERMS).collect()
     if len(rows) == MAX_TERMS:
         raise ValueError("too many remarks")
     forms = sorted(index.forms)
+    top = {k: max((r.n for r in rows if r.kind == k), default=0) for k in ("before", "after", "form")}
+    rows = [r for r in rows if r.n >= RARER * top[r.kind]]
     known = {f.replace(" ", "") for f in forms}
     short = {r.what: shortened(r.what, forms) for r in rows if r.kind == "form" and r.what not in known}
     return Learnt(*(tuple(r.what for r in rows if r.kind == k) for k in ("before", "after")), tuple((w, f) for w, f in short.items() if f))
@@ -382,10 +404,10 @@ def mapped_values(values: DataFrame, terms: DataFrame, column: str = "val") -> D
     shared = values.sparkSession.sparkContext.broadcast(Index(rows, learn(distinct, rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index, memo = shared.value, {}
         for batch in batches:
             plain, _ = unify_column(batch.column(0))
-            got = [(index.exact[r], 1.0, 0) if r in index.exact else index.find(p) for r, p in zip(batch.column(0).to_pylist(), plain.to_pylist(), strict=True)]
+            got = [(index.exact[r], 1.0, 0) if r in index.exact else index.find(p, memo) for r, p in zip(batch.column(0).to_pylist(), plain.to_pylist(), strict=True)]
             term = pa.array([g[0] if g[0] >= 0 else None for g in got], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), term, pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.int32())], names=["val", "n", "term_id", "score", "edits"])
 
