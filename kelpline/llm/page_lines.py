@@ -33,7 +33,7 @@ BITS = 16
 #: The first and last letters of a line that are compared on their own; in Japanese.
 EDGE, EDGE_CJK = 10, 4
 # Words and signs beside page numbers.
-_PAGE = re.compile(r"[\W_]*(?:(?:p|pp|pg|page|no|n|第)[\W_]*)?(\d+|[ivxlc]+|[一二三四五六七八九十百]+)(?:[\W_]*(?:of|/|von)?[\W_]*\d+)?[\W_]*(?:頁|ページ|页)?[\W_]*", re.IGNORECASE)
+_PAGE = re.compile(r"[\W_]*(?:(?:p|pp|pg|page|no|n|第)[\W_]*)?(\d+|(?-i:[ivxlc]+|[IVXLC]+)|[一二三四五六七八九十百]+)(?:[\W_]*(?:of|/|von)?[\W_]*\d+)?[\W_]*(?:頁|ページ|页)?[\W_]*", re.IGNORECASE)
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 _KANJI = {c: i for i, c in enumerate("一二三四五六七八九", 1)}
 OTHER, LOWER, UPPER, KANA, KANJI, HIRA, DIGIT, SPACE, STOP, COMMA = range(10)

@@ -2,6 +2,8 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from kelpline.llm import page_lines as pl
 from kelpline.llm import scan_repair as sr
@@ -106,3 +108,17 @@ def test_text_of_all_documents_counts(spark):
     assert words == {"salt": 2} and grams == {sr._packed("塩と水")}
     assert sr.known_text(docs.limit(0)) == ({}, frozenset())
     assert len(pl.furniture_words(docs)) == 0 and len(pl.furniture_words(docs.limit(0))) == 0
+
+
+@settings(deadline=None, max_examples=150)
+@given(st.lists(st.one_of(st.text(max_size=40), st.text(alphabet="İıivx 12-\n\r第頁一十rn0塩ァ", max_size=30)), min_size=1, max_size=4))
+def test_any_text(model, texts):
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    done = sr.repair(texts, model)
+    assert [len(r.kinds) for r in done] == [t.count("\n") + 1 for t in texts]
+    assert done == [sr.repair([t], model)[0] for t in texts]
+
+
+@pytest.mark.parametrize(("line", "want"), [("iv", (2, 4)), ("XIX", (2, 19)), ("第十二頁", (3, 12)), ("- 7 -", (1, 7)), ("Page 3 of 9", (1, 3)), ("İ", (0, 0)), ("mix", (0, 0)), ("", (0, 0)), ("二百三十", (3, 230))])
+def test_page_numbers(line, want):
+    assert pl._number(line) == want
