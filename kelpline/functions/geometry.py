@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .section import DEFAULT, Markers, is_boundary, is_header
+from .section import DEFAULT, Markers, absorbed_lines, is_crop_boundary, is_header
 
 
 def half_up(c: Column) -> Column:
@@ -30,19 +30,23 @@ def scaled(rect: Column, factor: Column) -> Column:
 def list_crop(lines: Column, width: Column, height: Column, m: Markers = DEFAULT, most: int = 26) -> Column:
     """The rectangle round the ingredient list of ``lines``, structs of text, top, left, width and height.
 
-    From the header down to the line before the next part of the label, ``most`` lines at most; margins of
-    3 percent of the width at the sides and 1.2 percent of the height above and below. Null without a header.
+    From the first line that belongs to the list, before the header where it wrapped there, down to the line before the next part of the
+    label, ``most`` lines after the header at most; as wide as the image less 3 percent at either side, with 1.2 percent of the
+    height above and below. Null without a header, and for a crop too small to read.
     """
-    by_top = F.array_sort(F.transform(lines, lambda x: F.struct(x["top"].alias("top"), x["left"].alias("left"), x["text"].alias("text"), x["width"].alias("width"), x["height"].alias("height"))))
-    at = F.array_position(F.transform(by_top, lambda x: is_header(x["text"], m)), F.lit(True)).cast("int")
+    filled = F.filter(lines, lambda x: F.trim(x["text"]) != "")
+    by_top = F.array_sort(F.transform(filled, lambda x: F.struct(x["top"].alias("top"), x["left"].alias("left"), x["text"].alias("text"), x["height"].alias("height"))))
+    texts = F.transform(by_top, lambda x: x["text"])
+    at = F.array_position(F.transform(texts, lambda x: is_header(x, m)), F.lit(True)).cast("int")
     rest = F.slice(by_top, at + 1, F.size(by_top))
-    stop = F.array_position(F.transform(rest, lambda x: is_boundary(x["text"], m)), F.lit(True)).cast("int")
+    stop = F.array_position(F.transform(rest, lambda x: is_crop_boundary(x["text"], m)), F.lit(True)).cast("int")
     n = F.least(F.when(stop > 0, stop - 1).otherwise(F.size(rest)), F.lit(most))
-    used = F.slice(by_top, at, n + 1)
-    left, right = F.array_min(F.transform(used, lambda x: x["left"])), F.array_max(F.transform(used, lambda x: x["left"] + x["width"]))
-    top, bottom = F.array_min(F.transform(used, lambda x: x["top"])), F.array_max(F.transform(used, lambda x: x["top"] + x["height"]))
-    mx, my = width * 0.03, height * 0.012
-    return F.when(at > 0, clamped(left - mx, top - my, right - left + 2 * mx, bottom - top + 2 * my, width, height))
+    first, last = F.get(by_top, at - 1 - absorbed_lines(texts, at, m)), F.get(by_top, at - 1 + n)
+    top, bottom = first["top"], last["top"] + last["height"]
+    mx, my = half_up(width * 0.03), half_up(height * 0.012)
+    y = F.greatest(F.lit(0), top - my)
+    w, h = width - 2 * mx, F.least(height - y, bottom - top + 2 * my)
+    return F.when((at > 0) & (bottom > top) & (w >= 80) & (h >= 24), clamped(mx, y, w, h, width, height))
 
 
 def needs_tiles(width: Column, height: Column, chars: Column) -> Column:

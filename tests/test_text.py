@@ -69,6 +69,17 @@ def test_crop_stops_at_the_next_part(spark):
     assert (r.y, r.height) == (76, 128)
 
 
+def test_crop_grows_up_and_ignores_words_inside_lines(spark):
+    def crop(lines):
+        df = spark.createDataFrame([([(t, y, 30, 940, 40) for t, y in lines],)], "l array<struct<text:string,top:int,left:int,width:int,height:int>>")
+        return df.select(geometry.list_crop(F.col("l"), F.lit(1000), F.lit(2000)).alias("r")).first().r
+
+    r = crop([("名称 x", 0), ("小麦、砂糖、", 60), ("原材料名", 100), ("塩、植物性たんぱく質、保存料", 140), ("保存方法 冷暗所", 180)])
+    assert (r.x, r.y, r.width, r.height) == (30, 36, 940, 168)
+    assert crop([("小麦、塩", 0)]) is None and crop([("原材料名 塩", 0), ("", 10)]).height == 88
+    assert crop([("原材料名 塩", 40 * i) for i in range(1)] + [("塩、", 40 * i) for i in range(1, 60)]).height == 27 * 40 + 48
+
+
 def test_candidates_named_and_parts(spark):
     got = one(spark, tokens.candidates, "着色色素（クチナシ、ベニ）、sugar cane、│塩")
     assert got[:2] == ["クチナシ、ベニ", "着色色素クチナシ、ベニ"]
