@@ -37,15 +37,18 @@ def exact_index(terms: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return terms.groupBy("term").agg(best.alias("e"), F.count("*").alias("n_aliases")).select("term", "e.*", "n_aliases")
 
 
-def exact_match(tokens: DataFrame, index: DataFrame) -> DataFrame:
+def exact_match(tokens: DataFrame, index: DataFrame, distinct: bool = False) -> DataFrame:
     """Tokens with the entry of their term, null where there is none.
 
-    A one-character term counts only if it is one of the known single ones and its entry is reviewed.
+    ``distinct`` says that no term is in many rows. A one-character term counts only if it is one of the known single ones and its entry is reviewed.
     """
     e = index.select("term", F.struct("id", "status", "ord", *[c for c in ("reviewed",) if c in index.columns]).alias("entry"))
     # entries are found once a term, and the tokens of hot terms take them from a broadcast
-    terms = tokens.filter("term is not null").groupBy("term").agg(F.count("*").alias("_tokens")).join(e, "term", "left")
-    hit = hot_join(tokens, terms, "term", "_tokens", tokens.count()).drop("_tokens")
+    if distinct:
+        hit = tokens.join(e, "term", "left")
+    else:
+        terms = tokens.filter("term is not null").groupBy("term").agg(F.count("*").alias("_tokens")).join(e, "term", "left")
+        hit = hot_join(tokens, terms, "term", "_tokens", tokens.count()).drop("_tokens")
     single = F.length("term") == 1
     ok = ~single | (F.col("term").isin(*SINGLES) & (F.coalesce(F.col("entry.reviewed"), F.lit(False)) if "reviewed" in index.columns else F.lit(True)))
     return hit.withColumn("entry", F.when(ok, F.col("entry")))
@@ -98,7 +101,7 @@ def layered_match(tokens: DataFrame, curated: DataFrame, catalog: DataFrame, rul
 
     def exact(terms: DataFrame, index: DataFrame, layer: str) -> DataFrame:
         hit = F.struct(F.lit(layer).alias("layer"), F.lit("exact").alias("kind"), F.col("entry.id").alias("id"), F.col("entry.status").alias("status"), F.col("term").alias("matched_term"), F.lit(1.0).alias("score"))
-        return exact_match(terms, index).withColumn("m", F.coalesce("m", F.when(F.col("entry").isNotNull(), hit))).drop("entry")
+        return exact_match(terms, index, distinct=True).withColumn("m", F.coalesce("m", F.when(F.col("entry").isNotNull(), hit))).drop("entry")
 
     def near(terms: DataFrame, pool: DataFrame, layer: str, least: float) -> DataFrame:
         found = fuzzy_match(terms.filter("m is null"), pool, least, weighted)
