@@ -125,19 +125,19 @@ def weighted_similarity(left: Column, right: Column, groups: list[tuple[str, flo
     return f(left, right)
 
 
-def folded(c: Column, groups: list[tuple[str, float]] | None = None) -> Column:
-    """A string with one character for all that groups connect: the plain distance of two such is never above the weighted one."""
+def folds(groups: list[tuple[str, float]] | None = None) -> dict[str, str]:
+    """One character for all that groups connect."""
     to: dict[str, str] = {}
     for chars, _ in GROUPS if groups is None else groups:
         reps = {to.get(x, x) for x in chars}
         to |= {x: min(reps) for x in {*chars, *reps, *(k for k, v in to.items() if v in reps)}}
-    moved = {k: v for k, v in to.items() if k != v}
-    return F.translate(c, "".join(moved), "".join(moved.values())) if moved else c
+    return {k: v for k, v in to.items() if k != v}
 
 
-def characters(c: Column) -> Column:
-    """Which of 64 buckets the characters of a string fall into, as bits; strings lacking k of each other's bits are k edits apart."""
-    return F.aggregate(F.split(c, ""), F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.when(x == "", F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(x), F.lit(64)).cast("int")))))
+def folded(c: Column, groups: list[tuple[str, float]] | None = None) -> Column:
+    """A string with one character for all that groups connect: the plain distance of two such is never above the weighted one."""
+    moved = folds(groups)
+    return F.translate(c, "".join(moved), "".join(moved.values())) if moved else c
 
 
 def similarity(left: Column, right: Column) -> Column:

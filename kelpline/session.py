@@ -6,6 +6,10 @@ import os
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -49,7 +53,7 @@ def _folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, *by: str) -> DataFrame:
-    """Write a table into the shared folder, in parts by columns of few values, without a shuffle, and read it back."""
+    """Write a table into the shared folder, in parts by columns of few values if any, without a shuffle, and read it back."""
     path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -82,3 +86,21 @@ def spread_by(df: DataFrame, *keys: str) -> DataFrame:
     """As ``spread_small``, with equal keys in one place."""
     spark = df.sparkSession
     return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Batches sorted by a key without nulls as tables that don't end within the rows of one value."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = pc.run_end_encode(batch.column(key)).run_ends.to_pylist()
+        last = new[-2] if len(new) > 1 else 0
+        if held and not last and batch.column(key)[0] == held[-1].column(key)[-1]:
+            held.append(batch)
+            continue
+        if last or held:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)] if last else held)
+        held = [batch.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held)

@@ -88,6 +88,38 @@ def test_collapse_equals_brute_force(spark, monkeypatch):
     assert {r.ord for r in got.collect()} == want and gone
 
 
+def test_collapse_of_large_labels_equals_brute_force(spark, monkeypatch):
+    for k, v in {"MANY": 90, "PART": 300, "WEAK": 40, "STRONG": 15}.items():
+        monkeypatch.setattr(match, k, v)
+    rng, c = random.Random(4), costs()
+    words = ["".join(rng.choice("カガ力oO0一ーxyabcd") for _ in range(rng.randint(1, 14))) for _ in range(250)] + ["a" * 70, "a" * 66, "ab" * 40]
+    # two labels of many findings, one of few, one without strong findings, and rows without label or term
+    rows = [(i % 2 if i < 200 else 2 + i % 2, i, t, None if i >= 200 and i % 2 else rng.choice([None, "unknown", "unknown", "halal"]), None) for i, t in enumerate(words)]
+    rows += [(0, 900, None, "halal", None), (None, 901, "xy", "halal", None), (None, 902, "xya", None, None), (0, 903, words[0], rows[0][3], None)]
+    like = lambda a, b: 1 - weighted_distance(a, b, c) / max(len(a), len(b))
+    first = {}
+    for r in rows:
+        first.setdefault((r[0], r[2]), r)
+    strong = [r for r in first.values() if r[3] == "halal" and None not in r[:3:2]]
+    gone = {r[1] for r in first.values() if r[3] != "halal" and any(s[0] == r[0] and like(r[2], s[2]) >= (0.5 if len(r[2]) <= 3 else 0.4) for s in strong)}
+    got = match.collapsed(spark.createDataFrame(rows, "label int, ord int, term string, status string, score double"), "label")
+    assert got.columns == ["label", "term", "ord", "status", "score"]
+    assert sorted(r.ord for r in got.collect()) == sorted({r[1] for r in first.values()} - gone) and gone
+
+
+def test_collapse_of_a_hot_label_takes_no_time_for_each_pair(spark):
+    import time
+
+    rng = random.Random(6)
+    letters = [chr(0x4E00 + i) for i in range(300)]
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(6, 16)))
+    rows = [("hot", i, word(), "halal" if i % 2 else None, None) for i in range(30_000)]
+    df = spark.createDataFrame(rows, "label string, ord int, term string, status string, score double")
+    began = time.time()
+    assert 15_000 < match.collapsed(df, "label").count() <= 30_000
+    assert time.time() - began < 45
+
+
 def test_weighted_distance():
     c = costs([("ab", 0.2)])
     assert weighted_distance("xa", "xb", c) == pytest.approx(0.2)
