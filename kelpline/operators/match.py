@@ -60,20 +60,20 @@ def exact_match(tokens: DataFrame, index: DataFrame, distinct: bool = False) ->
     return hit.withColumn("entry", F.when(ok, F.col("entry")))
 
 
-def fuzzy_match(tokens: DataFrame, terms: DataFrame, least: float = FUZZY, weighted: bool = True, denied: str = STRICTNESS[0]) -> DataFrame:
+def fuzzy_match(tokens: DataFrame, terms: DataFrame, least: float = FUZZY, weighted: bool = True, denied: str = STRICTNESS[0], few_terms: bool = False) -> DataFrame:
     """(term, id, status, matched_term, score) of the best near term of each distinct token.
 
     Excluded are tokens of one or two characters, of one to five ASCII ones, and tokens within the allowance of a ``denied``
     term, a code included (the guard runs on the same candidates, so it is never approximate); denied entries and
     additive codes can't be reached. Up to three characters the score must be high unless letters were only added or lost. The
-    highest score wins, then the first entry.
+    highest score wins, then the first entry. ``few_terms`` says that there are fewer terms than tokens.
     """
     refused = F.coalesce(F.col("status"), F.lit("")) == denied
     entry = F.struct("id", "status", "ord", "alias_no")
     free = ~refused & ~F.col("term").rlike(r"^[Ee]\d{3,4}[a-z]*\z")
     pool = terms.groupBy(F.col("term").alias("near")).agg(F.bool_or(refused).alias("refused"), F.min_by(F.when(free, entry), F.when(free, F.struct("ord", "alias_no"))).alias("e"))
     asked = tokens.select("term").distinct().filter((F.length("term") >= 3) & ~is_short_ascii(F.col("term")))
-    pairs = near_pairs(asked, pool, "term", "near").join(pool, "near")
+    pairs = (near_pairs(pool, asked, "near", "term") if few_terms else near_pairs(asked, pool, "term", "near")).join(pool, "near")
     # the near terms of one token are few; its refused ones shadow all others
     unshadowed = pairs.withColumn("_shadow", F.max("refused").over(Window.partitionBy("term"))).filter("not _shadow and e is not null")
     n = F.greatest(F.length("term"), F.length("near"))
@@ -103,6 +103,8 @@ def layered_match(tokens: DataFrame, curated: DataFrame, catalog: DataFrame, rul
     the catalogue, nothing. Each later step sees only the terms that the earlier ones left.
     """
     asked = tokens.select("term").distinct()
+    # both dictionaries are read twice; their terms are made once
+    curated, catalog = written(curated), written(catalog)
     keep = tuple(c for c in ("reviewed",) if c in curated.columns)
 
     def exact(terms: DataFrame, index: DataFrame, layer: str) -> DataFrame:
@@ -110,7 +112,8 @@ def layered_match(tokens: DataFrame, curated: DataFrame, catalog: DataFrame, rul
         return exact_match(terms, index, distinct=True).withColumn("m", F.coalesce("m", F.when(F.col("entry").isNotNull(), hit))).drop("entry")
 
     def near(terms: DataFrame, pool: DataFrame, layer: str, least: float) -> DataFrame:
-        found = fuzzy_match(terms.filter("m is null"), pool, least, weighted)
+        left = terms.filter("m is null")
+        found = fuzzy_match(left, pool, least, weighted, few_terms=pool.count() < left.count())
         hit = found.select("term", F.struct(F.lit(layer).alias("layer"), F.lit("fuzzy").alias("kind"), "id", "status", "matched_term", "score").alias("f"))
         return terms.join(hit, "term", "left").withColumn("m", F.coalesce("m", "f")).drop("f")
 

@@ -38,6 +38,12 @@ def test_near_pairs_within_a_key(spark):
     assert [tuple(r) for r in near_pairs(a, b, "a", "b", ("k",)).collect()] == [(1, "carrot", "carot", 1)]
 
 
+def test_only_near_pairs_are_made_distinct(spark):
+    a, b = (spark.createDataFrame([(x,) for x in ("carrot", "carot", "parrot")], f"{c} string") for c in "ab")
+    top = near_pairs(a, b, "a", "b")._jdf.queryExecution().optimizedPlan()
+    assert top.nodeName() == "Aggregate" and "edits" in [f.name() for f in list(top.schema().fields())]
+
+
 @pytest.fixture
 def terms(spark):
     rows = [(1, 0, "carrot", "halal"), (2, 0, "parrot", "haram"), (3, 0, "potatoes", "halal"), (4, 0, "potatoes", "syubhat"), (5, 0, "cinnamon", "halal")]
@@ -54,6 +60,11 @@ def test_fuzzy_is_refused_near_a_denied_term(spark, terms):
     assert got == {"cinnamom": "cinnamon"}
 
 
+def test_fuzzy_is_the_same_from_either_side(spark, terms):
+    t = spark.createDataFrame([("carrots",), ("cinnamom",), ("potatos",), ("cinna",), ("zzzzzzzz",)], "term string")
+    assert sorted(match.fuzzy_match(t, terms, few_terms=True).collect()) == sorted(match.fuzzy_match(t, terms).collect()) != []
+
+
 def test_fuzzy_never_gives_a_denied_status(spark, terms):
     t = spark.createDataFrame([("parrots",), ("parrot",)], "term string")
     assert match.fuzzy_match(t, terms, weighted=False).count() == 0
