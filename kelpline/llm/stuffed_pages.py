@@ -6,8 +6,8 @@ share of repeated character n-grams (``gram``), of repeated list items or lines
 the same head (``head``), of link markup (``link``), of tags (``tag``), of items between navigation
 separators (``nav``), of items full of numbers (``num``), and of the most common word (``word``).
 
-The limit of each measure is calibrated per language: a high quantile of it among the documents of the
-language that are partly sentences (ingredient lists and recipes among them), with a margin.
+The limit of each measure is calibrated per language: a high quantile of it among all documents of the
+language that are partly sentences (ingredient lists and recipes among them) or wholly, with a margin. It is counted, not estimated.
 A page is stuffed if sentences are less than ``PROSE`` of it and one measure is above its limit.
 
 Defined results: null and empty texts and texts too short to repeat anything are no case;
@@ -24,23 +24,21 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, spread
 
 #: Sentences must be less than this share of a stuffed page.
 PROSE = 0.40
-#: Documents with at least this share of sentences are not measured further.
-MEASURED = 0.60
 #: Documents from this share of sentences calibrate the limits.
 CALIBRATES = 0.30
 #: Text is no sentences at all where repeated n-grams make up more than SAME of it and one n-gram alone COVER.
 SAME, COVER = 0.25, 0.09
 #: Limits where nothing calibrates them (no document of the language is partly sentences).
 FLOOR = {"gram": 0.15, "dup": 0.20, "head": 0.30, "link": 0.22, "tag": 0.30, "nav": 0.50, "num": 0.50, "word": 0.25}
-#: A limit is this quantile among the calibrating documents, times MARGIN, but no less than LEAST.
-QUANTILE, MARGIN, LEAST = 0.995, 1.5, 0.15
+#: A limit is this quantile among the calibrating documents, times MARGIN, but no less than LEAST. Measures are counted to so many decimals.
+QUANTILE, MARGIN, LEAST, DECIMALS = 0.995, 1.5, 0.15, 4
 #: A sentence has a function word for so many words at least, and fewer commas than one for so many words (in Japanese:
 #: particles and commas for so many characters); short ones may have two.
 PER_FUNCTION, PER_COMMA, PER_PARTICLE, PER_TOUTEN = 20, 3, 40, 6
@@ -77,6 +75,11 @@ def letters(text: str) -> np.ndarray:
     return x[_is_letter()[x]]
 
 
+def in_cjk(x: np.ndarray) -> bool:
+    """Whether the letters of a whole text are largely kana and kanji."""
+    return len(x) > 0 and bool((x >= 0x3040).mean() > 0.3)
+
+
 def repetition(x: np.ndarray, n: int) -> tuple[float, float]:
     """The share of letter n-grams seen four times or more, and what the most common one covers."""
     x = x.astype(np.uint64)
@@ -100,7 +103,7 @@ def measure(text: str, function: frozenset[str] = FUNCTION) -> list[float]:
     n = len(text)
     bare = _LINK.sub(" ", text)
     x = letters(bare)
-    cjk = len(x) > 0 and bool((x >= 0x3040).mean() > 0.3)
+    cjk = in_cjk(x)
     size = 5 if cjk else 6
     same, cover = repetition(x, size)
     rest, prose, last = [], 0, 0
@@ -119,8 +122,6 @@ def measure(text: str, function: frozenset[str] = FUNCTION) -> list[float]:
         rest.append(bare[last : m.start()])
         last = m.end()
     share = prose / n
-    if share >= MEASURED:
-        return [share] + [0.0] * len(FLOOR)
     rest.append(bare[last:])
     r = "\n".join(rest)
     items = [x for x in (y.strip() for y in (_ITEM_CJK if cjk else _ITEM).split(r)) if len(x) > 1]
@@ -160,7 +161,7 @@ def function_words(src: DataFrame) -> dict[str, frozenset[str]]:
             long: Counter = Counter()
             for lang, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 docs[lang, ""] += 1
-                if _CJK.search(text[:200]):
+                if in_cjk(letters(text)):
                     continue
                 seen = set()
                 for unit in _UNIT.split(text.lower()):
@@ -186,7 +187,7 @@ def function_words(src: DataFrame) -> dict[str, frozenset[str]]:
 
 
 def measured(df: DataFrame) -> DataFrame:
-    """The measures of every document with less than MEASURED of it in sentences."""
+    """The measures of every document."""
     lang = F.coalesce(F.col("lang"), F.when(F.col("text").rlike("[぀-ヿ㐀-鿿]"), "ja").otherwise("other"))
     src = spread(df.select("doc_id", lang.alias("lang"), "text").filter("text is not null and text <> ''"))
     shared = src.sparkSession.sparkContext.broadcast(function_words(src))
@@ -195,18 +196,26 @@ def measured(df: DataFrame) -> DataFrame:
         for batch in batches:
             known = shared.value
             rows = [measure(t, known.get(k, FUNCTION)) for k, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            keep = [i for i, r in enumerate(rows) if r[0] < MEASURED]
-            at = pa.array(keep, pa.int64())
-            cols = [pa.array([rows[i][c] for i in keep], pa.float64()) for c in range(len(FIELDS) - 2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *cols], names=FIELDS)
+            cols = [pa.array([r[c] for r in rows], pa.float64()) for c in range(len(FIELDS) - 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=FIELDS)
 
     return src.mapInArrow(run, SCHEMA)
 
 
+def limits_of(m: DataFrame) -> DataFrame:
+    """(lang, max_...): the limits, from the measures of all documents that calibrate them."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.round(k, DECIMALS).alias("v")) for k in FLOOR])).alias("x")
+    counts = m.filter(F.col("prose") >= CALIBRATES).select("lang", each).groupBy("lang", "x.k", "x.v").agg(F.count("*").alias("n"))
+    # few values of each measure, whatever the number of documents
+    every = Window.partitionBy("lang", "k")
+    high = counts.withColumn("upto", F.sum("n").over(every.orderBy("v"))).withColumn("all", F.sum("n").over(every)).filter(F.col("upto") >= QUANTILE * F.col("all"))
+    return high.groupBy("lang").agg(*[F.greatest(MARGIN * F.min(F.when(F.col("k") == k, F.col("v"))), F.lit(LEAST)).alias(f"max_{k}") for k in FLOOR])
+
+
 def stuffed_pages(df: DataFrame) -> DataFrame:
     """The measures of the stuffed pages, with ``reason``, the measures above their limits."""
     m = checkpointed(measured(df))
-    limits = m.filter(F.col("prose") >= CALIBRATES).groupBy("lang").agg(*[F.greatest(MARGIN * F.percentile_approx(k, QUANTILE, 1000), F.lit(LEAST)).alias(f"max_{k}") for k in FLOOR])
+    limits = limits_of(m)
     # one row for each language, of which there are few: broadcast, as a language may have most of the rows
     both = m.join(F.broadcast(limits), "lang", "left")
     over = {k: F.col(k) > F.coalesce(F.col(f"max_{k}"), F.lit(v)) for k, v in FLOOR.items()}

@@ -243,3 +243,22 @@ def test_remarks_and_short_forms_are_learnt(spark):
     for value, want in (("certified squid conc", 7), ("raw raw onion powder", 2), ("certifid crab powder blend", 4), ("sweet carrot powder", -1), ("squid cake", -1), ("onion pwdr", 2)):
         assert index.find(value)[0] == want, value
     assert rm.learn(spark.createDataFrame([], "val string"), terms) == rm.Learnt() == rm.learn(spark.createDataFrame([("x",)], "val string"), [])
+
+
+def test_limits_come_from_all_documents_with_sentences(spark):
+    from kelpline.llm import stuffed_pages as sp
+
+    # two thirds are wholly sentences and have few links or repeats; they count as well, and so does each single one
+    row = lambda i, prose, gram: (i, "en", prose, gram, *[0.0] * (len(sp.FLOOR) - 1))
+    rows = [row(i, 0.9, i / 10_000) for i in range(4000)] + [row(i, 0.4, 0.0) for i in range(4000, 6000)] + [row(9000, 0.1, 1.0)]
+    limit = sp.limits_of(spark.createDataFrame(rows, sp.SCHEMA)).first()
+    # 5970 of the 6000 are at most 0.3969: 2000 zeros, then 0 to 0.3969
+    assert limit.max_gram == pytest.approx(1.5 * 0.3969) and limit.max_dup == sp.LEAST
+    prose = "The jam is made from fruit of the old trees in our garden. Ripe plums are washed and cut in halves, with the stones put aside for a liqueur. "
+    prose += "Sugar is weighed after that, and the pan stands on low heat for an hour or two. Lids have to be boiled by then, as glass cools fast on a stone floor. "
+    text = prose + "Neighbours from the valley come to taste it on the first Sunday of autumn.\n" + "\n".join(f"plum jar {x}" for x in "abcdefgh")
+    got = sp.measured(spark.createDataFrame([(1, "en", text)], "doc_id long, lang string, text string")).first()
+    assert got.prose >= 0.6 and got["head"] > 0.5
+    # what stands in the first characters doesn't decide the script of a text
+    docs = spark.createDataFrame([(i, "en", "梅干 " * 3 + "we cook whilst the kettle sings and the bread bakes. " * 20) for i in range(60)], "doc_id long, lang string, text string")
+    assert "whilst" in sp.function_words(docs)["en"]
