@@ -59,7 +59,8 @@ def near_pairs(strings: DataFrame, terms: DataFrame, string: str, term: str, on:
     hi = F.least(F.col("_sl") - F.col("_seg.n") + 1, F.col("_seg.s") + i, F.col("_seg.s") + d + (F.col("_k") - i))
     s = s.withColumn("_at", F.explode(F.when(lo <= hi, F.sequence(lo, hi)))).withColumn("_i", i)
     s = s.withColumn("_part", F.substring(F.col(string), F.col("_at"), F.col("_seg.n"))).select(*keys, string, "_sb", code.alias("_code"))
-    met = s.join(t, "_code")
+    # never broadcast: Spark takes an exploded side for as small as it was before, and would collect all of it to the driver
+    met = s.hint("merge").join(t.hint("merge"), "_code")
     for c in on:
         met = met.filter(F.col(c) == F.col(f"_t_{c}"))
     # verified before repeats are dropped, so that only near pairs are shuffled; most share a short segment and too few characters

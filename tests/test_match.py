@@ -44,6 +44,13 @@ def test_only_near_pairs_are_made_distinct(spark):
     assert top.nodeName() == "Aggregate" and "edits" in [f.name() for f in list(top.schema().fields())]
 
 
+def test_looked_up_places_are_never_broadcast(spark):
+    a, b = (spark.createDataFrame([(f"carrot{i}",) for i in range(n)], f"{c} string") for c, n in (("a", 300), ("b", 5)))
+    near = near_pairs(a, b, "a", "b")
+    near.collect()
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.fixture
 def terms(spark):
     rows = [(1, 0, "carrot", "halal"), (2, 0, "parrot", "haram"), (3, 0, "potatoes", "halal"), (4, 0, "potatoes", "syubhat"), (5, 0, "cinnamon", "halal")]
